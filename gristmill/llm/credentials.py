@@ -1,0 +1,302 @@
+"""Credentials written out in source and configuration files: detection over a trigram index, and redaction."""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import bisect
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gristmill.llm.trigrams import Indexer, check_needs_trigrams
+
+#: Lines of a chunk, and lines before it that it is read with, so that values and key blocks may span its start.
+CHUNK_LINES, CONTEXT_LINES = 2000, 120
+#: Bytes of chunks that make a segment, about.
+SEGMENT_BYTES = 8_000_000
+#: Endings of files in which values stand without quotes.
+BARE = {"yaml", "yml", "properties", "env", "sh", "bash", "ini", "conf", "cfg", "toml", "txt", "md", "envrc", "tfvars", ""}
+
+I, M = re.IGNORECASE, re.MULTILINE  # noqa: E741
+# A name that says credential. What may not stand behind the word (passwordField, token_url) is checked in names_credential.
+_WORD = r"""(?:pass|pwd|pw(?=[ \t"'`=:_.\-\]>)0-9veonpbdtsu])|secret|token|key|credential|authorization)"""
+_NAME = rf"([A-Za-z0-9_.\-]*{_WORD}[A-Za-z0-9_\-]*)"
+_QUOTED = r"""(["'`])((?:\\.|(?!{q})[^\\\r\n])*){q}"""
+
+
+@dataclass(frozen=True)
+class Rule:
+    """One detection regex. ``value`` and ``name`` are group numbers; ``accept`` looks at (value, name)."""
+
+    id: str
+    pattern: str
+    value: int
+    accept: Callable[[str, str], bool]
+    name: int = 0
+    flags: int = I | M
+    bare_only: bool = False
+
+
+_SUFFIX = re.compile(r"(?:old|new|v\d+|eu|us|uk|prod|production|dev|test|stage|staging|backup|b64|base64|encoded|\d+)+$")
+_ENDS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "secrets", "credential", "credentials", "token", "apikey", "authkey", "signingkey", "encryptionkey", "accesskey", "secretkey", "privatekey", "accountkey", "masterkey", "sharedkey", "servicekey", "sshkey", "authorization", "pemkey", "deploykey", "hmackey", "aeskey", "cryptkey", "licensekey", "accesskeyid")
+_SHORT = re.compile(r"(?:^|[_.\-])(?:pass|pw)$|[a-z](?:Pass|Pw)$|^[A-Z_]+(?:PASS|PW)$", 0)
+_TRAIL = re.compile(r"(?:[_.\-]?(?:[oO]ld|OLD|[nN]ew|NEW|[vV]\d+|[eE]u|EU|[uU]s|US|[pP]rod|PROD|[dD]ev|DEV|[tT]est|TEST|[bB]64|B64|\d+))+$")
+
+
+def names_credential(name: str) -> bool:
+    """Whether a setting of this name holds a credential itself, not something about one."""
+    flat = re.sub(r"[^a-z0-9]", "", name.lower())
+    return _SUFFIX.sub("", flat).endswith(_ENDS) or flat.endswith(_ENDS) or bool(_SHORT.search(_TRAIL.sub("", name)))
+
+
+_PLACE = re.compile(
+    r"\$\{|\$\(|^\$[A-Za-z_]|\{\{|<%|%\(|^%[A-Za-z_0-9.]*%$|%s|<[^<>]*>|\*{3,}|\.\.\.|…|\[removed\]|\[redacted\]|^ENC\(|_REF\[|^ENC_|replace[_\- ]?me|change[_\- ]?me|changeit|placeholder|redacted|UkVEQUNURUQ|removed\b|example|dummy|your[_\- ]|to[_\- ]?be|^todo$|^fixme$|^tbd$|process\.env|getenv|os\.environ|environ\[|ENV\[|vault|secretKeyRef|valueFrom|^@|^ssm:|^arn:|^file:|^env:|^\[",
+    I,
+)
+_SAME = re.compile(r"([x0*#•.\-_])\1{5,}|^(.)\2{3,}$|^x+$", I)
+_LITERAL = {"true", "false", "null", "none", "nil", "undefined", "string", "str", "bytes", "int", "boolean", "required", "optional", "bearer", "basic", "password", "secret", "token", "strict", "default", "empty", "unset", "n/a", "na", "yes", "no", "on", "off"}
+_PROSE = re.compile(r"(?:^|\s)(?:the|is|are|must|not|be|from|of|to|and|or|for|with|in|by|at|a|an|this|that|it|only|never|every|should|read|ask|see|when|if)(?:\s|$|[,.])", I)
+
+
+def written_out(value: str, name: str = "") -> bool:
+    """Whether a value is a secret itself rather than a placeholder, mask, reference or prose."""
+    v = value.strip()
+    if len(v) < 4 or v.lower() in _LITERAL or _PLACE.search(v) or _SAME.search(v) or v.startswith(("-----", "{", "/", "(", "|", ">", "&", "!", ",", ";", "\\")):
+        return False
+    low = name.lower()
+    if "authorization" in low and (m := re.match(r"(?:basic|bearer|token|apikey|digest)\s+(.*)", v, I)):
+        v = m.group(1)
+        if len(v) < 6 or " " in v:
+            return False
+    if "://" in v:
+        return False  # addresses have a rule of their own
+    if " " in v or "\t" in v:
+        return ("phrase" in low or "pass" in low or "pwd" in low) and not _PROSE.search(v) and re.fullmatch(r"[\w\-]+(?: [\w\-]+){2,}", v) is not None
+    if re.fullmatch(r"\d{1,5}", v) or v == name:
+        return False
+    if v.endswith((";", "{", ")")) and re.search(r"[(.]", v):
+        return False  # an expression
+    return not (re.fullmatch(r"[a-z]+(?:[-_][a-z]+)?", v) and len(v) < 12)
+
+
+def _b64_user(value: str, _: str = "") -> bool:
+    try:
+        text = base64.b64decode(value + "=" * (-len(value) % 4), validate=True).decode("utf-8")
+    except (binascii.Error, UnicodeDecodeError, ValueError):
+        return False
+    user, sep, password = text.partition(":")
+    return bool(sep) and text.isprintable() and bool(password) and not _PLACE.search(password) and not _SAME.search(password)
+
+
+def _b64_pem(value: str, _: str = "") -> bool:
+    try:
+        return b"PRIVATE KEY" in base64.b64decode(value[: len(value) // 4 * 4])
+    except binascii.Error:
+        return False
+
+
+def _unmasked(value: str, _: str = "") -> bool:
+    tail = value[6:]
+    return not _SAME.search(value) and not re.search(r"x{4,}|example", value, I) and len(set(tail)) > 4
+
+
+def _bearer(value: str, _: str = "") -> bool:
+    return _unmasked(value) and not _PLACE.search(value) and bool(re.search(r"\d", value)) and bool(re.search(r"[A-Za-z]", value))
+
+
+def _named(value: str, name: str) -> bool:
+    return names_credential(name) and written_out(value, name)
+
+
+def _plain(value: str, _: str = "") -> bool:
+    return written_out(value, "password")
+
+
+def _pem(value: str, _: str = "") -> bool:
+    return True
+
+
+_SEP = r"(?:\??:\s*[A-Za-z<>\[\]|]+\s*=(?!=)|===?|=>|:=|[:=])"
+RULES = [
+    Rule("quoted", rf"""(?<![A-Za-z0-9_.\-]){_NAME}(?:["'`]\s*\]|\\?["'`])?\s*(?:{_SEP}|(?<=["'`])\s*,)\s*(?:\(|\\)?\s*(?:[rbuf]{{0,2}})\\?{_QUOTED.format(q=chr(92) + "2")}""", 3, _named, 1),
+    Rule("pair", rf"""name["']?\s*[:=]\s*["']?{_NAME}["']?\s*(?:,\s*)?["']?value["']?\s*[:=]\s*(?:["']([^"'\r\n]*)["']|([^\s"'{{}},][^\r\n}}]*))""", 2, _named, 1),
+    Rule("element", rf"""<{_NAME}>\s*([^<>\s](?:[^<>\r\n]*[^<>\s])?)\s*</""", 2, _named, 1),
+    Rule("compared", rf"""(["'])((?:\\.|(?!\1)[^\\\r\n])*)\1\s*\.\s*equals(?:IgnoreCase)?\s*\(\s*{_NAME}""", 2, _named, 3),
+    Rule("bare", rf"""^[ \t﻿]*(?:(?:\#|;|//|<!--)[ \t]*)?(?:-[ \t]+)?(?:(?:export|set|setx|ENV|ARG)[ \t]+)?["']?{_NAME}["']?[ \t]*(?:=|:(?=\s)|:(?![:/]))[ \t]*([^\s"'`][^\r\n]*)""", 2, _named, 1, bare_only=True),
+    Rule("block", rf"""^[ \t]*(?:-[ \t]+)?["']?{_NAME}["']?[ \t]*:[ \t]*[>|][+\-]?\d?[ \t]*\r?\n[ \t]+(\S[^\r\n]*)""", 2, _named, 1),
+    Rule("option", rf"""(?<![\w\-])--?{_NAME}(?:=|[ \t]+)["']?([^\s"'`\\]+)""", 2, _named, 1),
+    Rule("query", rf"""[?&]{_NAME}=([^\s"'`&\#<>]+)""", 2, _named, 1),
+    Rule("provider", r"(?<![A-Za-z0-9])((?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_\-]{12,}|(?:AKIA|ASIA)[A-Z0-9]{12,20}(?![A-Za-z0-9])|AIza[0-9A-Za-z_\-]{24,}|xox[abeprs]-[0-9A-Za-z\-]{16,}|npm_[A-Za-z0-9]{20,}|hf_[A-Za-z0-9]{20,}|SG\.[\w\-]{12,}\.[\w\-]{12,}|eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,})", 1, _unmasked, flags=0),
+    Rule("address", r"""[a-z][a-z0-9+.\-]*://[^\s:/@"'`<>]*:([^\s"'`<>/]+)@[^\s/"'`<>@]""", 1, _plain),
+    Rule("basic", r"""(?<![A-Za-z])basic[ \t]+([A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])""", 1, _b64_user),
+    Rule("bearer", r"""(?<![A-Za-z])bearer[ \t]+([A-Za-z0-9_\-.~+/=]{12,})""", 1, _bearer),
+    Rule("curl", r"""curl\b[^\r\n]*?[ \t](?:-u|--user)[ \t=]*["']?[^\s:"']+:([^\s"']+)""", 1, _plain),
+    Rule("sshpass", r"""sshpass[ \t]+-p[ \t]*["']?([^\s"']+)""", 1, _plain),
+    Rule("client", r"""(?:mysql|mysqldump|mariadb|mongo)\b[^\r\n]*?[ \t]-p([^\s"'\\]+)""", 1, _plain),
+    Rule("private_key", r"(-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)", 1, _pem, flags=0),
+    Rule("encoded_key", r"(LS0tLS1CRUdJTi[A-Za-z0-9+/=]{20,})", 1, _b64_pem, flags=0),
+]
+QUERIES = [check_needs_trigrams(r.id, r.pattern, r.flags) for r in RULES]
+_COMPILED = [re.compile(r.pattern, r.flags) for r in RULES]
+_KEY_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+
+
+def find_in_text(text: str, ext: str, rules: list[int] | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, rule) of every credential value in a text. ``rules`` are the numbers of the rules to try, all by default."""
+    out = []
+    for i in range(len(RULES)) if rules is None else rules:
+        r = RULES[i]
+        if r.bare_only and ext not in BARE:
+            continue
+        for m in _COMPILED[i].finditer(text):
+            at = next((g for g in range(r.value, r.value + 2) if g <= (m.lastindex or 0) and m.group(g) is not None), r.value) if r.id == "pair" else r.value
+            value, (start, end) = m.group(at), m.span(at)
+            if r.id == "bare" and value:
+                value = re.sub(r"\s+(?:#|//|-->).*$", "", value.rstrip()).rstrip(" \t\r")
+                end = start + len(value)
+            if not value or not r.accept(value, m.group(r.name) if r.name else ""):
+                continue
+            if r.id == "private_key":
+                start, end = m.span()
+            out.append((start, end, r.id))
+    return out
+
+
+def redact_text(text: str, found: list[tuple[int, int, str]]) -> str:
+    """``text`` with every found value replaced, and nothing else changed: quotes, line ends, indents and key boundaries stay."""
+    spans = []
+    for start, end, rule in found:
+        if rule == "private_key":
+            stop = _KEY_END.search(text, end)
+            body_end = stop.start() if stop else len(text)
+            spans += [(end + m.start(), end + m.end(), "REDACTED") for m in re.finditer(r"(?<=\\n)[A-Za-z0-9+/=]{4,}|(?<![A-Za-z0-9+/=\\])[A-Za-z0-9+/=]{16,}", text[end:body_end])]
+        else:
+            value = text[start:end]
+            encoded = re.fullmatch(r"[A-Za-z0-9+/]{8,}={1,2}", value) or rule == "basic"
+            head = re.match(r"(?:basic|bearer|token)\s+", value, I)
+            spans.append((start + (head.end() if head else 0), end, ("UkVEQUNURUQ6UkVEQUNURUQ=" if rule == "basic" else "UkVEQUNURUQ=") if encoded else "REDACTED"))
+    out, last = [], 0
+    for start, end, new in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if start < last:
+            continue
+        out += [text[last:start], new]
+        last = end
+    return "".join([*out, text[last:]])
+
+
+# ---------------------------------------------------------------- distributed
+
+
+def _chunks(lines: DataFrame) -> DataFrame:
+    """Lines grouped to chunks: (root, file, chunk, line, text, own), sorted within partitions.
+
+    A chunk is a range of lines of a file, so a huge file spreads over many tasks; the last lines of a chunk also go, as context, to the next.
+    """
+    base = lines.where(F.col("line").isNotNull()).select("root", "file", "line", "text", F.floor(F.col("line") / CHUNK_LINES).cast("int").alias("chunk"))
+    tail = F.pmod(F.col("line"), F.lit(CHUNK_LINES)) >= CHUNK_LINES - CONTEXT_LINES
+    spread = base.withColumn("c", F.explode(F.when(tail, F.array(F.col("chunk"), F.col("chunk") + 1)).otherwise(F.array("chunk"))))
+    placed = spread.select("root", "file", F.col("c").alias("chunk"), "line", "text", (F.col("c") == F.col("chunk")).alias("own"))
+    return placed.repartition("root", "file", "chunk").sortWithinPartitions("root", "file", "chunk", "line", "text")
+
+
+class _Chunk:
+    __slots__ = ("file", "lines", "own", "root", "text", "texts")
+
+    def __init__(self, root: str | None, file: str | None) -> None:
+        self.root, self.file, self.lines, self.texts, self.own = root, file, [], [], []
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[_Chunk]]:
+    """Blocks of whole chunks from sorted lines; rows equal in (root, file, line, text) count once."""
+    block, size, now, key, last = [], 0, None, None, None
+    for b in batches:
+        for root, file, chunk, line, text, own in zip(*(b.column(c).to_pylist() for c in ("root", "file", "chunk", "line", "text", "own")), strict=True):
+            if (root, file, chunk) != key:
+                key, last = (root, file, chunk), None
+                if size >= SEGMENT_BYTES:
+                    yield block
+                    block, size = [], 0
+                now = _Chunk(root, file)
+                block.append(now)
+            if (line, text) == last:
+                continue
+            last = (line, text)
+            now.lines.append(line)
+            now.texts.append(text)
+            now.own.append(own)
+            size += len(text or "") + 1
+    if block:
+        yield block
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Chunk, list[int], list[tuple[int, int, str]]]]:
+    """Each chunk with its line starts and findings; regexes run on the candidates of the segment's index alone."""
+    indexer = Indexer(QUERIES)
+    for block in _segments(batches):
+        for c in block:
+            c.text = "\n".join(t or "" for t in c.texts)
+        index = indexer.segment([c.text.encode("utf-8", "replace") for c in block])
+        todo: dict[int, list[int]] = {}
+        for rule, query in enumerate(QUERIES):
+            for k in index.candidates(query).tolist():
+                todo.setdefault(k, []).append(rule)
+        for k, c in enumerate(block):
+            starts, at = [], 0
+            for t in c.texts:
+                starts.append(at)
+                at += len(t or "") + 1
+            ext = (c.file or "").rpartition(".")[2].lower() if "." in (c.file or "") else ""
+            yield c, starts, find_in_text(c.text, ext, todo[k]) if k in todo else []
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=t) for i, t in enumerate(kinds)], names=["root", "file", "line", "rule"])
+
+    for c, starts, found in _search(batches):
+        for start, _, rule in found:
+            i = bisect.bisect_right(starts, start) - 1
+            if c.own[i]:
+                out.append((c.root, c.file, c.lines[i], rule))
+        if len(out) >= 20_000:
+            yield flush()
+            out = []
+    if out:
+        yield flush()
+
+
+def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for c, _, found in _search(batches):
+        texts = redact_text(c.text, found).split("\n") if found else [t or "" for t in c.texts]
+        # a text may hold line breaks itself, and then takes as many parts
+        rows, at = [], 0
+        for line, old, own in zip(c.lines, c.texts, c.own, strict=True):
+            n = (old or "").count("\n") + 1
+            if own:
+                rows.append((c.root, c.file, line, None if old is None else "\n".join(texts[at : at + n])))
+            at += n
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(kinds)], names=["root", "file", "line", "text"])
+
+
+def find_credentials(lines: DataFrame) -> DataFrame:
+    """(root, file, line, rule) of the lines on which the value of a credential begins, distinct.
+
+    ``lines`` has (root, file, line, text), in any order, with repeated rows. Null and empty texts hold nothing but keep their place; a row
+    without line number has no place and is left out; lines of any length are searched whole; a text with line breaks inside counts as one line. Other columns are ignored and an empty table gives
+    an empty result. A key block longer than the context lines is found where it begins and not again in the next chunk.
+    """
+    return _chunks(lines).mapInArrow(_find, "root string, file string, line int, rule string").distinct()
+
+
+def redact_credentials(lines: DataFrame) -> DataFrame:
+    """(root, file, line, text): all lines, once each, with every credential value redacted and everything else as it was."""
+    return _chunks(lines).mapInArrow(_redact, "root string, file string, line int, text string")

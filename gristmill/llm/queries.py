@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe
+from gristmill.llm import bpe, credentials
 from gristmill.session import table
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines on which a credential's value begins."""
+    return credentials.find_credentials(table(spark, d, "source_lines")).select("root", "file", "line").distinct()
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """All lines with credentials redacted."""
+    return credentials.redact_credentials(table(spark, d, "source_lines"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.encode_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids,)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_redacted, p7_ids)}
 ORACLE: dict[str, str] = {}
