@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe, credentials
+from gristmill.llm import bpe, credentials, mixing, stuffing
 from gristmill.session import table
 
 
@@ -23,5 +23,26 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_redacted, p7_ids)}
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix of all sources."""
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    targets = table(spark, d, "mix_targets")
+    return mixing.mix_shares(mixing.mix_sources(table(spark, d, "documents"), targets), targets)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword-stuffed and link-list pages."""
+    return stuffing.find_stuffed(table(spark, d, "documents"))
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Shares and features of every document."""
+    return stuffing.score_stuffing(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_redacted, p7_ids, p8_mix, p8_shares, p9_found, p9_scores)}
 ORACLE: dict[str, str] = {}
