@@ -18,6 +18,8 @@ SLOGAN_GAP = 8
 #: Share of a page's characters beyond which it is spam.
 THRESHOLD = 0.5
 
+FEATURES = ("keyword", "link", "tag", "product", "spam", "peak", "function")
+
 # Function words of the languages that are told from keywords by them.
 FUNCTION_WORDS = frozenset(
     "a an the this that these those it its he she they we you i me my our your his her their them us of to in on at by for from with without into onto over under after before until since during between about as and or but nor so if then than because while when where who whom whose which what why how is are was were be been being am do does did done has have had having will would can could may might must shall should not no nobody nothing each every all any both some such only never always again once twice more most less least very too also just there here "
@@ -103,31 +105,41 @@ def recurrence_gaps(terms: np.ndarray) -> np.ndarray:
     return gaps
 
 
-def autocorrelation(terms: np.ndarray, lags: int = LAGS) -> np.ndarray:
-    """Positional autocorrelation at lags 1..``lags``: the share of positions that repeat the term so many positions before."""
-    n = len(terms)
-    return np.array([np.mean(terms[lag:] == terms[:-lag]) if n > lag else 0.0 for lag in range(1, lags + 1)])
+def _bounds(n: int, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First position, end and size of the window around each position, cut at the ends."""
+    at = np.arange(n)
+    lo, hi = np.maximum(0, at - width // 2), np.minimum(n, at + width // 2 + 1)
+    return lo, hi, hi - lo
 
 
-def _window(values: np.ndarray, width: int = WINDOW) -> np.ndarray:
-    """Mean of ``values`` over a window around each position, cut at the ends."""
-    sums = np.concatenate([[0.0], np.cumsum(values)])
-    at = np.arange(len(values))
-    lo, hi = np.maximum(0, at - width // 2), np.minimum(len(values), at + width // 2 + 1)
-    return (sums[hi] - sums[lo]) / (hi - lo)
+def _window(values: np.ndarray, bounds: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Mean of ``values``, along the last axis, over the window around each position."""
+    sums = np.zeros((*values.shape[:-1], values.shape[-1] + 1), np.int32)
+    np.cumsum(values, axis=-1, out=sums[..., 1:])
+    lo, hi, size = bounds
+    return (sums[..., hi] - sums[..., lo]) / size
 
 
-def local_autocorrelation(terms: np.ndarray, content: np.ndarray, lags: int = LAGS) -> np.ndarray:
-    """For each position the greatest autocorrelation of content terms, over all lags, in the window around it."""
-    best = np.zeros(len(terms))
-    for lag in range(1, min(lags, len(terms) - 1) + 1):
-        hit = np.zeros(len(terms))
-        hit[lag:] = (terms[lag:] == terms[:-lag]) & content[lag:]
-        np.maximum(best, _window(hit), out=best)
-    return best
+def autocorrelation(terms: np.ndarray, content: np.ndarray, bounds: tuple[np.ndarray, np.ndarray, np.ndarray], lags: int = LAGS) -> tuple[float, np.ndarray]:
+    """Positional autocorrelation: how often a term comes again just so many positions later.
+
+    Gives the greatest value of any lag over the whole text, and for each position the greatest of its window, where content terms alone count.
+    """
+    n = len(terms)
+    peak, best = 0.0, np.zeros(n)
+    step = lags if n < 20_000 else 1  # all lags at once, but for texts whose matrix would be large
+    for first in range(1, min(lags, n - 1) + 1, step):
+        some = range(first, min(first + step, lags + 1, n))
+        hits = np.zeros((len(some), n), bool)
+        for row, lag in enumerate(some):
+            np.equal(terms[lag:], terms[:-lag], out=hits[row, lag:])
+        peak = max(peak, float((hits.sum(axis=1) / (n - np.array(some))).max()))
+        hits &= content
+        np.maximum(best, _window(hits, bounds).max(axis=0), out=best)
+    return peak, best
 
 
-def _slogans(words: list[str], content: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+def _slogans(words: list[str], content: list[bool], sentence: np.ndarray) -> np.ndarray:
     """Which tokens stand in sentences built around a phrase that comes again and again in changing surroundings.
 
     A sentence that is merely repeated keeps the surroundings of its phrases, so repeated prose is none.
@@ -135,16 +147,18 @@ def _slogans(words: list[str], content: np.ndarray, sentence: np.ndarray) -> np.
     n = len(words)
     best = np.zeros(n, bool)
     for size in (4, 3, 2):
+        grams = list(zip(*(words[k:] for k in range(size)), strict=False))
+        often = {g for g, c in Counter(grams).items() if c >= 4 and c * size >= 0.1 * min(n, 200)}
+        if not often:
+            continue
         where: dict[tuple, list[int]] = {}
-        for i in range(n - size + 1):
-            if content[i] and content[i + size - 1] and content[i : i + size].sum() >= 2:
-                where.setdefault(tuple(words[i : i + size]), []).append(i)
+        for i, g in enumerate(grams):
+            if g in often and content[i] and content[i + size - 1]:
+                where.setdefault(g, []).append(i)
         for places in where.values():
-            if len(places) < 4 or len(places) * size < 0.1 * min(n, 200):
-                continue
             before = {words[i - 1] if i else "" for i in places}
             behind = {words[i + size] if i + size < n else "" for i in places}
-            if min(len(before), len(behind)) < 3 or np.median(np.diff(places)) > SLOGAN_GAP:
+            if len(places) < 4 or min(len(before), len(behind)) < 3 or np.median(np.diff(places)) > SLOGAN_GAP:
                 continue
             inside = np.zeros(n, bool)
             for i in places:
@@ -156,67 +170,75 @@ def _slogans(words: list[str], content: np.ndarray, sentence: np.ndarray) -> np.
 
 def analyse(text: str | None) -> dict[str, float]:
     """Features of a text: share of its characters in keywords, links, tags and products, their sum ``spam``, greatest autocorrelation, function-word share."""
-    out = dict.fromkeys(("keyword", "link", "tag", "product", "spam", "peak", "function"), 0.0)
+    out = dict.fromkeys(FEATURES, 0.0)
     if not text or not text.strip():
         return out
     lines = re.split(r"\r\n|\r|\n", text)
     kinds = line_kinds(lines)
-    size = lambda s: len("".join(s.split()))
-    total = sum(map(size, lines)) or 1
+    total = sum(len(x.strip()) for x in lines) or 1
     words: list[str] = []
-    lengths: list[int] = []
-    breaks: list[bool] = []
-    joined: list[bool] = []
+    starts: list[int] = []
+    stops: list[int] = []
+    breaks: list[int] = []
     sentence: list[int] = []
     at = 0
     for line, kind in zip(lines, kinds, strict=True):
         if kind in ("link", "tag", "product"):
-            out[kind] += size(line) / total
+            out[kind] += len(line.strip()) / total
         elif kind == "text":
-            plain = _MARKUP.sub(" ", _LINK.sub(lambda m: "\x00" * len(m.group()), line))
-            ends = [m.end() for m in _END.finditer(plain)]
+            plain = line
+            if "http" in plain or "www." in plain:
+                plain = _LINK.sub(lambda m: " " * len(m.group()), plain)
+            if "<" in plain or "&" in plain:
+                plain = _MARKUP.sub(lambda m: " " * len(m.group()), plain)
             spans = [m.span() for m in _WORD.finditer(plain)]
-            k = 0
-            for j, (a, b) in enumerate(spans):
-                stop = spans[j + 1][0] if j + 1 < len(spans) else len(line)
-                start = a if j else 0
-                words.append(plain[a:b].lower())
-                lengths.append(size(line[start:stop]))
-                sentence.append(at)
-                ended = False
-                while k < len(ends) and ends[k] <= stop:
-                    ended, k = True, k + 1
-                breaks.append(ended)
-                joined.append(bool(_SPACELESS.search(plain[a:b])))
-                at += ended
+            if not spans:
+                continue
+            words += [plain[a:b].lower() for a, b in spans]
+            first = [a for a, _ in spans]
+            ends = first[1:] + [len(line)]
+            first[0] = 0
+            starts += first
+            stops += ends
+            marks = [m.start() for m in _END.finditer(plain)]
+            if marks:
+                closes = np.zeros(len(spans), int)
+                closes[np.maximum(0, np.searchsorted([a for a, _ in spans], marks, side="left") - 1)] = 1
+                breaks += closes.tolist()
+                sentence += (at + np.cumsum(closes) - closes).tolist()
+                at += int(closes.sum())
+            else:
+                breaks += [0] * len(spans)
+                sentence += [at] * len(spans)
             at += 1
     n = len(words)
     if n:
-        ids = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        terms = np.array([ids[w] for w in words])
-        function = np.array([w in FUNCTION_WORDS for w in words])
-        spaceless = np.array(joined)
-        content = ~function & np.array([not w.isdigit() for w in words]) & ~spaceless
-        ended = np.array(breaks)
-        chars = np.array(lengths, float)
+        ids: dict[str, int] = {}
+        terms = np.array([ids.setdefault(w, len(ids)) for w in words])
+        of_term = list(ids)
+        function_term = np.array([w in FUNCTION_WORDS for w in of_term])
+        script_term = np.array([bool(_SPACELESS.search(w)) if not w.isascii() else False for w in of_term])
+        digit_term = np.array([w.isdigit() for w in of_term])
+        function, spaceless = function_term[terms], script_term[terms]
+        content = ~(function_term | digit_term | script_term)[terms]
+        chars = np.array(stops) - np.array(starts)
+        bounds = _bounds(n)
         recurrent = content & (recurrence_gaps(terms) <= LAGS)
-        few_function = _window(function.astype(float)) <= MOST_FUNCTION
-        no_script = _window(spaceless.astype(float)) < 0.2
-        many_recurrent = _window(recurrent.astype(float)) >= LEAST_RECURRENT
-        sentences = _window(ended.astype(float))
-        regular = local_autocorrelation(terms, content) >= LEAST_REGULAR
-        runs = few_function & (many_recurrent | regular) & no_script & (sentences <= 0.04)
+        shares = _window(np.stack([function, spaceless, recurrent, np.array(breaks, bool)]), bounds)
+        peak, local = autocorrelation(terms, content, bounds)
+        regular = local >= LEAST_REGULAR
+        no_script, no_end = shares[1] < 0.2, shares[3] <= 0.04
+        runs = (shares[0] <= MOST_FUNCTION) & ((shares[2] >= LEAST_RECURRENT) | regular) & no_script & no_end
         # a list of nouns alone: no function word and no end of a sentence far and wide
-        bare = (_window(function.astype(float)) <= 0.02) & (sentences <= 0.02) & no_script & (n >= LEAST_LIST)
-        spam = runs | bare | _slogans(words, content, np.array(sentence))
+        bare = (shares[0] <= 0.02) & no_end & no_script & (n >= LEAST_LIST)
+        spam = runs | bare | _slogans(words, content.tolist(), np.array(sentence))
         out["keyword"] = float(chars[spam].sum() / total)
-        out["peak"] = float(autocorrelation(terms).max())
+        out["peak"] = peak
         out["function"] = float(function.mean())
     out["spam"] = out["keyword"] + out["link"] + out["tag"] + out["product"]
     return out
 
 
-FEATURES = ("keyword", "link", "tag", "product", "spam", "peak", "function")
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
