@@ -48,3 +48,17 @@ def segmented_lag(df: DataFrame, key: list[str], order: list[str], value: Column
     scanned = d.withColumn("_inside", F.lag("_v").over(w)).withColumn("_first", F.row_number().over(w) == 1)
     joined = scanned.join(carry, [PID, *key])
     return joined.withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_inside"))).drop(PID, "_v", "_inside", "_first", "_carry")
+
+
+def segmented_last(df: DataFrame, key: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """The last non-null ``value`` of a row strictly before, within ``key`` along ``order``; null where there is none.
+
+    ``order`` should be unique within a key, else equal rows come in any order. An empty input gives an empty result.
+    """
+    d = range_chunks(df.withColumn("_v", value), key, order)
+    last = d.where(F.col("_v").isNotNull()).groupBy(PID, *key).agg(F.max_by("_v", F.struct(*order)).alias("_last"))
+    chunks = d.select(PID, *key).distinct().join(last, [PID, *key], "left")
+    before = Window.partitionBy(*key).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    carry = chunks.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).drop("_last")
+    inside = F.last("_v", ignorenulls=True).over(Window.partitionBy(PID, *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return d.withColumn("_inside", inside).join(carry, [PID, *key]).withColumn(out, F.coalesce("_inside", "_carry")).drop(PID, "_v", "_inside", "_carry")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gristmill.plans import problems
+from gristmill.plans import pipeline, problems
 
-QUERIES = dict(problems.QUERIES)
-ORACLE = dict(problems.ORACLE)
+QUERIES = pipeline.QUERIES | problems.QUERIES
+ORACLE = pipeline.ORACLE | problems.ORACLE
