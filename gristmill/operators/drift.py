@@ -161,10 +161,16 @@ def _scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- records and files
 
 
+def file_id() -> Column:
+    """Hash of (root, file_name), which stands for the file wherever many rows are moved."""
+    return F.xxhash64(*FILE_KEY)
+
+
 def evidence_records(files: DataFrame) -> DataFrame:
-    """(root, file_name, rid, v): the records of each file as variants, distinct. Text that is no JSON object is no record."""
-    v = files.select(*FILE_KEY, "payload").where(F.col("payload").isNotNull()).distinct().select(*FILE_KEY, F.try_parse_json("payload").alias("v"))
-    return v.where(F.schema_of_variant("v").startswith("OBJECT")).select(*FILE_KEY, F.try_variant_get("v", "$.evidenceId", "string").alias("rid"), "v")
+    """(fid, rid, v): the records of each file as variants, ``rid`` a hash of their id. Text that is no JSON object is no record."""
+    v = files.where(F.col("payload").isNotNull() & F.col("root").isNotNull() & F.col("file_name").isNotNull()).select(file_id().alias("fid"), F.try_parse_json("payload").alias("v"))
+    rid = F.try_variant_get("v", "$.evidenceId", "string")
+    return v.where(F.schema_of_variant("v").startswith("OBJECT")).select("fid", F.when(rid.isNotNull(), F.xxhash64(rid)).alias("rid"), "v")
 
 
 def canonical(v: Column, kind: Column) -> Column:
@@ -174,11 +180,12 @@ def canonical(v: Column, kind: Column) -> Column:
 
 
 def record_fields(records: DataFrame, id_field: str = "evidenceId") -> DataFrame:
-    """(root, file_name, rid, field, kind, val): the top-level fields of each record, but for the one that identifies it."""
+    """(fid, rid, field, kind, val): the top-level fields of each record, but for the one that identifies it; ``val`` is a hash, null for null."""
     spark = records.sparkSession
     exploded = records.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).where(F.col("key").isNotNull() & (F.col("key") != id_field))
     kind = F.schema_of_variant("value")
-    return exploded.select(*FILE_KEY, "rid", F.col("key").alias("field"), kind.alias("kind"), canonical(F.col("value"), kind).alias("val"))
+    text = canonical(F.col("value"), kind)
+    return exploded.select("fid", "rid", F.col("key").alias("field"), kind.alias("kind"), F.when(text.isNotNull(), F.xxhash64(text)).alias("val"))
 
 
 def file_order(files: DataFrame) -> DataFrame:
@@ -196,29 +203,29 @@ def schema_scripts(files: DataFrame) -> DataFrame:
     being gathered. Only schema trees, whose size does not grow with the rows, meet in one task. Repeated rows count once; unparsable payloads are
     no records, though their file still has its place in time; null roots and file names are left out. An empty table gives an empty result.
     """
-    order = checkpointed(file_order(files))
-    records = evidence_records(files).where(F.col("root").isNotNull() & F.col("file_name").isNotNull())
+    order = checkpointed(file_order(files).withColumn("fid", file_id()).withColumn("prev", F.when(F.col("prev_file").isNotNull(), F.xxhash64("root", "prev_file"))))
+    records = evidence_records(files)
     # The kinds of a field are few, so this collects little whatever the number of rows.
-    fields = checkpointed(record_fields(records))
-    stats = checkpointed(fields.groupBy(*FILE_KEY, "field").agg(F.collect_set("kind").alias("kinds")))
-    pairs = order.where(F.col("prev_file").isNotNull()).select("root", F.col("file_name").alias("pair"), F.explode(F.array(F.struct(F.col("file_name").alias("f"), F.lit(True).alias("later")), F.struct(F.col("prev_file").alias("f"), F.lit(False).alias("later")))).alias("s")).select("root", "pair", F.col("s.f").alias("file_name"), "s.later")
-    both = pairs.join(stats, FILE_KEY).select("root", "pair", "field", "later", "kinds", "file_name")
-    sides = both.groupBy("root", "pair", "field").agg(F.collect_list(F.struct("later", "kinds", "file_name")).alias("s"))
-    lone = sides.where(F.size("s") == 1).select("root", "pair", "field", F.explode("s").alias("s")).select("root", "pair", "field", "s.later", "s.file_name")
-    matched = lone.groupBy("root", "pair").agg(F.count_if("later").alias("n_new"), F.count_if(~F.col("later")).alias("n_gone")).where("n_new > 0 and n_gone > 0").select("root", "pair")
-    candidates = lone.join(matched, ["root", "pair"], "left_semi")
-    # records that both files of such a pair hold
-    rids = fields.select(*FILE_KEY, "rid").distinct().unionByName(records.select(*FILE_KEY, "rid")).where(F.col("rid").isNotNull()).distinct()
-    wanted = pairs.join(matched, ["root", "pair"], "left_semi")
-    common = wanted.join(rids, FILE_KEY).groupBy("root", "pair", "rid").agg(F.count_distinct("later").alias("n")).where("n = 2").select("root", "pair", "rid")
-    values = candidates.join(fields.where(F.col("val").isNotNull()).select(*FILE_KEY, "field", "rid", "val").distinct(), [*FILE_KEY, "field"])
-    # no overflow: the hash is folded to 48 bits before it is summed, twice with different seeds
+    stats = checkpointed(record_fields(records).groupBy("fid", "field").agg(F.collect_set("kind").alias("kinds")))
+    pairs = order.where(F.col("prev").isNotNull()).select(F.col("fid").alias("pair"), F.explode(F.array(F.struct("fid", F.lit(True).alias("later")), F.struct(F.col("prev").alias("fid"), F.lit(False).alias("later")))).alias("s")).select("pair", "s.fid", "s.later")
+    sides = pairs.join(stats, "fid").groupBy("pair", "field").agg(F.collect_list(F.struct("later", "kinds", "fid")).alias("s"))
+    lone = sides.where(F.size("s") == 1).select("pair", "field", F.explode("s").alias("s")).select("pair", "field", "s.later", "s.fid")
+    matched = lone.groupBy("pair").agg(F.count_if("later").alias("n_new"), F.count_if(~F.col("later")).alias("n_gone")).where("n_new > 0 and n_gone > 0").select("pair")
+    candidates = checkpointed(lone.join(matched, "pair", "left_semi").select("pair", "field", "fid"))
+    # records that both files of such a pair hold, and their values: only files of such pairs are looked at again
+    wanted = pairs.join(candidates.select("pair").distinct(), "pair", "left_semi")
+    again = records.where(F.col("rid").isNotNull()).join(candidates.select("fid").distinct(), "fid", "left_semi")
+    rids = wanted.join(again.select("fid", "rid").distinct(), "fid")
+    common = rids.groupBy("pair", "rid").agg(F.count_distinct("later").alias("n")).where("n = 2").select("pair", "rid")
+    values = record_fields(again).where(F.col("val").isNotNull()).select("fid", "field", "rid", "val").join(candidates, ["fid", "field"]).select("pair", "field", "rid", "val").distinct()
+    # no overflow: hashes are folded to 40 bits before they are summed, twice with different seeds
     h = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "rid", "val"), F.lit(1 << 40)))
-    sums = values.join(common, ["root", "pair", "rid"], "left_semi").groupBy("root", "pair", "field").agg(F.count("*").alias("n"), h(1).alias("s1"), h(2).alias("s2"))
-    evidence = candidates.select("root", "pair", "field").join(sums, ["root", "pair", "field"], "left").select("root", "pair", "field", F.coalesce("n", F.lit(0)).alias("n"), F.concat_ws(":", F.coalesce("s1", F.lit(0)), F.coalesce("s2", F.lit(0))).alias("sig"))
-    full = sides.join(evidence, ["root", "pair", "field"], "left").select("root", "pair", "field", "n", "sig", F.explode("s").alias("s"))
-    trees = full.groupBy("root", "pair").agg(F.collect_list(F.struct("field", F.col("s.later").alias("later"), F.col("s.kinds").alias("kinds"), "n", "sig")).alias("fields")).withColumnRenamed("pair", "file_name")
-    return trees.mapInArrow(_scripts, "root string, file_name string, op string, path string, to_path string, old_type string, new_type string, depth int")
+    sums = values.join(common, ["pair", "rid"], "left_semi").groupBy("pair", "field").agg(F.count("*").alias("n"), h(1).alias("s1"), h(2).alias("s2"))
+    evidence = candidates.select("pair", "field").join(sums, ["pair", "field"], "left").select("pair", "field", F.coalesce("n", F.lit(0)).alias("n"), F.concat_ws(":", F.coalesce("s1", F.lit(0)), F.coalesce("s2", F.lit(0))).alias("sig"))
+    full = sides.join(evidence, ["pair", "field"], "left").select("pair", "field", "n", "sig", F.explode("s").alias("s"))
+    trees = full.groupBy("pair").agg(F.collect_list(F.struct("field", F.col("s.later").alias("later"), F.col("s.kinds").alias("kinds"), "n", "sig")).alias("fields"))
+    named = trees.join(order.select(F.col("fid").alias("pair"), *FILE_KEY), "pair").select(*FILE_KEY, "fields")
+    return named.mapInArrow(_scripts, "root string, file_name string, op string, path string, to_path string, old_type string, new_type string, depth int")
 
 
 def field_changes(scripts: DataFrame) -> DataFrame:
