@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as fn
-from gristmill.operators import catalog, correlate, evidence, relations, runs
+from gristmill.operators import catalog, correlate, evidence, relations, review, runs
 from gristmill.session import table
+from gristmill.sources import trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -482,3 +483,59 @@ def interface_numbering(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "raw_facts").where("match_source = 'decorator' and argument is not null").groupBy("root", "file", F.concat_ws(" ", "reference_name", "argument").alias("route")).agg(F.min("ord").alias("o"))
     n = F.row_number().over(Window.partitionBy("root", "file").orderBy("o")) - 1
     return r.select("root", "file", F.concat(F.lit("iface-"), n).alias("interface_id"), "route")
+
+
+@query("""SELECT DISTINCT root, file, CAST(line AS INTEGER) AS start_line, CASE WHEN lower(v) = 'route' THEN 'GET' ELSE upper(v) END || ' /' || regexp_replace(p, '^/', '') AS name FROM (
+SELECT *, CASE WHEN file LIKE '%.py' THEN regexp_extract(text, '^\\s*@(?:app|router|\\w+)\\.(get|post|put|patch|delete|route)\\(\\s*["'']([^"'']*)["'']', 1) ELSE regexp_extract(text, '^\\s*@(Get|Post|Put|Patch|Delete)(?:Mapping)?\\(\\s*["'']([^"'']*)["'']', 1) END AS v,
+CASE WHEN file LIKE '%.py' THEN regexp_extract(text, '^\\s*@(?:app|router|\\w+)\\.(get|post|put|patch|delete|route)\\(\\s*["'']([^"'']*)["'']', 2) ELSE regexp_extract(text, '^\\s*@(Get|Post|Put|Patch|Delete)(?:Mapping)?\\(\\s*["'']([^"'']*)["'']', 2) END AS p
+FROM source_lines WHERE regexp_matches(file, '\\.(py|ts|java)$')) WHERE v <> ''""")
+def native_routes(spark: SparkSession, d: str) -> DataFrame:
+    """S-02: routes read from the text of all files."""
+    return trees.native_routes(table(spark, d, "source_lines"))
+
+
+_DRAFTS = [
+    ("unknown override_type", F.col("override_type").isin("node_add", "node_remove", "type_change", "node_rename", "boundary_change", "relationship_add", "relationship_remove")), ("no target_ref", F.trim("target_ref") != ""), ("no decision_record_ref", F.trim("decision_record_ref") != ""),
+    ("value needed", F.col("override_type").isin("node_remove", "relationship_remove") | F.col("new_value").isNotNull()), ("value must be a string", ~F.col("override_type").isin("type_change", "node_rename") | F.coalesce(F.col("new_value").startswith('"'), F.lit(True))),
+]
+
+
+@query("""SELECT DISTINCT override_id, error FROM (SELECT override_id, unnest([CASE WHEN coalesce(override_type, '') NOT IN ('node_add', 'node_remove', 'type_change', 'node_rename', 'boundary_change', 'relationship_add', 'relationship_remove') THEN 'unknown override_type' END,
+CASE WHEN coalesce(trim(target_ref), '') = '' THEN 'no target_ref' END, CASE WHEN coalesce(trim(decision_record_ref), '') = '' THEN 'no decision_record_ref' END, CASE WHEN override_type NOT IN ('node_remove', 'relationship_remove') AND new_value IS NULL THEN 'value needed' END,
+CASE WHEN override_type IN ('type_change', 'node_rename') AND NOT starts_with(new_value, '"') THEN 'value must be a string' END]) AS error FROM overrides) WHERE error IS NOT NULL""")
+def draft_validation(spark: SparkSession, d: str) -> DataFrame:
+    """U-05: what is wrong with each override as delivered."""
+    return review.validate_drafts(table(spark, d, "overrides"), _DRAFTS)
+
+
+@query("""WITH p AS (SELECT DISTINCT lower(trim(target_ref)) AS unit_id, action AS trigger, target_type AS class FROM decisions WHERE status = 'active' AND deleted_at IS NULL), f AS (SELECT DISTINCT override_id AS id, lower(trim(target_ref)) AS unit_id, 'overridden' AS trigger,
+CASE WHEN override_type LIKE 'relationship%' THEN 'relationship' ELSE 'node' END AS class FROM overrides), j AS (SELECT f.id, coalesce(bool_or(p.trigger = f.trigger AND p.class = f.class), false) AS same, count(p.trigger) AS n FROM f LEFT JOIN p ON p.unit_id = f.unit_id GROUP BY f.id)
+SELECT id, CASE WHEN same THEN 'carried_forward' WHEN n > 0 THEN 'reconfirm' ELSE 'open' END AS outcome FROM j""")
+def carry_forward(spark: SparkSession, d: str) -> DataFrame:
+    """J-30: overrides whose target was decided before."""
+    low = F.lower(F.trim("target_ref")).alias("unit_id")
+    p = table(spark, d, "decisions").where("status = 'active' and deleted_at is null").select(F.col("decision_id").alias("id"), low, F.col("action").alias("trigger"), F.col("target_type").alias("class"))
+    f = table(spark, d, "overrides").select(F.col("override_id").alias("id"), low, F.lit("overridden").alias("trigger"), F.when(F.col("override_type").startswith("relationship"), "relationship").otherwise("node").alias("class")).distinct()
+    return review.carry_forward(p, f)
+
+
+@query("""WITH s AS (SELECT DISTINCT lower(trim(target_ref)) AS id, action AS signal FROM decisions WHERE nullif(trim(target_ref), '') IS NOT NULL), c AS (SELECT id, count(DISTINCT signal) AS score FROM s GROUP BY id) SELECT id, score FROM c ORDER BY score DESC, id LIMIT 100""")
+def rank_backlog(spark: SparkSession, d: str) -> DataFrame:
+    """A-18, W-08: the hundred targets with the most kinds of decisions; the cap is the report's feature."""
+    s = table(spark, d, "decisions").where("trim(target_ref) <> ''").select(F.lower(F.trim("target_ref")).alias("id"), F.col("action").alias("signal"))
+    return review.rank_and_cap(review.consequence(s), F.lit(False), 100, [F.desc("score"), "id"])[0]
+
+
+@query("""SELECT decision_id AS id, round((epoch_us(m.now) - epoch_us(min(c.loaded_at))) / 86400000000, 1) AS age_days FROM (SELECT DISTINCT decision_id, lower(trim(target_ref)) AS t FROM decisions) d LEFT JOIN calm_elements c ON lower(trim(c.element_id)) = d.t CROSS JOIN (SELECT max(loaded_at) AS now FROM calm_elements) m GROUP BY decision_id, m.now""")
+def residual_age(spark: SparkSession, d: str) -> DataFrame:
+    """J-31: days since the element of each decision was first seen, up to the last element of all."""
+    e = table(spark, d, "calm_elements").select(F.lower(F.trim("element_id")).alias("unit_id"), F.col("loaded_at").alias("generated_at"))
+    r = table(spark, d, "decisions").select(F.col("decision_id").alias("id"), F.lower(F.trim("target_ref")).alias("unit_id")).distinct()
+    now = e.agg(F.max("generated_at").alias("now"))  # one row
+    return review.residual_age(r.join(F.broadcast(now), F.lit(True)), e, F.col("now"))
+
+
+@query("""WITH g AS (SELECT l_returnflag, l_linestatus, count(*) AS need FROM lineitem GROUP BY ALL), f AS (SELECT o_orderstatus AS l_linestatus, 'N' AS l_returnflag, count(*) AS have FROM orders GROUP BY ALL) SELECT g.l_returnflag, g.l_linestatus, g.need, coalesce(f.have, 0) AS have FROM g LEFT JOIN f USING (l_returnflag, l_linestatus) WHERE coalesce(f.have, 0) < g.need""")
+def topology_compare(spark: SparkSession, d: str) -> DataFrame:
+    """A-16: pairs of which there are fewer orders than lines."""
+    return review.missing_topology(table(spark, d, "lineitem").select("l_returnflag", "l_linestatus"), table(spark, d, "orders").select(F.lit("N").alias("l_returnflag"), F.col("o_orderstatus").alias("l_linestatus")), ["l_returnflag", "l_linestatus"])

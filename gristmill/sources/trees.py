@@ -131,3 +131,27 @@ def library_imports(imports: DataFrame, libraries: dict[str, list[str]], languag
 def read_bindings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """S-20: rows of a CSV with a header; rows with another number of cells are dropped."""
     return spark.read.csv(path, schema=", ".join(f"`{c}` string" for c in columns), header=True, escape='"', mode="DROPMALFORMED", enforceSchema=True)
+
+
+def native_routes(lines: DataFrame) -> DataFrame:
+    """S-02: (root, file, start_line, name) of routes as their frameworks write them, name as "GET /x"."""
+    # How Flask and FastAPI, and annotated Java and TypeScript methods write a route.
+    py = r"""^\s*@(?:app|router|\w+)\.(get|post|put|patch|delete|route)\(\s*["']([^"']*)["']"""
+    java = r"""^\s*@(Get|Post|Put|Patch|Delete)(?:Mapping)?\(\s*["']([^"']*)["']"""
+    pattern = F.when(F.col("file").endswith(".py"), F.lit(py)).otherwise(F.lit(java))
+    verb = F.when(F.col("file").endswith(".py"), F.regexp_extract("text", py, 1)).otherwise(F.regexp_extract("text", java, 1))
+    path = F.when(F.col("file").endswith(".py"), F.regexp_extract("text", py, 2)).otherwise(F.regexp_extract("text", java, 2))
+    method = F.when(F.lower(verb) == "route", "GET").otherwise(F.upper(verb))
+    return lines.where(F.col("file").rlike(r"\.(?:py|ts|java)$") & F.col("text").rlike("@") & F.regexp_like(F.col("text"), pattern)).select("root", "file", F.col("line").alias("start_line"), F.concat(method, F.lit(" /"), F.regexp_replace(path, "^/", "")).alias("name")).distinct()
+
+
+def route_summary(routes: DataFrame) -> DataFrame:
+    """A-19: routes by file."""
+    return routes.groupBy("root", "file").agg(F.count("*").alias("n_routes"))
+
+
+def type_references(lines: DataFrame) -> DataFrame:
+    """S-05: (root, file, line, match_source, reference_name): types of fields."""
+    t = F.regexp_extract("text", r"\b(?:private|protected|public|readonly)\b(?:\s+(?:static|final|readonly))*\s+([A-Z]\w*)\b(?:<[^>]*>)?\s+\w+\s*[;=]", 1)
+    u = F.regexp_extract("text", r"\b(?:private|protected|public|readonly)\b[^:({]*:\s*([A-Z]\w*)", 1)
+    return lines.select("root", "file", "line", F.lit("field-type").alias("match_source"), F.when(t != "", t).otherwise(u).alias("reference_name")).where("reference_name <> ''")
