@@ -44,7 +44,7 @@ class Rule:
 
 _SUFFIX = re.compile(r"(?:old|new|v\d+|eu|us|uk|prod|production|dev|test|stage|staging|backup|b64|base64|encoded|\d+)+$")
 _ENDS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "secrets", "credential", "credentials", "token", "apikey", "authkey", "signingkey", "encryptionkey", "accesskey", "secretkey", "privatekey", "accountkey", "masterkey", "sharedkey", "servicekey", "sshkey", "authorization", "pemkey", "deploykey", "hmackey", "aeskey", "cryptkey", "licensekey", "accesskeyid")
-_SHORT = re.compile(r"(?:^|[_.\-])(?:pass|pw)$|[a-z](?:Pass|Pw)$|^[A-Z_]+(?:PASS|PW)$", 0)
+_SHORT = re.compile(r"(?:^|[_.\-])(?i:pass|pw)$|[a-z](?:Pass|Pw)$|^[A-Z_]+(?:PASS|PW)$")
 _TRAIL = re.compile(r"(?:[_.\-]?(?:[oO]ld|OLD|[nN]ew|NEW|[vV]\d+|[eE]u|EU|[uU]s|US|[pP]rod|PROD|[dD]ev|DEV|[tT]est|TEST|[bB]64|B64|\d+))+$")
 
 
