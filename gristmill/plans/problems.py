@@ -133,7 +133,31 @@ SELECT DISTINCT * FROM (
   UNION ALL SELECT arch_id, parent, 'requirement', pos FROM req
   UNION ALL SELECT arch_id, parent, 'evidence-path', path FROM epath)"""
 
+_P4 = """
+WITH f AS (SELECT root, file_name, min(generated_at) AS since FROM evidence_files GROUP BY ALL),
+p AS (SELECT * FROM (SELECT root, file_name, lag(file_name) OVER (PARTITION BY root ORDER BY since, file_name) AS prev FROM f) WHERE prev IS NOT NULL),
+r AS (SELECT DISTINCT root, file_name, CAST(payload AS JSON) AS j FROM evidence_files WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+ids AS (SELECT DISTINCT root, file_name, json_extract_string(j, '$.evidenceId') AS rid FROM r WHERE json_extract_string(j, '$.evidenceId') IS NOT NULL),
+x AS (SELECT root, file_name, json_extract_string(j, '$.evidenceId') AS rid, k AS field, json_extract(j, '$."' || k || '"') AS v FROM (SELECT *, unnest(json_keys(j)) AS k FROM r) WHERE k <> 'evidenceId'),
+t AS (SELECT *, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS ty,
+  CASE WHEN json_type(v) = 'NULL' THEN NULL WHEN json_type(v) IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'n' || CAST(CAST(v AS DOUBLE) AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS cv FROM x),
+s AS (SELECT root, file_name, field, string_agg(DISTINCT ty, '|' ORDER BY ty) AS tys FROM t GROUP BY ALL),
+later AS (SELECT p.root, p.file_name, p.prev, s.field, s.tys FROM p JOIN s ON s.root = p.root AND s.file_name = p.file_name),
+earlier AS (SELECT p.root, p.file_name, p.prev, s.field, s.tys FROM p JOIN s ON s.root = p.root AND s.file_name = p.prev),
+come AS (SELECT * FROM later n WHERE NOT EXISTS (SELECT 1 FROM earlier b WHERE b.root = n.root AND b.file_name = n.file_name AND b.field = n.field)),
+gone AS (SELECT * FROM earlier b WHERE NOT EXISTS (SELECT 1 FROM later n WHERE b.root = n.root AND b.file_name = n.file_name AND b.field = n.field)),
+m AS (SELECT g.root, g.file_name, g.prev, g.field AS a, c.field AS b FROM gone g JOIN come c ON c.root = g.root AND c.file_name = g.file_name),
+bad AS (SELECT DISTINCT m.* FROM m JOIN ids i ON i.root = m.root AND i.file_name = m.prev JOIN ids k ON k.root = m.root AND k.file_name = m.file_name AND k.rid = i.rid
+  LEFT JOIN t va ON va.root = m.root AND va.file_name = m.prev AND va.rid = i.rid AND va.field = m.a LEFT JOIN t vb ON vb.root = m.root AND vb.file_name = m.file_name AND vb.rid = i.rid AND vb.field = m.b
+  WHERE va.cv IS DISTINCT FROM vb.cv),
+ren AS (SELECT * FROM m EXCEPT SELECT * FROM bad)
+SELECT file_name, b AS field, 'renamed' AS change FROM ren
+UNION SELECT file_name, field, 'removed' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.root = g.root AND ren.file_name = g.file_name AND ren.a = g.field)
+UNION SELECT file_name, field, 'added' FROM come c WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.root = c.root AND ren.file_name = c.file_name AND ren.b = c.field)
+UNION SELECT n.file_name, n.field, 'retyped' FROM later n JOIN earlier b ON b.root = n.root AND b.file_name = n.file_name AND b.field = n.field WHERE n.tys <> b.tys"""
+
 ORACLE = {
+    "p4_found": _P4,
     "p1_found": _P1_REFS + " SELECT DISTINCT ref_table, ref_field, strftime(t, '%Y-%m') AS period, ref_key FROM judged WHERE NOT live",
     "p1_report": _P1_REFS + """, tainted AS (
   SELECT own AS id, 0 AS depth FROM judged WHERE NOT live AND own IS NOT NULL
