@@ -494,10 +494,12 @@ def native_routes(spark: SparkSession, d: str) -> DataFrame:
     return trees.native_routes(table(spark, d, "source_lines"))
 
 
-_DRAFTS = [
-    ("unknown override_type", F.col("override_type").isin("node_add", "node_remove", "type_change", "node_rename", "boundary_change", "relationship_add", "relationship_remove")), ("no target_ref", F.trim("target_ref") != ""), ("no decision_record_ref", F.trim("decision_record_ref") != ""),
-    ("value needed", F.col("override_type").isin("node_remove", "relationship_remove") | F.col("new_value").isNotNull()), ("value must be a string", ~F.col("override_type").isin("type_change", "node_rename") | F.coalesce(F.col("new_value").startswith('"'), F.lit(True))),
-]
+def _draft_rules() -> list:
+    """What must hold for an override as delivered."""
+    return [
+        ("unknown override_type", F.col("override_type").isin("node_add", "node_remove", "type_change", "node_rename", "boundary_change", "relationship_add", "relationship_remove")), ("no target_ref", F.trim("target_ref") != ""), ("no decision_record_ref", F.trim("decision_record_ref") != ""),
+        ("value needed", F.col("override_type").isin("node_remove", "relationship_remove") | F.col("new_value").isNotNull()), ("value must be a string", ~F.col("override_type").isin("type_change", "node_rename") | F.coalesce(F.col("new_value").startswith('"'), F.lit(True))),
+    ]
 
 
 @query("""SELECT DISTINCT override_id, error FROM (SELECT override_id, unnest([CASE WHEN coalesce(override_type, '') NOT IN ('node_add', 'node_remove', 'type_change', 'node_rename', 'boundary_change', 'relationship_add', 'relationship_remove') THEN 'unknown override_type' END,
@@ -505,7 +507,7 @@ CASE WHEN coalesce(trim(target_ref), '') = '' THEN 'no target_ref' END, CASE WHE
 CASE WHEN override_type IN ('type_change', 'node_rename') AND NOT starts_with(new_value, '"') THEN 'value must be a string' END]) AS error FROM overrides) WHERE error IS NOT NULL""")
 def draft_validation(spark: SparkSession, d: str) -> DataFrame:
     """U-05: what is wrong with each override as delivered."""
-    return review.validate_drafts(table(spark, d, "overrides"), _DRAFTS)
+    return review.validate_drafts(table(spark, d, "overrides"), _draft_rules())
 
 
 @query("""WITH p AS (SELECT DISTINCT lower(trim(target_ref)) AS unit_id, action AS trigger, target_type AS class FROM decisions WHERE status = 'active' AND deleted_at IS NULL), f AS (SELECT DISTINCT override_id AS id, lower(trim(target_ref)) AS unit_id, 'overridden' AS trigger,

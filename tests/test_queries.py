@@ -35,3 +35,13 @@ def test_like_sql(spark, sf, db, name):
 
 def test_all_have_a_name_once():
     assert set(registry.ORACLE) <= set(registry.QUERIES)
+
+
+def test_entry_point_needs_no_session():
+    import pathlib
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=pathlib.Path(__file__).parent.parent, capture_output=True, text=True, check=True)
+    assert int(out.stdout.split()[-2]) >= len(registry.QUERIES)
