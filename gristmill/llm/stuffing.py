@@ -56,37 +56,42 @@ def line_kinds(lines: list[str]) -> list[str]:
     fenced = table = False
     for i, raw in enumerate(lines):
         line = raw.strip()
+        if not line:
+            kinds.append("blank")
+            continue
         if line.startswith("```"):
             fenced = not fenced
             kinds.append("neutral")
             table = False
             continue
         pipes = line.count("|")
-        ruled = bool(pipes and _RULER.match(line)) or bool(pipes and i + 1 < len(lines) and "|" in lines[i + 1] and _RULER.match(lines[i + 1]))
-        # a table goes on over blank lines, and over a cell that was broken off its row
-        torn = table and any(x.strip() for x in lines[i + 1 : i + 8]) and next(x.strip() for x in lines[i + 1 : i + 8] if x.strip()).startswith("|")
-        table = ruled or (table and (pipes > 0 or not line or torn))
-        if not line:
-            kinds.append("blank")
-        elif fenced or table or _LOG.match(line):
+        if pipes and not table:
+            table = bool(_RULER.match(line)) or (i + 1 < len(lines) and "|" in lines[i + 1] and bool(_RULER.match(lines[i + 1])))
+        elif table and not pipes:
+            # a table goes on over blank lines, and over a cell that was broken off its row
+            table = next((x.lstrip() for x in lines[i + 1 : i + 8] if x.strip()), "").startswith("|")
+        if fenced or table or (line[0] in "[0123456789" and _LOG.match(line)):
+            kinds.append("neutral")
+            continue
+        linked = "://" in line or "www." in line
+        links = _LINK.findall(line) if linked else []
+        rest = _LINK.sub(" ", _BULLET.sub("", line, count=1)) if links else line
+        if "<" in rest or "&" in rest:
+            rest = _MARKUP.sub(" ", rest)
+        words = _WORD.findall(rest)
+        many = len(words)
+        function = sum(map(FUNCTION_WORDS.__contains__, map(str.lower, words)))
+        tags = len(_TAG.findall(line)) if "#" in line else 0
+        if links and ((many <= 2 and len(rest.strip()) < 25) or (many <= 6 * len(links) and function <= 0.1 * many and not rest.rstrip().endswith((".", "!", "?", "。", "！", "？")))):
+            kinds.append("link")
+        elif tags and tags >= (0.6 if tags >= 3 else 0.9) * many:
+            kinds.append("tag")
+        elif pipes >= 2 and function <= 0.2 * max(1, many) and _PRICE.search(line):
+            kinds.append("product")
+        elif _ENTRY.match(raw) or _STATEMENT.search(raw) or (not tags and function <= 0.34 * max(1, many) and _CODE.search(raw)):
             kinds.append("neutral")
         else:
-            body = _BULLET.sub("", line, count=1)
-            links = _LINK.findall(body)
-            rest = _MARKUP.sub(" ", _LINK.sub(" ", body))
-            words = _WORD.findall(rest)
-            tags = _TAG.findall(body)
-            function = sum(w.lower() in FUNCTION_WORDS for w in words)
-            if links and ((len(words) <= 2 and len(rest.strip()) < 25) or (len(words) <= 6 * len(links) and function <= 0.1 * len(words) and not re.search(r"[.!?。！？]\s*$", rest))):
-                kinds.append("link")
-            elif tags and len(tags) >= (0.6 if len(tags) >= 3 else 0.9) * len(words):
-                kinds.append("tag")
-            elif pipes >= 2 and _PRICE.search(body) and function <= 0.2 * max(1, len(words)):
-                kinds.append("product")
-            elif _ENTRY.match(raw) or _STATEMENT.search(raw) or (_CODE.search(raw) and not tags and function <= 0.34 * max(1, len(words))):
-                kinds.append("neutral")
-            else:
-                kinds.append("text")
+            kinds.append("text")
     return kinds
 
 
@@ -146,9 +151,13 @@ def _slogans(words: list[str], content: list[bool], sentence: np.ndarray) -> np.
     """
     n = len(words)
     best = np.zeros(n, bool)
+    least = 0.1 * min(n, 200)
+    pairs = Counter(zip(words, words[1:], strict=False))
+    if max(pairs.values(), default=0) < max(4, least / 4):
+        return best  # no phrase of any size comes often enough if no two words do
     for size in (4, 3, 2):
         grams = list(zip(*(words[k:] for k in range(size)), strict=False))
-        often = {g for g, c in Counter(grams).items() if c >= 4 and c * size >= 0.1 * min(n, 200)}
+        often = {g for g, c in (pairs if size == 2 else Counter(grams)).items() if c >= 4 and c * size >= least}
         if not often:
             continue
         where: dict[tuple, list[int]] = {}
@@ -168,85 +177,100 @@ def _slogans(words: list[str], content: list[bool], sentence: np.ndarray) -> np.
     return best
 
 
-def analyse(text: str | None) -> dict[str, float]:
-    """Features of a text: share of its characters in keywords, links, tags and products, their sum ``spam``, greatest autocorrelation, function-word share."""
+def analyse(text: str | None, full: bool = True) -> dict[str, float]:
+    """Features of a text: share of its characters in keywords, links, tags and products, their sum ``spam``, greatest autocorrelation, function-word share.
+
+    Without ``full`` only what decides is worked out: whether ``spam`` is beyond the threshold is the same, but a value that cannot change
+    that any more, and the last two features, may be left at 0.
+    """
     out = dict.fromkeys(FEATURES, 0.0)
     if not text or not text.strip():
         return out
     lines = re.split(r"\r\n|\r|\n", text)
     kinds = line_kinds(lines)
-    total = sum(len(x.strip()) for x in lines) or 1
-    words: list[str] = []
-    starts: list[int] = []
-    stops: list[int] = []
-    breaks: list[int] = []
-    sentence: list[int] = []
-    at = 0
+    total = 0
+    plain: list[str] = []
     for line, kind in zip(lines, kinds, strict=True):
+        size = len(line.strip())
+        total += size
         if kind in ("link", "tag", "product"):
-            out[kind] += len(line.strip()) / total
+            out[kind] += size
         elif kind == "text":
-            plain = line
-            if "http" in plain or "www." in plain:
-                plain = _LINK.sub(lambda m: " " * len(m.group()), plain)
-            if "<" in plain or "&" in plain:
-                plain = _MARKUP.sub(lambda m: " " * len(m.group()), plain)
-            spans = [m.span() for m in _WORD.finditer(plain)]
-            if not spans:
+            plain.append(line)
+    total = total or 1
+    for kind in ("link", "tag", "product"):
+        out[kind] /= total
+    out["spam"] = out["link"] + out["tag"] + out["product"]
+    room = sum(map(len, plain)) / total
+    if not plain or (not full and (out["spam"] > THRESHOLD or out["spam"] + room <= THRESHOLD)):
+        return out
+    words: list[str] = []
+    chars: list[int] = []
+    breaks: list[bool] = []
+    sentence: list[int] = []
+    at = 0
+    for line in plain:
+        if "://" in line or "www." in line:
+            line = _LINK.sub(lambda m: " " * len(m.group()), line)
+        if "<" in line or "&" in line:
+            line = _MARKUP.sub(lambda m: " " * len(m.group()), line)
+        start = 0
+        for stop in [m.end() for m in _END.finditer(line)] + [len(line)]:
+            part = line[start:stop]
+            found = _WORD.findall(part.lower())
+            start = stop
+            if not found:
                 continue
-            words += [plain[a:b].lower() for a, b in spans]
-            first = [a for a, _ in spans]
-            ends = first[1:] + [len(line)]
-            first[0] = 0
-            starts += first
-            stops += ends
-            marks = [m.start() for m in _END.finditer(plain)]
-            if marks:
-                closes = np.zeros(len(spans), int)
-                closes[np.maximum(0, np.searchsorted([a for a, _ in spans], marks, side="left") - 1)] = 1
-                breaks += closes.tolist()
-                sentence += (at + np.cumsum(closes) - closes).tolist()
-                at += int(closes.sum())
-            else:
-                breaks += [0] * len(spans)
-                sentence += [at] * len(spans)
+            sizes = list(map(len, found))
+            sizes[-1] += len(part) - sum(sizes) - len(sizes) + 1
+            words += found
+            chars += [x + 1 for x in sizes[:-1]] + sizes[-1:]
+            breaks += [False] * (len(found) - 1) + [stop < len(line) or bool(_END.search(part[-3:]))]
+            sentence += [at] * len(found)
             at += 1
     n = len(words)
-    if n:
+    if not n:
+        return out
+    function = np.fromiter(map(FUNCTION_WORDS.__contains__, words), bool, n)
+    bounds = _bounds(n)
+    shares = _window(np.stack([function, np.array(breaks, bool)]), bounds)
+    few = (shares[0] <= MOST_FUNCTION) & (shares[1] <= 0.04)
+    spam = np.zeros(n, bool)
+    odd = {w for w in set(words) if w.isdigit() or (not w.isascii() and _SPACELESS.search(w))}
+    content = ~(function | np.fromiter(map(odd.__contains__, words), bool, n)) if odd else ~function
+    if full or few.any():
         ids: dict[str, int] = {}
         terms = np.array([ids.setdefault(w, len(ids)) for w in words])
-        of_term = list(ids)
-        function_term = np.array([w in FUNCTION_WORDS for w in of_term])
-        script_term = np.array([bool(_SPACELESS.search(w)) if not w.isascii() else False for w in of_term])
-        digit_term = np.array([w.isdigit() for w in of_term])
-        function, spaceless = function_term[terms], script_term[terms]
-        content = ~(function_term | digit_term | script_term)[terms]
-        chars = np.array(stops) - np.array(starts)
-        bounds = _bounds(n)
+        spaceless = np.array([not w.isascii() and bool(_SPACELESS.search(w)) for w in ids])[terms]
         recurrent = content & (recurrence_gaps(terms) <= LAGS)
-        shares = _window(np.stack([function, spaceless, recurrent, np.array(breaks, bool)]), bounds)
-        peak, local = autocorrelation(terms, content, bounds)
-        regular = local >= LEAST_REGULAR
-        no_script, no_end = shares[1] < 0.2, shares[3] <= 0.04
-        runs = (shares[0] <= MOST_FUNCTION) & ((shares[2] >= LEAST_RECURRENT) | regular) & no_script & no_end
-        # a list of nouns alone: no function word and no end of a sentence far and wide
-        bare = (shares[0] <= 0.02) & no_end & no_script & (n >= LEAST_LIST)
-        spam = runs | bare | _slogans(words, content.tolist(), np.array(sentence))
-        out["keyword"] = float(chars[spam].sum() / total)
-        out["peak"] = peak
-        out["function"] = float(function.mean())
-    out["spam"] = out["keyword"] + out["link"] + out["tag"] + out["product"]
+        more = _window(np.stack([spaceless, recurrent]), bounds)
+        out["peak"], local = autocorrelation(terms, content, bounds)
+        few &= more[0] < 0.2
+        # keywords that come again soon or at regular distances, or a list of nouns without function word or end of a sentence far and wide
+        spam = few & ((more[1] >= LEAST_RECURRENT) | (local >= LEAST_REGULAR) | ((shares[0] <= 0.02) & (n >= LEAST_LIST)))
+    spam |= _slogans(words, content.tolist(), np.array(sentence))
+    out["keyword"] = float(np.array(chars)[spam].sum() / total)
+    out["function"] = float(function.mean())
+    out["spam"] += out["keyword"]
     return out
 
 
-
-
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [analyse(t.as_py()) for t in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[c] for f in found], pa.float64()) for c in FEATURES)], names=[b.schema.names[0], *FEATURES])
 
 
+def _decide(threshold: float):
+    full = threshold != THRESHOLD
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=b.schema.names[:1]).filter(pa.array([analyse(t.as_py(), full)["spam"] > threshold for t in b.column(1)], pa.bool_()))
+
+    return run
+
+
 def score_stuffing(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, keyword, link, tag, product, spam, peak, function) of each row; null, empty and blank texts score 0.
 
@@ -259,4 +283,5 @@ def score_stuffing(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 def find_stuffed(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(key) of the pages of which more than ``threshold`` is keywords, links or product tags, distinct."""
-    return score_stuffing(docs, text, key).where(f"spam > {threshold}").select(key).distinct()
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, docs[text].alias("_text")).mapInArrow(_decide(threshold), f"`{key}` {kind}").distinct()
