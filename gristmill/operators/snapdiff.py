@@ -16,7 +16,7 @@ from gristmill.session import checkpointed, norm_text
 #: Rows of a snapshot that share a bucket, about; a bucket's table is sized for some of them to differ and grows if more do.
 BUCKET_ROWS = 256
 LEAST_CELLS = 8
-GROWTH = 4
+GROWTH = 2
 SUBTABLES = 3
 
 
@@ -28,10 +28,12 @@ def content_digest(texts: list[str], lists: list[str], numbers: list[str]) -> Co
 
 
 def snapshot_hashes(snapshots: DataFrame, run: str, key: str, digest: Column, at: str = "loaded_at") -> DataFrame:
-    """One (run, key, k1, k2, v) for each key of a run. Deliveries of one run add up; of several contents of a key in a run the last loaded counts."""
-    rows = snapshots.where(F.col(run).isNotNull() & F.col(key).isNotNull()).select(F.col(run).alias("run"), F.col(key).cast("string").alias("key"), digest.alias("v"), F.col(at).alias("at"))
-    one = rows.groupBy("run", "key").agg(F.max(F.struct("at", "v")).alias("m")).select("run", "key", F.col("m.v").alias("v"))
-    return one.withColumn("k1", F.xxhash64("key")).withColumn("k2", F.xxhash64(F.lit("second"), "key"))
+    """One (run, key, k, v) for each key of a run, ``run`` and ``k`` as hashes. Deliveries of one run add up; of several contents of a key in a run the last loaded counts.
+
+    Ranges of (run, k) keep the rows of a small run in one task and spread those of a large one, so cells of a table combine before they are shuffled.
+    """
+    rows = snapshots.where(F.col(run).isNotNull() & F.col(key).isNotNull()).select(F.xxhash64(F.col(run)).alias("run"), F.xxhash64(F.col(key).cast("string")).alias("k"), F.col(key).cast("string").alias("key"), digest.alias("v"), F.col(at).alias("at"))
+    return rows.repartitionByRange("run", "k").groupBy("run", "k", "key").agg(F.max(F.struct("at", "v")).alias("m")).select("run", "key", "k", F.col("m.v").alias("v"))
 
 
 def _h(value: int, seed: int) -> int:
@@ -43,9 +45,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _element(k1: int, k2: int, v: int) -> int:
-    """xxhash64(k1, k2, v) as Spark has it: each argument's hash is the next one's seed."""
-    return _signed(_h(v, _h(k2, _h(k1, 42))))
+def _element(k: int, v: int) -> int:
+    """xxhash64(k, v) as Spark has it: the first one's hash is the second one's seed."""
+    return _signed(_h(v, _h(k, 42)))
 
 
 def _place(e: int, j: int, width: int) -> int:
@@ -57,68 +59,65 @@ def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: list[tuple] = []
         for pair, bucket, width, cells in zip(*(b.column(c).to_pylist() for c in ("pair", "bucket", "width", "cells")), strict=True):
-            tab = {c["cell"]: [c["n"], c["x1"], c["x2"], c["xv"], c["xc"]] for c in cells}
+            tab = {c["cell"]: [c["n"], c["xk"], c["xv"], c["xc"]] for c in cells}
             todo, found, ok = list(tab), [], True
             while todo:
                 cell = todo.pop()
-                n, k1, k2, v, check = tab[cell]
+                n, k, v, check = tab[cell]
                 if n not in (1, -1):
                     continue
-                e = _element(k1, k2, v)
+                e = _element(k, v)
                 if _signed(_h(99, _h(e, 42))) != check:
                     continue
-                found.append((k1, k2, v, n))
+                found.append((k, v, n))
                 for j in range(SUBTABLES):
                     at = _place(e, j, width)
-                    c = tab.get(at)
-                    if c is None:
-                        ok, todo = False, []
-                        break
+                    c = tab.setdefault(at, [0, 0, 0, 0])
                     c[0] -= n
-                    c[1] ^= k1
-                    c[2] ^= k2
-                    c[3] ^= v
-                    c[4] ^= check
+                    c[1] ^= k
+                    c[2] ^= v
+                    c[3] ^= check
                     todo.append(at)
-                if len(found) > len(tab) + 8:
+                if len(found) > SUBTABLES * width + 8:
                     ok, todo = False, []
             if ok and all(not any(c) for c in tab.values()):
                 out += [(pair, bucket, True, *f) for f in found]
             else:
-                out.append((pair, bucket, False, 0, 0, 0, 0))
-        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=t) for i, t in enumerate(kinds)], names=["pair", "bucket", "ok", "k1", "k2", "v", "sign"])
+                out.append((pair, bucket, False, 0, 0, 0))
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=t) for i, t in enumerate(kinds)], names=["pair", "bucket", "ok", "k", "v", "sign"])
 
 
-def subtract_tables(sides: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Recovered difference (pair, k1, k2, v, sign) of each pair of row sets.
+def subtract_tables(sides: DataFrame, rows: DataFrame) -> DataFrame:
+    """Recovered difference (pair, k, v, sign) of each pair of row sets.
 
-    ``sides`` has (pair, run, sign), sign 1 for the later run and -1 for the earlier; ``sizes`` the hashed rows (run, k1, k2, v).
+    ``sides`` has (pair, run, sign), sign 1 for the later run and -1 for the earlier; ``rows`` the hashed rows (run, k, v).
     A pair's rows are cut into buckets by key hash. Each bucket's table has three parts of ``width`` cells; a cell adds up signs
     and xors hashes, so equal rows of the two runs cancel while they are aggregated, map side first. Peeling recovers the rest. A bucket
-    whose table does not empty is built again four times as wide, until all are empty, so the result is exact whatever part changed.
+    whose table does not empty is built again twice as wide, until all are empty, so the result is exact whatever part changed.
     """
-    rows = sizes
     counts = rows.groupBy("run").agg(F.count("*").alias("n"))
     shape = sides.join(counts, "run").groupBy("pair").agg(F.max("n").alias("n"))
     shape = shape.withColumn("buckets", F.ceil(F.col("n") / BUCKET_ROWS)).withColumn("width", F.greatest(F.lit(LEAST_CELLS), F.ceil(F.col("n") / F.col("buckets") / 8))).drop("n")
-    roles = checkpointed(sides.join(shape, "pair").groupBy("run").agg(F.collect_list(F.struct("pair", "sign", "buckets", "width")).alias("roles")))
-    placed = rows.join(roles, "run").select("k1", "k2", "v", F.explode("roles").alias("r"))
-    placed = placed.select("k1", "k2", "v", "r.pair", "r.sign", F.pmod("k1", F.col("r.buckets")).alias("bucket"), F.col("r.width").alias("width"))
+    shaped = checkpointed(sides.join(shape, "pair"))
     done, failed = None, None
-    for attempt in range(24):
-        now = placed.withColumn("width", F.col("width") * F.lit(GROWTH**attempt))
+    for attempt in range(48):
+        # a run is in two pairs at most; later attempts only touch the runs of pairs with a failed bucket
+        todo = shaped if failed is None else shaped.join(failed.select("pair").distinct(), "pair", "left_semi")
+        roles = todo.groupBy("run").agg(F.collect_list(F.struct("pair", "sign", "buckets", (F.col("width") * F.lit(GROWTH**attempt)).alias("width"))).alias("roles"))
+        placed = rows.join(roles, "run").select("k", "v", F.explode("roles").alias("r"))
+        now = placed.select("k", "v", "r.pair", "r.sign", F.pmod("k", F.col("r.buckets")).alias("bucket"), F.col("r.width").alias("width"))
         if failed is not None:
             now = now.join(failed, ["pair", "bucket"], "left_semi")
-        e = F.xxhash64("k1", "k2", "v")
+        e = F.xxhash64("k", "v")
         now = now.withColumn("e", e).withColumn("check", F.xxhash64("e", F.lit(99).cast("long")))
         spots = F.array(*(F.lit(j) * F.col("width") + F.pmod(F.xxhash64("e", F.lit(j).cast("long")), F.col("width")) for j in range(SUBTABLES)))
         cells = now.withColumn("cell", F.explode(spots)).groupBy("pair", "bucket", "width", "cell").agg(
-            F.sum("sign").alias("n"), F.bit_xor("k1").alias("x1"), F.bit_xor("k2").alias("x2"), F.bit_xor("v").alias("xv"), F.bit_xor("check").alias("xc")
-        )
-        tables = cells.groupBy("pair", "bucket", "width").agg(F.collect_list(F.struct("cell", "n", "x1", "x2", "xv", "xc")).alias("cells"))
-        peeled = checkpointed(tables.mapInArrow(_peel, "pair string, bucket long, ok boolean, k1 long, k2 long, v long, sign int"))
-        good = peeled.where("ok").select("pair", "k1", "k2", "v", "sign")
+            F.sum("sign").alias("n"), F.bit_xor("k").alias("xk"), F.bit_xor("v").alias("xv"), F.bit_xor("check").alias("xc")
+        ).where("n <> 0 or xk <> 0 or xv <> 0 or xc <> 0")
+        tables = cells.groupBy("pair", "bucket", "width").agg(F.collect_list(F.struct("cell", "n", "xk", "xv", "xc")).alias("cells"))
+        peeled = checkpointed(tables.mapInArrow(_peel, "pair long, bucket long, ok boolean, k long, v long, sign int"))
+        good = peeled.where("ok").select("pair", "k", "v", "sign")
         done = good if done is None else done.unionByName(good)
         failed = peeled.where("not ok").select("pair", "bucket")
         if failed.isEmpty():
@@ -136,13 +135,14 @@ def snapshot_changes(snapshots: DataFrame, runs: DataFrame, digest: Column, key:
     """
     ordered = runs.where(F.col(group).isNotNull() & F.col(order).isNotNull() & F.col(run).isNotNull()).groupBy(F.col(run).alias("run")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(group).alias("g"))).alias("m")).select("run", F.col("m.g").alias("g"), F.col("m.o").alias("o"))
     pairs = checkpointed(segmented_lag(ordered, ["g"], ["o", "run"], F.col("run"), "prev").where(F.col("prev").isNotNull()).select("run", "prev"))
-    sides = pairs.select(F.col("run").alias("pair"), F.explode(F.array(F.struct(F.col("run").alias("run"), F.lit(1).alias("sign")), F.struct(F.col("prev").alias("run"), F.lit(-1).alias("sign")))).alias("s")).select("pair", "s.run", "s.sign")
+    coded = pairs.select("run", F.xxhash64("run").alias("pair"), F.xxhash64("prev").alias("prev"))
+    sides = coded.select("pair", F.explode(F.array(F.struct(F.col("pair").alias("run"), F.lit(1).alias("sign")), F.struct(F.col("prev").alias("run"), F.lit(-1).alias("sign")))).alias("s")).select("pair", "s.run", "s.sign")
     hashed = checkpointed(snapshot_hashes(snapshots, run, key, digest))
     diff = subtract_tables(sides, hashed)
-    sided = diff.join(pairs.withColumnRenamed("run", "pair"), "pair").withColumn("run", F.when(F.col("sign") == 1, F.col("pair")).otherwise(F.col("prev")))
-    named = sided.join(hashed, ["run", "k1", "k2", "v"]).groupBy("pair", "key").agg(F.max(F.col("sign") == 1).alias("now"), F.max(F.col("sign") == -1).alias("then"))
+    sided = diff.join(coded.withColumnRenamed("run", "name"), "pair").withColumn("run", F.when(F.col("sign") == 1, F.col("pair")).otherwise(F.col("prev")))
+    named = sided.join(hashed, ["run", "k", "v"]).groupBy("name", "key").agg(F.max(F.col("sign") == 1).alias("now"), F.max(F.col("sign") == -1).alias("then"))
     change = F.when(F.col("now") & F.col("then"), "changed").when(F.col("now"), "added").otherwise("removed")
-    return named.select(F.col("pair").alias(run), F.col("key").alias(key), change.alias("change"))
+    return named.select(F.col("name").alias(run), F.col("key").alias(key), change.alias("change"))
 
 
 def node_digest() -> Column:
