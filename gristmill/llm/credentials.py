@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import base64
 import binascii
-import bisect
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,65 +194,47 @@ def redact_text(text: str, found: list[tuple[int, int, str]]) -> str:
 
 
 def _chunks(lines: DataFrame) -> DataFrame:
-    """Lines grouped to chunks: (root, file, chunk, line, text, own), sorted within partitions.
+    """One row for each chunk: (root, file, text, n, own, nulls, n_chars), the last four arrays over its lines in order.
 
-    A chunk is a range of lines of a file, so a huge file spreads over many tasks; the last lines of a chunk also go, as context, to the next.
+    A chunk is a range of lines of a file, so a huge file spreads over many tasks and a group holds no more lines than a chunk; the last lines of a chunk also go, as context, to the next.
+    Rows equal in (root, file, line, text) count once. ``text`` has the lines with a break after each.
     """
     base = lines.where(F.col("line").isNotNull()).select("root", "file", "line", "text", F.floor(F.col("line") / CHUNK_LINES).cast("int").alias("chunk"))
     tail = F.pmod(F.col("line"), F.lit(CHUNK_LINES)) >= CHUNK_LINES - CONTEXT_LINES
     spread = base.withColumn("c", F.explode(F.when(tail, F.array(F.col("chunk"), F.col("chunk") + 1)).otherwise(F.array("chunk"))))
-    placed = spread.select("root", "file", F.col("c").alias("chunk"), "line", "text", (F.col("c") == F.col("chunk")).alias("own"))
-    return placed.repartition("root", "file", "chunk").sortWithinPartitions("root", "file", "chunk", "line", "text")
+    row = F.struct("line", F.coalesce("text", F.lit("")).alias("text"), (F.col("c") == F.col("chunk")).alias("own"), F.col("text").isNull().alias("gone"))
+    held = spread.groupBy("root", "file", "c").agg(F.array_sort(F.collect_set(row)).alias("rows"))
+    of = lambda f: F.transform("rows", f)
+    return held.select("root", "file", F.array_join(of(lambda r: r["text"]), "\n").alias("text"), of(lambda r: r["line"]).alias("n"), of(lambda r: r["own"]).alias("own"), of(lambda r: r["gone"]).alias("nulls"), of(lambda r: F.char_length(r["text"])).alias("n_chars"))
 
 
-class _Chunk:
-    __slots__ = ("file", "lines", "own", "root", "text", "texts")
-
-    def __init__(self, root: str | None, file: str | None) -> None:
-        self.root, self.file, self.lines, self.texts, self.own = root, file, [], [], []
-
-
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[list[_Chunk]]:
-    """Blocks of whole chunks from sorted lines; rows equal in (root, file, line, text) count once."""
-    block, size, now, key, last = [], 0, None, None, None
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches of about a segment's bytes."""
     for b in batches:
-        for root, file, chunk, line, text, own in zip(*(b.column(c).to_pylist() for c in ("root", "file", "chunk", "line", "text", "own")), strict=True):
-            if (root, file, chunk) != key:
-                key, last = (root, file, chunk), None
-                if size >= SEGMENT_BYTES:
-                    yield block
-                    block, size = [], 0
-                now = _Chunk(root, file)
-                block.append(now)
-            if (line, text) == last:
-                continue
-            last = (line, text)
-            now.lines.append(line)
-            now.texts.append(text)
-            now.own.append(own)
-            size += len(text or "") + 1
-    if block:
-        yield block
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(sizes):
+            before = int(sizes[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(sizes, before + SEGMENT_BYTES, side="right")))
+            yield b.slice(start, stop - start)
+            start = stop
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Chunk, list[int], list[tuple[int, int, str]]]]:
-    """Each chunk with its line starts and findings; regexes run on the candidates of the segment's index alone."""
+def _search(batches: Iterator[pa.RecordBatch], everything: bool = False) -> Iterator[tuple[pa.RecordBatch, int, str, list[tuple[int, int, str]]]]:
+    """(block, row, text, findings) of each chunk with findings, or of all; regexes run on the candidates of the segment's index alone."""
     indexer = Indexer(QUERIES)
-    for block in _segments(batches):
-        for c in block:
-            c.text = "\n".join(t or "" for t in c.texts)
-        index = indexer.segment([c.text.encode("utf-8", "replace") for c in block])
+    for b in _blocks(batches):
+        texts = b.column("text").to_pylist()
+        index = indexer.segment([t.encode("utf-8", "replace") for t in texts])
         todo: dict[int, list[int]] = {}
         for rule, query in enumerate(QUERIES):
             for k in index.candidates(query).tolist():
                 todo.setdefault(k, []).append(rule)
-        for k, c in enumerate(block):
-            starts, at = [], 0
-            for t in c.texts:
-                starts.append(at)
-                at += len(t or "") + 1
-            ext = (c.file or "").rpartition(".")[2].lower() if "." in (c.file or "") else ""
-            yield c, starts, find_in_text(c.text, ext, todo[k]) if k in todo else []
+        for k in range(len(texts)) if everything else sorted(todo):
+            file = b.column("file")[k].as_py() or ""
+            found = find_in_text(texts[k], file.rpartition(".")[2].lower() if "." in file else "", todo[k]) if k in todo else []
+            if found or everything:
+                yield b, k, texts[k], found
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,11 +244,13 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.int32(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=t) for i, t in enumerate(kinds)], names=["root", "file", "line", "rule"])
 
-    for c, starts, found in _search(batches):
+    for b, k, _, found in _search(batches):
+        starts = np.concatenate([[0], np.cumsum(np.array(b.column("n_chars")[k].as_py()) + 1)])
+        line, own = b.column("n")[k].as_py(), b.column("own")[k].as_py()
         for start, _, rule in found:
-            i = bisect.bisect_right(starts, start) - 1
-            if c.own[i]:
-                out.append((c.root, c.file, c.lines[i], rule))
+            i = int(np.searchsorted(starts, start, side="right")) - 1
+            if own[i]:
+                out.append((b.column("root")[k].as_py(), b.column("file")[k].as_py(), line[i], rule))
         if len(out) >= 20_000:
             yield flush()
             out = []
@@ -274,17 +259,19 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for c, _, found in _search(batches):
-        texts = redact_text(c.text, found).split("\n") if found else [t or "" for t in c.texts]
-        # a text may hold line breaks itself, and then takes as many parts
-        rows, at = [], 0
-        for line, old, own in zip(c.lines, c.texts, c.own, strict=True):
-            n = (old or "").count("\n") + 1
-            if own:
-                rows.append((c.root, c.file, line, None if old is None else "\n".join(texts[at : at + n])))
-            at += n
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(kinds)], names=["root", "file", "line", "text"])
+    for b, k, text, found in _search(batches, everything=True):
+        n, own, gone, sizes = (b.column(c)[k].as_py() for c in ("n", "own", "nulls", "n_chars"))
+        new = redact_text(text, found).split("\n") if found else None
+        rows, at, start = [], 0, 0
+        for line, mine, empty, size in zip(n, own, gone, sizes, strict=True):
+            old = text[start : start + size]
+            parts = old.count("\n") + 1  # a text may hold line breaks itself, and then takes as many parts
+            if mine:
+                rows.append((line, None if empty else old if new is None else "\n".join(new[at : at + parts])))
+            at, start = at + parts, start + size + 1
+        root, file = b.column("root")[k].as_py(), b.column("file")[k].as_py()
+        cols = [pa.array([root] * len(rows), pa.string()), pa.array([file] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, names=["root", "file", "line", "text"])
 
 
 def find_credentials(lines: DataFrame) -> DataFrame:
