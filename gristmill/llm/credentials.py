@@ -43,14 +43,16 @@ class Rule:
     bare_only: bool = False
 
 
-_SUFFIX = re.compile(r"(?:old|new|v\d+|eu|us|uk|prod|production|dev|test|stage|staging|backup|b64|base64|encoded|\d+)+$")
+# one digit at a time, so that long numbers inside a name can be read in one way only
+_SUFFIX = re.compile(r"(?:old|new|v(?=\d)|eu|us|uk|prod|production|dev|test|stage|staging|backup|b(?=64)|base(?=64)|encoded|\d)+$")
 _ENDS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "secrets", "credential", "credentials", "token", "apikey", "authkey", "signingkey", "encryptionkey", "accesskey", "secretkey", "privatekey", "accountkey", "masterkey", "sharedkey", "servicekey", "sshkey", "authorization", "pemkey", "deploykey", "hmackey", "aeskey", "cryptkey", "licensekey", "accesskeyid")
 _SHORT = re.compile(r"(?:^|[_.\-])(?i:pass|pw)$|[a-z](?:Pass|Pw)$|^[A-Z_]+(?:PASS|PW)$")
-_TRAIL = re.compile(r"(?:[_.\-]?(?:[oO]ld|OLD|[nN]ew|NEW|[vV]\d+|[eE]u|EU|[uU]s|US|[pP]rod|PROD|[dD]ev|DEV|[tT]est|TEST|[bB]64|B64|\d+))+$")
+_TRAIL = re.compile(r"(?:[_.\-]?(?:[oO]ld|OLD|[nN]ew|NEW|[vV](?=\d)|[eE]u|EU|[uU]s|US|[pP]rod|PROD|[dD]ev|DEV|[tT]est|TEST|[bB](?=64)|\d))+$")
 
 
 def names_credential(name: str) -> bool:
-    """Whether a setting of this name holds a credential itself, not something about one."""
+    """Whether a setting of this name holds a credential itself, not something about one. What a name ends in decides, so of endless ones the end is looked at."""
+    name = name[-120:]
     flat = re.sub(r"[^a-z0-9]", "", name.lower())
     return _SUFFIX.sub("", flat).endswith(_ENDS) or flat.endswith(_ENDS) or bool(_SHORT.search(_TRAIL.sub("", name)))
 
@@ -133,7 +135,7 @@ RULES = [
     Rule("option", rf"""(?<![\w\-])--?{_NAME}(?:=|[ \t]+)["']?([^\s"'`\\]+)""", 2, _named, 1),
     Rule("query", rf"""[?&]{_NAME}=([^\s"'`&\#<>]+)""", 2, _named, 1),
     Rule("provider", r"(?<![A-Za-z0-9])((?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_\-]{12,}|(?:AKIA|ASIA)[A-Z0-9]{12,20}(?![A-Za-z0-9])|AIza[0-9A-Za-z_\-]{24,}|xox[abeprs]-[0-9A-Za-z\-]{16,}|npm_[A-Za-z0-9]{20,}|hf_[A-Za-z0-9]{20,}|SG\.[\w\-]{12,}\.[\w\-]{12,}|eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,})", 1, _unmasked, flags=0),
-    Rule("address", r"""[a-z][a-z0-9+.\-]*://[^\s:/@"'`<>]*:([^\s"'`<>/]+)@[^\s/"'`<>@]""", 1, _plain),
+    Rule("address", r"""(?<![a-z0-9+.\-])[a-z][a-z0-9+.\-]*://[^\s:/@"'`<>]*:([^\s"'`<>/]+)@[^\s/"'`<>@]""", 1, _plain),
     Rule("basic", r"""(?<![A-Za-z])basic[ \t]+([A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])""", 1, _b64_user),
     Rule("bearer", r"""(?<![A-Za-z])bearer[ \t]+([A-Za-z0-9_\-.~+/=]{12,})""", 1, _bearer),
     Rule("curl", r"""curl\b[^\r\n]*?[ \t](?:-u|--user)[ \t=]*["']?[^\s:"']+:([^\s"']+)""", 1, _plain),

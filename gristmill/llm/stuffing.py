@@ -39,17 +39,27 @@ _BULLET = re.compile(r"^[\s>]*(?:[-*•+]|\d+[.)]|\[\d+\])?\s*")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _TAG = re.compile(r"(?<![\w&/])#[^\W\d_]\w*")
 _LOG = re.compile(r"^\s*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
-_RULER = re.compile(r"^[\s|:+\-=]*-{3,}[\s|:+\-=]*$")
+_RULER = frozenset(" \t|:+-=")
 _PRICE = re.compile(r"[$€£]\s?\d|\d+[.,]\d\d\b|\bsku\b|\bin stock\b|\bsale\b|\btags?:|\bbuy\b|\bprice\b|\bshop\b", re.I)
 _CODE = re.compile(
     r"[{};]\s*$|^\s*[}\])]+[,;]?\s*$|^\s*(?:@\w|import\s|from\s+[\w.]+\s+import|package\s|def\s|class\s|return\b|public\s|private\s|const\s|let\s|var\s|if\s*\(|for\s*\(|export\s|async\s|func\s|#include|//|/\*|\*/|```|\$\s)|^\s*\"[^\"]+\"\s*:|=>|->|\w\(.*\)\s*[:;{]?\s*$|^\s*[\w.\-]+\s*=\s*\S+\s*$|^\s*-?\s*[\w.\-]+:(?:\s+[^\s]+)?\s*$|^\s*#\s*\S+\s*$"
 )
-_STATEMENT = re.compile(r"[({=\[].*[{};]\s*$|^\s*[{}\])]+[,;]?\s*$")
+_BRACES = re.compile(r"[{}\])]+[,;]?$")
 _ENTRY = re.compile(r"^\s*(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+/|^\s*\d+\.\d+(?:\.\d+)?\s+-\s+\w+:", re.I)
 _END = re.compile(r"[.!?。！？…:](?:[\"'”»)\]]*)(?=\s|$)|[。！？]")
 _SPACELESS = re.compile(r"[぀-ヿ㐀-鿿가-힣฀-๿]")
 
 
+def _is_ruler(line: str) -> bool:
+    """Whether a line only rules off a table's head."""
+    return "---" in line and _RULER.issuperset(line.strip())
+
+
+def _is_statement(line: str) -> bool:
+    """Whether a line without outer space ends like a statement or block of code."""
+    return (line[-1] in "{};" and any(c in line[:-1] for c in "({=[")) or (len(line) < 80 and bool(_BRACES.match(line)))
+
+
 def line_kinds(lines: list[str]) -> list[str]:
     """For each line: blank, neutral (code, configuration, log, table, entry list), link, tag, product, or text."""
     kinds = []
@@ -66,7 +76,7 @@ def line_kinds(lines: list[str]) -> list[str]:
             continue
         pipes = line.count("|")
         if pipes and not table:
-            table = bool(_RULER.match(line)) or (i + 1 < len(lines) and "|" in lines[i + 1] and bool(_RULER.match(lines[i + 1])))
+            table = _is_ruler(line) or (i + 1 < len(lines) and "|" in lines[i + 1] and _is_ruler(lines[i + 1]))
         elif table and not pipes:
             # a table goes on over blank lines, and over a cell that was broken off its row
             table = next((x.lstrip() for x in lines[i + 1 : i + 8] if x.strip()), "").startswith("|")
@@ -88,7 +98,7 @@ def line_kinds(lines: list[str]) -> list[str]:
             kinds.append("tag")
         elif pipes >= 2 and function <= 0.2 * max(1, many) and _PRICE.search(line):
             kinds.append("product")
-        elif _ENTRY.match(raw) or _STATEMENT.search(raw) or (not tags and function <= 0.34 * max(1, many) and _CODE.search(raw)):
+        elif _ENTRY.match(raw) or _is_statement(line) or (not tags and function <= 0.34 * max(1, many) and _CODE.search(raw)):
             kinds.append("neutral")
         else:
             kinds.append("text")

@@ -50,3 +50,12 @@ def test_rows(spark):
     assert S.find_stuffed(df.where("false")).count() == 0
     long = spark.createDataFrame([(1, SENTENCE * 5000), (2, YES[0] * 300)], "doc_id bigint, text string")
     same_rows(S.find_stuffed(long).collect(), [(2,)])
+
+
+def test_long_lines_take_no_long_time():
+    import time
+
+    t = time.time()
+    for text in ("|" + "-" * 20_000 + "| x", "(" * 5000 + "x", "a(" * 20_000, "{ " * 20_000 + "x", "https://" * 5000):
+        S.analyse(text)
+    assert time.time() - t < 30
