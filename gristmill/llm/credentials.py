@@ -135,7 +135,8 @@ RULES = [
     Rule("option", rf"""(?<![\w\-])--?{_NAME}(?:=|[ \t]+)["']?([^\s"'`\\]+)""", 2, _named, 1),
     Rule("query", rf"""[?&]{_NAME}=([^\s"'`&\#<>]+)""", 2, _named, 1),
     Rule("provider", r"(?<![A-Za-z0-9])((?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_\-]{12,}|(?:AKIA|ASIA)[A-Z0-9]{12,20}(?![A-Za-z0-9])|AIza[0-9A-Za-z_\-]{24,}|xox[abeprs]-[0-9A-Za-z\-]{16,}|npm_[A-Za-z0-9]{20,}|hf_[A-Za-z0-9]{20,}|SG\.[\w\-]{12,}\.[\w\-]{12,}|eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,})", 1, _unmasked, flags=0),
-    Rule("address", r"""(?<![a-z0-9+.\-])[a-z][a-z0-9+.\-]*://[^\s:/@"'`<>]*:([^\s"'`<>/]+)@[^\s/"'`<>@]""", 1, _plain),
+    # begins at the :// and looks back one character only, so that the scheme may stand behind any sign and long runs are read once
+    Rule("address", r"""(?<=[a-z0-9+.\-])://[^\s:/@"'`<>]*:([^\s"'`<>/]+)@[^\s/"'`<>@]""", 1, _plain),
     Rule("basic", r"""(?<![A-Za-z])basic[ \t]+([A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])""", 1, _b64_user),
     Rule("bearer", r"""(?<![A-Za-z])bearer[ \t]+([A-Za-z0-9_\-.~+/=]{12,})""", 1, _bearer),
     Rule("curl", r"""curl\b[^\r\n]*?[ \t](?:-u|--user)[ \t=]*["']?[^\s:"']+:([^\s"']+)""", 1, _plain),
