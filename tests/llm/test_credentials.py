@@ -102,3 +102,40 @@ def test_addresses_in_long_runs_take_no_long_time():
     for text in ("a.1-" * 30_000 + "https:/", "://a:" * 20_000, "a.1-" * 30_000 + "://u:Secret-42x@h/"):
         C._COMPILED[[r.id for r in C.RULES].index("address")].findall(text)
     assert time.time() - t < 5
+
+
+COMMENTED = [
+    ("py", "# db password: Velvet-118x", "Velvet-118x"), ("java", "int a = 1; // the token = Qw3rtyCopper now", "Qw3rtyCopper"), ("ts", "/* api_key: k9-Velvet,118 */", "k9-Velvet,118"), ("json", '"_comment": "db password: Velvet-118x",', "Velvet-118x"),
+    ("xml", "<!--\n  admin password: Velvet-118x\n-->", "Velvet-118x"), ("java", "/**\n * old secret: Velvet-118x, user: app\n */", "Velvet-118x"), ("yaml", "# db password: Velvet-118x", "Velvet-118x"),
+]
+REMARKS = [
+    ("py", "# token = refreshToken"), ("py", "# password: user.password,"), ("ts", "// password: string;"), ("ts", "// token = await getToken(v2)"), ("java", " * @param token: the token of the session"), ("py", "# secret: read from the vault at start"), ("py", "x = 1\npassword = user_password"), ("ts", "const u = 'http://h/?a#b'; password = userPassword1"),
+]
+
+
+@pytest.mark.parametrize("ext,text,value", COMMENTED)
+def test_unquoted_in_comments(ext, text, value):
+    assert value in {text[a:b] for a, b, _ in C.find_in_text(text, ext)}
+    assert value not in C.redact_text(text, C.find_in_text(text, ext))
+
+
+@pytest.mark.parametrize("ext,text", REMARKS)
+def test_remarks(ext, text):
+    assert not C.find_in_text(text, ext)
+
+
+def test_endings_come_from_the_base_name(spark):
+    files = [".env.production", "a/.env.local", "Dockerfile.prod", "v1.2/Dockerfile", "app.env.j2", "v1.py/.npmrc", "a.b/settings.unknown"]
+    df = lines(spark, *[("r", f, 1, "DB_PASSWORD=Velvet-118x") for f in [*files, "v1.env/a.py"]])
+    assert sorted(r.file for r in C.find_credentials(df).collect()) == sorted(files)
+    assert {r.text for r in C.redact_credentials(df).where("file <> 'v1.env/a.py'").collect()} == {"DB_PASSWORD=REDACTED"}
+
+
+def test_comments_in_long_runs_take_no_long_time():
+    import time
+
+    t = time.time()
+    for text in ("/* " * 40_000, "# " + "token=aaaa1111," * 7_000 + "example", "# " + "token: a " * 10_000, "# " + "token=" * 20_000 + "example", "# token: x" + " " * 100_000):
+        C._comments(text)
+        list(C._remarks(text, *next((r, p) for r, p in zip(C.RULES, C._COMPILED, strict=True) if r.id == "comment")))
+    assert time.time() - t < 10
