@@ -11,12 +11,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.trigrams import Indexer, check_needs_trigrams
 
-#: Lines of a chunk, and lines before it that it is read with, so that values and key blocks may span its start.
+#: Lines of a chunk, and lines before and behind it that it is read with, so that values may span its ends.
 CHUNK_LINES, CONTEXT_LINES = 2000, 120
 #: Bytes of chunks that make a segment, about.
 SEGMENT_BYTES = 8_000_000
@@ -231,10 +231,10 @@ def find_in_text(text: str, ext: str, rules: list[int] | None = None) -> list[tu
     return out
 
 
-def redact_text(text: str, found: list[tuple[int, int, str]]) -> str:
-    """``text`` with every found value replaced, and nothing else changed: quotes, line ends, indents and key boundaries stay."""
+def redact_text(text: str, found: list[tuple[int, int, str]], in_key: bool = False) -> str:
+    """``text`` with every found value replaced, and nothing else changed: quotes, line ends, indents and key boundaries stay. ``in_key`` says that a key block is open where the text begins."""
     spans = []
-    for start, end, rule in found:
+    for start, end, rule in [(0, 0, "private_key")] * in_key + found:
         if rule == "private_key":
             stop = _KEY_END.search(text, end)
             body_end = stop.start() if stop else len(text)
@@ -256,19 +256,40 @@ def redact_text(text: str, found: list[tuple[int, int, str]]) -> str:
 # ---------------------------------------------------------------- distributed
 
 
-def _chunks(lines: DataFrame) -> DataFrame:
-    """One row for each chunk: (root, file, text, n, own, nulls, n_chars), the last four arrays over its lines in order.
+_BOUNDARY = r"(?s).*-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 
-    A chunk is a range of lines of a file, so a huge file spreads over many tasks and a group holds no more lines than a chunk; the last lines of a chunk also go, as context, to the next.
-    Rows equal in (root, file, line, text) count once. ``text`` has the lines with a break after each.
+
+def _open_keys(spread: DataFrame) -> DataFrame:
+    """(root, file, c) of the chunks whose text begins inside a key block: the last boundary before it, however far, is a BEGIN.
+
+    A line counts for the first chunk that begins, with its context, behind it; so one row for each chunk goes over the window.
+    """
+    kind = F.when(F.col("text").contains("PRIVATE KEY"), F.nullif(F.regexp_extract("text", _BOUNDARY, 1), F.lit("")))
+    place = F.floor((F.col("line") + CONTEXT_LINES) / CHUNK_LINES)
+    last = spread.select("root", "file", "c", F.when(F.col("c") == place, kind).alias("kind"), F.struct("line", F.coalesce("text", F.lit("")).alias("text")).alias("at"))
+    last = last.groupBy("root", "file", "c").agg(F.max(F.when(F.col("kind").isNotNull(), F.struct("at", "kind"))).getField("kind").alias("kind"))
+    before = Window.partitionBy("root", "file").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    return last.withColumn("kind", F.last("kind", ignorenulls=True).over(before)).where("kind = 'BEGIN'").select("root", "file", "c")
+
+
+def _chunks(lines: DataFrame, keys: bool = False) -> DataFrame:
+    """One row for each chunk: (root, file, text, n, own, nulls, n_chars, in_key), n to n_chars arrays over its lines in order.
+
+    A chunk is a range of lines of a file, so a huge file spreads over many tasks and a group holds no more lines than a chunk; the last lines of a chunk also go, as context, to the next, and the first ones to the one before.
+    Rows equal in (root, file, line, text) count once. ``text`` has the lines with a break after each. ``in_key`` is looked up where ``keys`` asks for it, else false.
     """
     base = lines.where(F.col("line").isNotNull()).select("root", "file", "line", "text", F.floor(F.col("line") / CHUNK_LINES).cast("int").alias("chunk"))
-    tail = F.pmod(F.col("line"), F.lit(CHUNK_LINES)) >= CHUNK_LINES - CONTEXT_LINES
-    spread = base.withColumn("c", F.explode(F.when(tail, F.array(F.col("chunk"), F.col("chunk") + 1)).otherwise(F.array("chunk"))))
+    place = F.pmod(F.col("line"), F.lit(CHUNK_LINES))
+    also = F.when(place >= CHUNK_LINES - CONTEXT_LINES, F.array(F.col("chunk"), F.col("chunk") + 1)).when((place < CONTEXT_LINES) & (F.col("chunk") != 0), F.array(F.col("chunk") - 1, F.col("chunk"))).otherwise(F.array("chunk"))
+    spread = base.withColumn("c", F.explode(also))
     row = F.struct("line", F.coalesce("text", F.lit("")).alias("text"), (F.col("c") == F.col("chunk")).alias("own"), F.col("text").isNull().alias("gone"))
-    held = spread.groupBy("root", "file", "c").agg(F.array_sort(F.collect_set(row)).alias("rows"))
+    cells = spread.select("root", "file", "c", row.alias("row"))
+    if keys:
+        cells = cells.unionByName(_open_keys(spread).withColumn("row", F.lit(None).cast(cells.schema["row"].dataType)))  # a row without line marks its chunk
+    held = cells.groupBy("root", "file", "c").agg(F.array_sort(F.collect_set("row")).alias("rows"), F.bool_or(F.col("row").isNull()).alias("in_key"))
+    held = held.where(F.exists("rows", lambda r: r["own"]))
     of = lambda f: F.transform("rows", f)
-    return held.select("root", "file", F.array_join(of(lambda r: r["text"]), "\n").alias("text"), of(lambda r: r["line"]).alias("n"), of(lambda r: r["own"]).alias("own"), of(lambda r: r["gone"]).alias("nulls"), of(lambda r: F.char_length(r["text"])).alias("n_chars"))
+    return held.select("root", "file", F.array_join(of(lambda r: r["text"]), "\n").alias("text"), of(lambda r: r["line"]).alias("n"), of(lambda r: r["own"]).alias("own"), of(lambda r: r["gone"]).alias("nulls"), of(lambda r: F.char_length(r["text"])).alias("n_chars"), "in_key")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +345,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b, k, text, found in _search(batches, everything=True):
         n, own, gone, sizes = (b.column(c)[k].as_py() for c in ("n", "own", "nulls", "n_chars"))
-        new = redact_text(text, found).split("\n") if found else None
+        in_key = b.column("in_key")[k].as_py()
+        new = redact_text(text, found, in_key).split("\n") if found or in_key else None
         rows, at, start = [], 0, 0
         for line, mine, empty, size in zip(n, own, gone, sizes, strict=True):
             old = text[start : start + size]
@@ -342,11 +364,14 @@ def find_credentials(lines: DataFrame) -> DataFrame:
 
     ``lines`` has (root, file, line, text), in any order, with repeated rows. Null and empty texts hold nothing but keep their place; a row
     without line number has no place and is left out; lines of any length are searched whole; a text with line breaks inside counts as one line. Other columns are ignored and an empty table gives
-    an empty result. A key block longer than the context lines is found where it begins and not again in the next chunk.
+    an empty result. A key block is found where it begins.
     """
     return _chunks(lines).mapInArrow(_find, "root string, file string, line int, rule string").distinct()
 
 
 def redact_credentials(lines: DataFrame) -> DataFrame:
-    """(root, file, line, text): all lines, once each, with every credential value redacted and everything else as it was."""
-    return _chunks(lines).mapInArrow(_redact, "root string, file string, line int, text string")
+    """(root, file, line, text): all lines, once each, with every credential value redacted and everything else as it was.
+
+    Key blocks of any length are redacted from boundary to boundary, over chunks too; one without end goes on to the end of its file.
+    """
+    return _chunks(lines, keys=True).mapInArrow(_redact, "root string, file string, line int, text string")

@@ -139,3 +139,18 @@ def test_comments_in_long_runs_take_no_long_time():
         C._comments(text)
         list(C._remarks(text, *next((r, p) for r, p in zip(C.RULES, C._COMPILED, strict=True) if r.id == "comment")))
     assert time.time() - t < 10
+
+
+def test_values_and_keys_over_chunks(spark):
+    end, begin = "-----END RSA PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----"
+    rows = [("r", "k.pem", i, KEY) for i in range(100, 6100)] + [("r", "k.pem", 99, begin), ("r", "k.pem", 6100, end), ("r", "k.pem", 6101, KEY)]
+    rows += [("r", "two.pem", 100, begin), ("r", "two.pem", 101, KEY), ("r", "two.pem", 102, end), ("r", "two.pem", 2500, KEY), ("r", "open.pem", 100, begin), ("r", "open.pem", 4500, KEY), (None, None, 100, begin), (None, None, 4500, KEY)]
+    rows += [("r", "a.xml", 1998, "<smtp_pass>"), ("r", "a.xml", 1999, "saff@riviera8"), ("r", "a.xml", 2000, "</smtp_pass>"), ("r", "b.java", 1999, '"Qw3rty-copper"'), ("r", "b.java", 2000, ".equals(password)")]
+    df = lines(spark, *rows)
+    clean = {(r.file, r.line): r.text for r in C.redact_credentials(df).collect()}
+    assert len(clean) == len(rows)
+    assert {clean[("k.pem", i)] for i in range(100, 6100)} == {"REDACTED"} and (clean[("k.pem", 99)], clean[("k.pem", 6100)], clean[("k.pem", 6101)]) == (begin, end, KEY)
+    assert clean[("two.pem", 101)] == "REDACTED" and clean[("two.pem", 2500)] == KEY and clean[("open.pem", 4500)] == clean[(None, 4500)] == "REDACTED"
+    assert clean[("a.xml", 1999)] == "REDACTED" and clean[("b.java", 1999)] == '"REDACTED"'
+    got = C.find_credentials(df).select("file", "line").distinct().collect()
+    same_rows(got, [("k.pem", 99), ("two.pem", 100), ("open.pem", 100), (None, 100), ("a.xml", 1999), ("b.java", 1999)])
