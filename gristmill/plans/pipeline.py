@@ -366,6 +366,19 @@ def snippet_window(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("root", "file", F.col("at").cast("bigint").alias("at")).agg(F.count("*").alias("n_lines"), F.min("line").cast("bigint").alias("first_line"), F.max("line").cast("bigint").alias("last_line"), F.sum(F.length("text")).cast("bigint").alias("n_chars"))
 
 
+@query("""WITH l AS (SELECT DISTINCT root, file, line, coalesce(text, '') AS text FROM source_lines WHERE line IS NOT NULL), h AS (SELECT DISTINCT root, file, line AS at FROM raw_facts)
+SELECT h.root, h.file, CAST(h.at AS BIGINT) AS at, count(l.line) AS n_lines, CAST(min(l.line) AS BIGINT) AS first_line, CAST(max(l.line) AS BIGINT) AS last_line, string_agg(l.text, chr(10) ORDER BY l.line, l.text) AS snippet FROM h LEFT JOIN l ON l.root = h.root AND l.file = h.file AND l.line BETWEEN h.at - 3 AND h.at + 3 GROUP BY ALL""")
+def snippet_text(spark: SparkSession, d: str) -> DataFrame:
+    """W-06: the text of three lines around every hit, in order; a hit without lines keeps a row. Each hit names the seven lines it wants, so the range join is an equi-join."""
+    h = table(spark, d, "raw_facts").select("root", "file", F.col("line").alias("at")).distinct()
+    want = h.select("root", "file", "at", F.explode_outer(F.sequence(F.col("at") - 3, F.col("at") + 3)).alias("line"))
+    lines = table(spark, d, "source_lines").where("line is not null").select("root", "file", "line", F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("there")).distinct()
+    row = F.when(F.col("there"), F.struct("line", "text"))
+    j = want.join(lines, ["root", "file", "line"], "left").groupBy("root", "file", "at").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    snippet = F.when(F.size("rows") > 0, F.array_join(F.transform("rows", lambda r: r["text"]), "\n"))
+    return j.select("root", "file", F.col("at").cast("bigint").alias("at"), F.size("rows").cast("bigint").alias("n_lines"), F.array_min("rows.line").cast("bigint").alias("first_line"), F.array_max("rows.line").cast("bigint").alias("last_line"), snippet.alias("snippet"))
+
+
 @query("""SELECT DISTINCT argument, upper(regexp_replace(argument, ':[A-Za-z_]\\w*|\\{[^}]*\\}|<[^>]*>', '{PARAM}', 'g')) AS route_key FROM raw_facts WHERE match_source = 'decorator' AND argument IS NOT NULL""")
 def route_normalize(spark: SparkSession, d: str) -> DataFrame:
     """J-13: routes in the form in which they are compared."""
