@@ -116,15 +116,17 @@ def reparent_members(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def ancestors(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """S-16, S-25: (node, root, depth): the topmost parent of every node of ``edges`` (child, parent), by pointer doubling; cycles end at ``max_depth``.
+    """S-16, S-25: (node, root, depth): the topmost parent of every node of ``edges`` (child, parent), by pointer doubling, for chains of any length.
 
+    A walk of as many steps as there are nodes with a parent, and of ``max_depth`` at least, that can still go on is in a cycle; such nodes come out with that depth or more and some node of the cycle.
     A node's hot parent makes no pairs: each node has one parent, the least if several are given.
     """
     one = edges.where("child is not null and parent is not null and child <> parent").groupBy("child").agg(F.min("parent").alias("parent"))
     now = checkpointed(one.select(F.col("child").alias("node"), F.col("parent").alias("top"), F.lit(1).alias("depth")))
+    limit = max(max_depth, now.count())
     while True:
         up = now.select(F.col("node").alias("top"), F.col("top").alias("_t"), F.col("depth").alias("_d"))
         step = checkpointed(now.join(up, "top", "left").select("node", F.coalesce("_t", "top").alias("top"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.col("_t").isNotNull().alias("moved")))
-        if step.where(f"moved and depth < {max_depth}").isEmpty():
+        if step.where(f"moved and depth < {limit}").isEmpty():
             return step.select("node", F.col("top").alias("root"), "depth")
         now = step.drop("moved")

@@ -70,6 +70,12 @@ def test_ancestors_and_cycles(spark):
     assert relations.ancestors(e.where("false")).count() == 0
 
 
+def test_ancestors_of_long_chains(spark):
+    e = df(spark, "child string, parent string", ("x", "y"), ("y", "x"), *[(f"n{i + 1}", f"n{i}") for i in range(300)])
+    got = {r.node: (r.root, r.depth) for r in relations.ancestors(e).collect()}
+    assert all(got[f"n{i}"] == ("n0", i) for i in range(1, 301)) and got["x"][1] >= 302
+
+
 def test_correlation(spark):
     rows = df(spark, "id int, n string", (1, "Ledger-Writer"), (2, "userservice"), (3, "xy"), (4, None))
     names = df(spark, "name string, o int", ("ledger", 1), ("ledger-writer", 2), ("user_service", 3))
