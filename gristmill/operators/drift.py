@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.operators.scan import segmented_lag
@@ -268,17 +268,21 @@ def unified_table(files: DataFrame, scripts: DataFrame | None = None) -> DataFra
     """All records in one table: (root, file_name, line_no, evidence_id, fields), ``fields`` a map from canonical name to value text.
 
     Each file's projection follows from the scripts: a field goes under the last name of its chain of renames; a value keeps its JSON text,
-    so a field that changed its type has one column too. Distinct rows; other cases as for ``schema_scripts``.
+    so a field that changed its type has one column too. If fields of a file get the same name, the renamed one has it and each other is kept as name@file@field.
+    Records without fields have an empty map. Distinct rows; other cases as for ``schema_scripts``.
     """
     scripts = checkpointed(scripts if scripts is not None else schema_scripts(files))
     order = checkpointed(file_order(files))
     rows = files.where(F.col("payload").isNotNull()).select(*FILE_KEY, "line_no", F.try_parse_json("payload").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
     spark = files.sparkSession
-    long = rows.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).where(F.col("key").isNotNull())
+    long = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
     long = long.select(*FILE_KEY, "line_no", F.try_variant_get("v", "$.evidenceId", "string").alias("evidence_id"), F.col("key").alias("field"), F.when(F.schema_of_variant("value") == "STRING", F.try_variant_get("value", "$", "string")).when(F.schema_of_variant("value") != "VOID", F.to_json("value")).alias("val")).distinct()
-    stats = long.select(*FILE_KEY, "field").distinct()
+    stats = long.where("field is not null").select(*FILE_KEY, "field").distinct()
     names = canonical_names(order, stats, scripts)
-    named = long.join(names, [*FILE_KEY, "field"])
-    per_row = named.where(F.col("field") != "evidenceId").groupBy(*FILE_KEY, "line_no", "evidence_id").agg(F.array_sort(F.collect_list(F.struct("name", "val"))).alias("kv"))
+    among = Window.partitionBy(*FILE_KEY, "name").orderBy(F.col("field") == F.col("name"), "field")
+    names = names.withColumn("name", F.when(F.row_number().over(among) == 1, F.col("name")).otherwise(F.concat("name", F.lit("@"), "file_name", F.lit("@"), "field")))
+    named = long.join(names, [*FILE_KEY, "field"], "left")
+    kv = F.when((F.col("field") != "evidenceId") & F.col("name").isNotNull(), F.struct("name", "val"))
+    per_row = named.groupBy(*FILE_KEY, "line_no", "evidence_id").agg(F.array_sort(F.collect_list(kv)).alias("kv"))
     unique = F.aggregate("kv", F.expr("cast(map() as map<string,string>)"), lambda m, e: F.when(F.map_contains_key(m, e["name"]), m).otherwise(F.map_concat(m, F.create_map(e["name"], e["val"]))))
     return per_row.select(*FILE_KEY, "line_no", "evidence_id", unique.alias("fields"))

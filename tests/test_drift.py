@@ -51,3 +51,13 @@ def test_tree_edit_prefers_the_cheapest_assignment():
     assert {s[:3] for s in script} == {("rename", "b", "c"), ("delete", "a", None), ("add", "d", "d")} and cost == 26
     tree = schema_tree("f", ["OBJECT<`a, b`: ARRAY<OBJECT<x: STRING>>, c: OBJECT<d: BIGINT>>"])
     assert set(tree.children) == {"a, b", "c"} and set(tree.children["c"].children) == {"d"}
+
+
+def test_unified_keeps_colliding_fields_and_bare_records(spark):
+    names = drift.canonical_names
+    try:
+        drift.canonical_names = lambda order, stats, scripts: names(order, stats, scripts).withColumn("name", drift.F.when(drift.F.col("field") == "a", "b").otherwise(drift.F.col("name")))
+        got = drift.unified_table(files(spark, [{"evidenceId": 1, "a": "x", "b": "y"}, {"evidenceId": 2}, {}])).collect()
+    finally:
+        drift.canonical_names = names
+    same_rows([(r.line_no, r.evidence_id, tuple(sorted(r.fields.items()))) for r in got], [(0, "1", (("b", "x"), ("b@f9@b", "y"))), (1, "2", ()), (2, None, ())])
