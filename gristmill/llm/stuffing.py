@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame
 #: Lags of the autocorrelation, tokens of a window, and the shares that make a window one of keywords.
 LAGS, WINDOW = 24, 17
 MOST_FUNCTION, LEAST_RECURRENT, LEAST_REGULAR, LEAST_LIST = 0.10, 0.35, 0.25, 12
+#: Share of words that a list sign or the end of a line follows, from which words without function words are a list of items; prose in a language without listed function words stays below it.
+LEAST_APART = 0.2
 #: Greatest usual distance between a slogan's phrases, in tokens.
 SLOGAN_GAP = 8
 #: Share of a page's characters beyond which it is spam.
@@ -36,23 +40,33 @@ FUNCTION_WORDS = frozenset(
 _LINK = re.compile(r"https?://[^\s<>()\[\]'\"]+|www\.[^\s<>()\[\]'\"]+", re.I)
 _MARKUP = re.compile(r"</?[a-z][^<>]*>|&[a-z]+;", re.I)
 _BULLET = re.compile(r"^[\s>]*(?:[-*•+]|\d+[.)]|\[\d+\])?\s*")
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+# a word with its combining marks, the end of a sentence (in Latin, Greek, Han, Arabic, Indic, Armenian and Ethiopic writing), or a sign between the items of a list
+_MARKS = r"\u0300-\u036f\u0483-\u0489\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed\u0900-\u0903\u093a-\u094f\u0951-\u0963\u0981-\u0dff\u0e31-\u0e4e\u0eb1-\u0ecd\u0f18-\u0fbc\u102b-\u109d\u17b4-\u17d3"
+_TOKEN = re.compile(rf"[^\W_]+(?:['’{_MARKS}]+[^\W_]+)*[{_MARKS}]*|" + r"[.!?…:؟۔।॥։።](?=[\"'”»)\]]*(?:\s|$))|[。！？]|[,;|/·•、，،؛]|(?<=\s)[-–—>](?=\s)")
+_ENDS = frozenset(".!?…:؟۔।॥։።。！？")
+_SIGNS = frozenset(",;|/·•、，،؛-–—>")
+_PUNCT = _ENDS | _SIGNS
+_CLOSED = tuple(_ENDS - {":"})
 _TAG = re.compile(r"(?<![\w&/])#[^\W\d_]\w*")
 _LOG = re.compile(r"^\s*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d")
 _RULER = frozenset(" \t|:+-=")
-_PRICE = re.compile(r"[$€£]\s?\d|\d+[.,]\d\d\b|\bsku\b|\bin stock\b|\bsale\b|\btags?:|\bbuy\b|\bprice\b|\bshop\b", re.I)
+_PRICE = re.compile(r"[$€£¥₹]\s?\d|\d\s?[$€£¥₹]|(?<![\d.,])\d+[.,]\d\d(?![\d.,])")
 _CODE = re.compile(
     r"[{};]\s*$|^\s*[}\])]+[,;]?\s*$|^\s*(?:@\w|import\s|from\s+[\w.]+\s+import|package\s|def\s|class\s|return\b|public\s|private\s|const\s|let\s|var\s|if\s*\(|for\s*\(|export\s|async\s|func\s|#include|//|/\*|\*/|```|\$\s)|^\s*\"[^\"]+\"\s*:|=>|->|\w\(.*\)\s*[:;{]?\s*$|^\s*[\w.\-]+\s*=\s*\S+\s*$|^\s*-?\s*[\w.\-]+:(?:\s+[^\s]+)?\s*$|^\s*#\s*\S+\s*$"
 )
 _BRACES = re.compile(r"[{}\])]+[,;]?$")
 _ENTRY = re.compile(r"^\s*(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+/|^\s*\d+\.\d+(?:\.\d+)?\s+-\s+\w+:", re.I)
-_END = re.compile(r"[.!?。！？…:](?:[\"'”»)\]]*)(?=\s|$)|[。！？]")
-_SPACELESS = re.compile(r"[぀-ヿ㐀-鿿가-힣฀-๿]")
+_SPACELESS = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
 
 
 def _is_ruler(line: str) -> bool:
-    """Whether a line only rules off a table's head."""
-    return "---" in line and _RULER.issuperset(line.strip())
+    """Whether a line rules off a table's head; some of its cells may have been spoilt."""
+    if "---" not in line:
+        return False
+    if _RULER.issuperset(line.strip()):
+        return True
+    cells = [c.strip() for c in line.strip().strip("|").split("|")]
+    return len(cells) > 1 and 2 * sum(bool(c) and _RULER.issuperset(c) for c in cells) >= len(cells)
 
 
 def _is_statement(line: str) -> bool:
@@ -60,49 +74,61 @@ def _is_statement(line: str) -> bool:
     return (line[-1] in "{};" and any(c in line[:-1] for c in "({=[")) or (len(line) < 80 and bool(_BRACES.match(line)))
 
 
-def line_kinds(lines: list[str]) -> list[str]:
-    """For each line: blank, neutral (code, configuration, log, table, entry list), link, tag, product, or text."""
-    kinds = []
-    fenced = table = False
+@dataclass(slots=True)
+class Line:
+    """A line that holds something: its kind (neutral for code, configuration, logs, tables and entry lists, else text or a candidate: link, tag, product), size, tokens and marks."""
+
+    kind: str
+    size: int
+    tokens: list[str] = ()
+    marks: int = 0
+
+
+def read_lines(text: str) -> list[Line]:
+    """The lines of a text that are not blank. A candidate is only one: whether it counts follows from how its marks recur in the whole text."""
+    lines = re.split(r"\r\n|\r|\n", text)
+    out = []
+    fenced = False
+    columns = 0  # of the table that is open
     for i, raw in enumerate(lines):
         line = raw.strip()
         if not line:
-            kinds.append("blank")
             continue
         if line.startswith("```"):
-            fenced = not fenced
-            kinds.append("neutral")
-            table = False
+            fenced, columns = not fenced, 0
+            out.append(Line("neutral", len(line)))
             continue
         pipes = line.count("|")
-        if pipes and not table:
-            table = _is_ruler(line) or (i + 1 < len(lines) and "|" in lines[i + 1] and _is_ruler(lines[i + 1]))
-        elif table and not pipes:
+        if pipes and not columns:
+            if _is_ruler(line) or (i + 1 < len(lines) and "|" in lines[i + 1] and _is_ruler(lines[i + 1])):
+                columns = pipes
+        elif columns and not pipes:
             # a table goes on over blank lines, and over a cell that was broken off its row
-            table = next((x.lstrip() for x in lines[i + 1 : i + 8] if x.strip()), "").startswith("|")
-        if fenced or table or (line[0] in "[0123456789" and _LOG.match(line)):
-            kinds.append("neutral")
+            after = next((x for x in lines[i + 1 : i + 8] if x.strip()), "")
+            if after.count("|") not in (columns, columns - 1):
+                columns = 0
+        if fenced or columns or (line[0] in "[0123456789" and _LOG.match(line)):
+            out.append(Line("neutral", len(line)))
             continue
-        linked = "://" in line or "www." in line
-        links = _LINK.findall(line) if linked else []
+        links = _LINK.findall(line) if "://" in line or "www." in line.lower() else []
         rest = _LINK.sub(" ", _BULLET.sub("", line, count=1)) if links else line
         if "<" in rest or "&" in rest:
             rest = _MARKUP.sub(" ", rest)
-        words = _WORD.findall(rest)
-        many = len(words)
-        function = sum(map(FUNCTION_WORDS.__contains__, map(str.lower, words)))
+        tokens = _TOKEN.findall(rest.lower())
+        many = len(tokens) - sum(map(_PUNCT.__contains__, tokens))
+        function = sum(map(FUNCTION_WORDS.__contains__, tokens))
         tags = len(_TAG.findall(line)) if "#" in line else 0
-        if links and ((many <= 2 and len(rest.strip()) < 25) or (many <= 6 * len(links) and function <= 0.1 * many and not rest.rstrip().endswith((".", "!", "?", "。", "！", "？")))):
-            kinds.append("link")
+        if links and ((many <= 2 and len(rest.strip()) < 25) or (many <= 6 * len(links) and function <= 0.1 * many and not rest.rstrip().endswith(_CLOSED))):
+            out.append(Line("link", len(line), tokens, len(links)))
         elif tags and tags >= (0.6 if tags >= 3 else 0.9) * many:
-            kinds.append("tag")
-        elif pipes >= 2 and function <= 0.2 * max(1, many) and _PRICE.search(line):
-            kinds.append("product")
+            out.append(Line("tag", len(line), tokens, tags))
+        elif pipes >= 2 and function <= 0.2 * max(1, many) and (prices := len(_PRICE.findall(line))):
+            out.append(Line("product", len(line), tokens, prices))
         elif _ENTRY.match(raw) or _is_statement(line) or (not tags and function <= 0.34 * max(1, many) and _CODE.search(raw)):
-            kinds.append("neutral")
+            out.append(Line("neutral", len(line)))
         else:
-            kinds.append("text")
-    return kinds
+            out.append(Line("text", len(line), tokens))
+    return out
 
 
 def recurrence_gaps(terms: np.ndarray) -> np.ndarray:
@@ -154,29 +180,31 @@ def autocorrelation(terms: np.ndarray, content: np.ndarray, bounds: tuple[np.nda
     return peak, best
 
 
-def _slogans(words: list[str], content: list[bool], sentence: np.ndarray) -> np.ndarray:
+def _slogans(terms: np.ndarray, content: np.ndarray, sentence: np.ndarray) -> np.ndarray:
     """Which tokens stand in sentences built around a phrase that comes again and again in changing surroundings.
 
     A sentence that is merely repeated keeps the surroundings of its phrases, so repeated prose is none.
     """
-    n = len(words)
+    n, kinds = len(terms), int(terms.max()) + 1
     best = np.zeros(n, bool)
     least = 0.1 * min(n, 200)
-    pairs = Counter(zip(words, words[1:], strict=False))
-    if max(pairs.values(), default=0) < max(4, least / 4):
+    pairs = np.sort(terms[:-1] * kinds + terms[1:])
+    need = math.ceil(max(4, least / 4))
+    if len(pairs) < need or not (pairs[need - 1 :] == pairs[: len(pairs) - need + 1]).any():
         return best  # no phrase of any size comes often enough if no two words do
+    words, told = terms.tolist(), content.tolist()
     for size in (4, 3, 2):
         grams = list(zip(*(words[k:] for k in range(size)), strict=False))
-        often = {g for g, c in (pairs if size == 2 else Counter(grams)).items() if c >= 4 and c * size >= least}
+        often = {g for g, c in Counter(grams).items() if c >= 4 and c * size >= least}
         if not often:
             continue
         where: dict[tuple, list[int]] = {}
         for i, g in enumerate(grams):
-            if g in often and content[i] and content[i + size - 1]:
+            if g in often and told[i] and told[i + size - 1]:
                 where.setdefault(g, []).append(i)
         for places in where.values():
-            before = {words[i - 1] if i else "" for i in places}
-            behind = {words[i + size] if i + size < n else "" for i in places}
+            before = {words[i - 1] if i else -1 for i in places}
+            behind = {words[i + size] if i + size < n else -1 for i in places}
             if len(places) < 4 or min(len(before), len(behind)) < 3 or np.median(np.diff(places)) > SLOGAN_GAP:
                 continue
             inside = np.zeros(n, bool)
@@ -187,6 +215,31 @@ def _slogans(words: list[str], content: list[bool], sentence: np.ndarray) -> np.
     return best
 
 
+def recurring(lines: list[Line]) -> list[bool]:
+    """For each line whether it is a candidate whose marks (links, tags or prices) come again and again: at least half of them have another of their kind within ``LAGS`` tokens."""
+    at = 0
+    places: dict[str, list[int]] = {}
+    owners: dict[str, list[int]] = {}
+    for n, line in enumerate(lines):
+        if line.kind == "neutral":
+            continue
+        at += len(line.tokens)
+        if line.marks:
+            places.setdefault(line.kind, []).extend(range(at, at + line.marks))
+            owners.setdefault(line.kind, []).extend([n] * line.marks)
+            at += line.marks
+    out = [False] * len(lines)
+    for kind, spots in places.items():
+        steps = np.diff(np.array(spots))
+        near = np.zeros(len(spots), bool)
+        near[1:] |= steps <= LAGS
+        near[:-1] |= steps <= LAGS
+        hits = np.bincount(owners[kind], weights=near, minlength=len(lines))
+        for n in set(owners[kind]):
+            out[n] = bool(hits[n] * 2 >= lines[n].marks)
+    return out
+
+
 def analyse(text: str | None, full: bool = True) -> dict[str, float]:
     """Features of a text: share of its characters in keywords, links, tags and products, their sum ``spam``, greatest autocorrelation, function-word share.
 
@@ -196,70 +249,59 @@ def analyse(text: str | None, full: bool = True) -> dict[str, float]:
     out = dict.fromkeys(FEATURES, 0.0)
     if not text or not text.strip():
         return out
-    lines = re.split(r"\r\n|\r|\n", text)
-    kinds = line_kinds(lines)
-    total = 0
-    plain: list[str] = []
-    for line, kind in zip(lines, kinds, strict=True):
-        size = len(line.strip())
-        total += size
-        if kind in ("link", "tag", "product"):
-            out[kind] += size
-        elif kind == "text":
-            plain.append(line)
-    total = total or 1
-    for kind in ("link", "tag", "product"):
-        out[kind] /= total
+    lines = read_lines(text)
+    total = sum(x.size for x in lines) or 1
+    if any(x.marks for x in lines):
+        for line, yes in zip(lines, recurring(lines), strict=True):
+            if yes:
+                out[line.kind] += line.size
+            elif line.marks:
+                line.kind = "text"
+        for kind in ("link", "tag", "product"):
+            out[kind] /= total
     out["spam"] = out["link"] + out["tag"] + out["product"]
-    room = sum(map(len, plain)) / total
+    plain = [x for x in lines if x.kind == "text" and x.tokens]
+    room = sum(x.size for x in plain) / total
     if not plain or (not full and (out["spam"] > THRESHOLD or out["spam"] + room <= THRESHOLD)):
         return out
-    words: list[str] = []
-    chars: list[int] = []
-    breaks: list[bool] = []
-    sentence: list[int] = []
-    at = 0
-    for line in plain:
-        if "://" in line or "www." in line:
-            line = _LINK.sub(lambda m: " " * len(m.group()), line)
-        if "<" in line or "&" in line:
-            line = _MARKUP.sub(lambda m: " " * len(m.group()), line)
-        start = 0
-        for stop in [m.end() for m in _END.finditer(line)] + [len(line)]:
-            part = line[start:stop]
-            found = _WORD.findall(part.lower())
-            start = stop
-            if not found:
-                continue
-            sizes = list(map(len, found))
-            sizes[-1] += len(part) - sum(sizes) - len(sizes) + 1
-            words += found
-            chars += [x + 1 for x in sizes[:-1]] + sizes[-1:]
-            breaks += [False] * (len(found) - 1) + [stop < len(line) or bool(_END.search(part[-3:]))]
-            sentence += [at] * len(found)
-            at += 1
+    tokens = [t for x in plain for t in x.tokens]
+    owner = np.repeat(np.arange(len(plain)), [len(x.tokens) for x in plain])
+    punct = np.fromiter(map(_PUNCT.__contains__, tokens), bool, len(tokens))
+    words = [t for t in tokens if t not in _PUNCT]
     n = len(words)
     if not n:
         return out
-    function = np.fromiter(map(FUNCTION_WORDS.__contains__, words), bool, n)
+    line = owner[~punct]
+    last = np.append(line[1:] != line[:-1], True)  # of its line
+    at = np.cumsum(~punct) - 1  # the word that a sign stands behind
+    behind = punct & (at >= 0)
+    behind[behind] = line[at[behind]] == owner[behind]
+    end = behind & np.fromiter(map(_ENDS.__contains__, tokens), bool, len(tokens))
+    breaks, apart = np.zeros(n, bool), last.copy()  # whether a sentence ends, and whether a list sign or the end of a line follows
+    breaks[at[end]] = True
+    apart[at[behind & ~end]] = True
+    sentence = np.append(0, np.cumsum(breaks | last)[:-1])
+    chars = np.fromiter(map(len, words), np.int64, n) + 1
+    chars[last] += (np.array([x.size for x in plain]) - np.bincount(line, weights=chars, minlength=len(plain)).astype(np.int64))[line[last]]
+    ids: dict[str, int] = {}
+    terms = np.array([ids.setdefault(w, len(ids)) for w in words])
+    function = np.array([w in FUNCTION_WORDS for w in ids])[terms]
     bounds = _bounds(n)
-    shares = _window(np.stack([function, np.array(breaks, bool)]), bounds)
+    shares = _window(np.stack([function, breaks]), bounds)
     few = (shares[0] <= MOST_FUNCTION) & (shares[1] <= 0.04)
     spam = np.zeros(n, bool)
-    odd = {w for w in set(words) if w.isdigit() or (not w.isascii() and _SPACELESS.search(w))}
-    content = ~(function | np.fromiter(map(odd.__contains__, words), bool, n)) if odd else ~function
+    spaceless = np.array([not w.isascii() and bool(_SPACELESS.search(w)) for w in ids])[terms]
+    content = ~(function | np.array([w.isdigit() for w in ids])[terms])
     if full or few.any():
-        ids: dict[str, int] = {}
-        terms = np.array([ids.setdefault(w, len(ids)) for w in words])
-        spaceless = np.array([not w.isascii() and bool(_SPACELESS.search(w)) for w in ids])[terms]
         recurrent = content & (recurrence_gaps(terms) <= LAGS)
-        more = _window(np.stack([spaceless, recurrent]), bounds)
+        more = _window(np.stack([spaceless, recurrent, apart]), bounds)
         out["peak"], local = autocorrelation(terms, content, bounds)
-        few &= more[0] < 0.2
-        # keywords that come again soon or at regular distances, or a list of nouns without function word or end of a sentence far and wide
-        spam = few & ((more[1] >= LEAST_RECURRENT) | (local >= LEAST_REGULAR) | ((shares[0] <= 0.02) & (n >= LEAST_LIST)))
-    spam |= _slogans(words, content.tolist(), np.array(sentence))
-    out["keyword"] = float(np.array(chars)[spam].sum() / total)
+        # keywords that come again soon or at regular distances, or short items one after the other without function word or end of a sentence far and wide
+        listed = (shares[0] <= 0.02) & (more[2] >= LEAST_APART) & (more[0] < 0.2) & (n >= LEAST_LIST)
+        spam = few & ((more[1] >= LEAST_RECURRENT) | (local >= LEAST_REGULAR) | listed)
+    # where words are not set apart by spaces, a run between signs is a clause and no word of a slogan
+    spam |= _slogans(terms, content & ~spaceless, sentence)
+    out["keyword"] = float(chars[spam].sum() / total)
     out["function"] = float(function.mean())
     out["spam"] += out["keyword"]
     return out

@@ -24,6 +24,42 @@ NO = [
 ]
 
 
+PROSE = {
+    "fi": "Vanha kaupungin kirjasto avasi ovensa eilen aamulla kello kahdeksan ja ensimmäiset lukijat saapuivat heti hakemaan varaamiaan teoksia joita oli odotettu koko pitkän kesän ajan ilman että kukaan osasi sanoa milloin remontti lopulta valmistuisi",
+    "tr": "Şehrin eski kütüphanesi dün sabah saat sekizde kapılarını yeniden açtı ve ilk okurlar aylardır bekledikleri kitapları almak için hemen içeri girdiler çünkü onarımın ne zaman biteceğini kimse tam olarak bilmiyordu",
+    "cs": "Stará městská knihovna včera ráno v osm hodin znovu otevřela své dveře a první čtenáři si hned přišli vyzvednout knihy které si objednali už během dlouhého léta kdy nikdo nevěděl kdy oprava konečně skončí",
+    "ar": "فتحت مكتبة المدينة القديمة أبوابها صباح أمس في الساعة الثامنة ودخل القراء الأوائل فورا لاستلام الكتب التي طلبوها طوال الصيف الطويل دون أن يعرف أحد متى تنتهي أعمال الترميم",
+    "hi": "शहर का पुराना पुस्तकालय कल सुबह आठ बजे फिर से खुल गया और पहले पाठक तुरंत अपनी किताबें लेने आ गए जिनका वे पूरी लंबी गर्मी भर इंतजार करते रहे जबकि किसी को पता नहीं था कि मरम्मत कब खत्म होगी",
+    "sv": "Stadens gamla bibliotek öppnade sina dörrar igen klockan åtta i går morse och de första läsarna kom genast in för att hämta böckerna som de hade beställt under den långa sommaren utan att någon visste när renoveringen skulle bli klar",
+    "ko": "도시의 오래된 도서관이 어제 아침 여덟 시에 다시 문을 열었고 첫 독자들은 긴 여름 내내 기다려 온 책을 받으러 곧바로 들어왔지만 수리가 언제 끝날지는 아무도 몰랐다",
+}
+KEYWORDS = {"fi": ["halpa", "kirja", "kauppa", "netti", "alennus"], "ko": ["저렴한", "도서", "쇼핑", "무료", "할인"], "ar": ["كتب", "رخيصة", "تسوق", "مجانا", "عروض"], "ja": ["格安", "書籍", "通販", "無料", "割引"]}
+
+
+@pytest.mark.parametrize("lang", PROSE)
+def test_prose_in_a_language_without_listed_words_is_no_spam(lang):
+    for text in (PROSE[lang], f"{PROSE[lang]}. {PROSE[lang]}.", (PROSE[lang] + ". ") * 6, SENTENCE + PROSE[lang] + "."):
+        assert S.analyse(text)["spam"] <= S.THRESHOLD and S.analyse(text, full=False)["spam"] <= S.THRESHOLD
+
+
+@pytest.mark.parametrize("lang", KEYWORDS)
+def test_keywords_in_such_a_language_are_found(lang):
+    w = KEYWORDS[lang]
+    assert S.analyse(", ".join(f"{a} {b}" for a in w for b in w))["spam"] > S.THRESHOLD
+
+
+def test_links_tags_and_prices_count_only_where_they_recur():
+    assert S.analyse("- https://a.example/1")["spam"] == 0.0 and S.analyse("#tariff")["spam"] == 0.0
+    alone = S.analyse("image: registry | 7.70 | x\n" + SENTENCE)
+    assert alone["product"] == 0.0
+    far = SENTENCE * 3
+    assert S.analyse(f"{far}\n- https://a.example/1\n{far}\n- https://a.example/2\n{far}")["link"] == 0.0
+    assert S.analyse("- https://a.example/1\n- https://a.example/2\n- https://a.example/3")["link"] == 1.0
+    kinds = [x.kind for x in S.read_lines("unit | kind | n\n--- | --- spoilt | ---\na | service | 1\n\nbroken\nb | service | 2\nc, d ---===***=== | e | f $5")]
+    assert kinds == ["neutral"] * 6
+    assert S.read_lines("x - $155 ---===***===--- | in stock | claim, audit\ny - $3 | in stock | c")[0].kind == "product"
+
+
 @pytest.mark.parametrize("text", YES)
 def test_spam(text):
     assert S.analyse(text)["spam"] > S.THRESHOLD
