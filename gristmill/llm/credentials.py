@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.trigrams import Indexer, check_needs_trigrams
 
-#: Lines of a chunk, and lines before and behind it that it is read with, so that values may span its ends.
+#: Lines of a chunk, and the lines over which a value may be apart from the text that names it; so many before and behind a chunk are read with it, and no match is longer.
 CHUNK_LINES, CONTEXT_LINES = 2000, 120
 #: Bytes of chunks that make a segment, about.
 SEGMENT_BYTES = 8_000_000
@@ -44,18 +44,23 @@ class Rule:
     comment_only: bool = False
 
 
-# one digit at a time, so that long numbers inside a name can be read in one way only
-_SUFFIX = re.compile(r"(?:old|new|v(?=\d)|eu|us|uk|prod|production|dev|test|stage|staging|backup|b(?=64)|base(?=64)|encoded|\d)+$")
+# endings of a name that say which one it is; they are read backwards from its end, once, so names of any length are read whole
+_SUFFIX = re.compile(r"(?:dlo|wen|(?<=\d)v|ue|su|ku|dorp|noitcudorp|ved|tset|egats|gnigats|pukcab|(?<=46)b|(?<=46)esab|dedocne|\d)+")
+_TRAIL = re.compile(r"(?:(?:dl[oO]|DLO|we[nN]|WEN|(?<=\d)[vV]|u[eE]|UE|s[uU]|SU|dor[pP]|DORP|ve[dD]|VED|tse[tT]|TSET|(?<=46)[bB]|\d)[_.\-]?)+")
 _ENDS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "secrets", "credential", "credentials", "token", "apikey", "authkey", "signingkey", "encryptionkey", "accesskey", "secretkey", "privatekey", "accountkey", "masterkey", "sharedkey", "servicekey", "sshkey", "authorization", "pemkey", "deploykey", "hmackey", "aeskey", "cryptkey", "licensekey", "accesskeyid")
 _SHORT = re.compile(r"(?:^|[_.\-])(?i:pass|pw)$|[a-z](?:Pass|Pw)$|^[A-Z_]+(?:PASS|PW)$")
-_TRAIL = re.compile(r"(?:[_.\-]?(?:[oO]ld|OLD|[nN]ew|NEW|[vV](?=\d)|[eE]u|EU|[uU]s|US|[pP]rod|PROD|[dD]ev|DEV|[tT]est|TEST|[bB](?=64)|\d))+$")
+
+
+def _without(end: re.Pattern, name: str) -> str:
+    """``name`` without what ``end`` matches of it, read backwards."""
+    m = end.match(name[::-1])
+    return name[: len(name) - m.end()] if m else name
 
 
 def names_credential(name: str) -> bool:
-    """Whether a setting of this name holds a credential itself, not something about one. What a name ends in decides, so of endless ones the end is looked at."""
-    name = name[-120:]
+    """Whether a setting of this name holds a credential itself, not something about one. What a name ends in decides."""
     flat = re.sub(r"[^a-z0-9]", "", name.lower())
-    return _SUFFIX.sub("", flat).endswith(_ENDS) or flat.endswith(_ENDS) or bool(_SHORT.search(_TRAIL.sub("", name)))
+    return _without(_SUFFIX, flat).endswith(_ENDS) or flat.endswith(_ENDS) or bool(_SHORT.search(_without(_TRAIL, name)))
 
 
 _PLACE = re.compile(
@@ -122,7 +127,7 @@ def _plain(value: str, _: str = "") -> bool:
 
 
 def _pem(value: str, _: str = "") -> bool:
-    return True
+    return True  # what follows it decides, see key_body
 
 
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*(?:\??\.[A-Za-z_$][\w$]*)*(?:[\[(<{].*)?;?")
@@ -146,7 +151,7 @@ RULES = [
     Rule("bare", rf"""^[ \t﻿]*(?:(?:\#|;|//|<!--)[ \t]*)?(?:-[ \t]+)?(?:(?:export|set|setx|ENV|ARG)[ \t]+)?["']?{_NAME}["']?[ \t]*(?:=|:(?=\s)|:(?![:/]))[ \t]*([^\s"'`][^\r\n]*)""", 2, _named, 1, bare_only=True),
     Rule("comment", rf"""(?<![A-Za-z0-9_.\-]){_NAME}["'`]?[ \t]*(?:=(?![=>])|:(?=[ \t])|:(?![:/]))[ \t]*([^\s"'`,;]+)""", 2, _remark, 1, comment_only=True),
     Rule("block", rf"""^[ \t]*(?:-[ \t]+)?["']?{_NAME}["']?[ \t]*:[ \t]*[>|][+\-]?\d?[ \t]*\r?\n[ \t]+(\S[^\r\n]*)""", 2, _named, 1),
-    Rule("option", rf"""(?<![\w\-])--?{_NAME}(?:=|[ \t]+)["']?([^\s"'`\\]+)""", 2, _named, 1),
+    Rule("option", rf"""(?<![\w\-])--?{_NAME}(?:=|[ \t]+)(?:\\?["']([^"'`\\\r\n]*)\\?["']|["']?([^\s"'`\\]+))""", 2, _named, 1),
     Rule("query", rf"""[?&]{_NAME}=([^\s"'`&\#<>]+)""", 2, _named, 1),
     Rule("provider", r"(?<![A-Za-z0-9])((?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_\-]{12,}|(?:AKIA|ASIA)[A-Z0-9]{12,20}(?![A-Za-z0-9])|AIza[0-9A-Za-z_\-]{24,}|xox[abeprs]-[0-9A-Za-z\-]{16,}|npm_[A-Za-z0-9]{20,}|hf_[A-Za-z0-9]{20,}|SG\.[\w\-]{12,}\.[\w\-]{12,}|eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,})", 1, _unmasked, flags=0),
     # begins at the :// and looks back one character only, so that the scheme may stand behind any sign and long runs are read once
@@ -164,7 +169,49 @@ _COMPILED = [re.compile(r.pattern, r.flags) for r in RULES]
 # a comment up to the end of its line, from a mark that no address or text runs into; a line of a block comment may begin with a star
 _COMMENT = re.compile(r"""(?:^[ \t]*\*(?!/)|(?<![^\s;,{}()\[\]>])(?:\#|//|/\*|<!--|--(?=[ \t]))|["'](?:_*comments?|//)["'][ \t]*:)[^\r\n]*""", I | M)
 _OPENS = re.compile(r"(?<![^\s;,{}()\[\]>])(?:/\*|<!--)")
-_KEY_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+# what may stand before, in and behind a line of a key's body: signs of a comment, quote, block or list, and breaks that are written out
+_BREAK = re.compile(r"\r\n|\r|\n|(?:\\r)?\\n")
+_BODY = re.compile(r"""[ \t"'`|>#*,;()]*+(?:(?://|\+)(?:[ \t]+["'`]?|(?=[\r\n]|$)))?([A-Za-z0-9+/]*+={0,2})[ \t"'`+,;|)]*+(?:\\(?=[ \t]*(?:\r|\n|$)))?""")
+_HEADER = re.compile(r"""[ \t"'`|>#*]*+[A-Z][A-Za-z\-]*: [^\r\n\\]*+""")
+_KEY_END = re.compile(r"""[ \t"'`|>#*,;()]*+(?:(?://|\+)(?:[ \t]+["'`]?|(?=[\r\n]|$)))?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----""")
+
+
+def key_body(text: str, at: int, inside: bool = False) -> tuple[bool, list[tuple[int, int]]]:
+    """Whether what follows the boundary that ends at ``at`` is a key, and where the lines of its body are.
+
+    The body goes on to the closing boundary or to the first text that is none of a key, whichever comes first. Without closing boundary it also ends behind the first line that is shorter than
+    the one before, as only a key's last line is. A boundary with other text behind it is only a mention; one with nothing behind it, up to the end of the text, is a key that was cut off. ``inside`` says that the body has begun
+    before the text, so that lines of any length belong to it.
+    """
+    spans: list[tuple[int, int]] = []
+    pos, width, closed, short, plain = at, 0, False, 0, True
+    while True:
+        if _KEY_END.match(text, pos):
+            closed = True
+            break
+        m = _BODY.match(text, pos)
+        stop = m.end()
+        if stop < len(text) and not _BREAK.match(text, stop) and not _KEY_END.match(text, stop):
+            h = None if spans or inside else _HEADER.match(text, pos)
+            if h is None:
+                break
+            m, stop = None, h.end()
+        if m is not None and m.group(1):
+            size = len(m.group(1))
+            spans.append(m.span(1))
+            short = short or (len(spans) if size < width else 0)
+            width = width or size
+        elif m is not None and m.group().strip(" \t\\"):
+            plain = False
+        if stop >= len(text):
+            break
+        b = _BREAK.match(text, stop)
+        pos = b.end() if b else stop
+    if not closed and not inside and short:
+        spans = spans[:short]
+    body = "".join(text[a:b] for a, b in spans)
+    cut_off = not spans and plain and not text[at:].strip()
+    return inside or cut_off or (len(body) >= 16 and len(set(body)) > 4), spans
 
 
 def extension(file: str) -> str:
@@ -218,15 +265,17 @@ def find_in_text(text: str, ext: str, rules: list[int] | None = None) -> list[tu
             out += [(start, end, r.id) for start, end in _remarks(text, r, _COMPILED[i])]
             continue
         for m in _COMPILED[i].finditer(text):
-            at = next((g for g in range(r.value, r.value + 2) if g <= (m.lastindex or 0) and m.group(g) is not None), r.value) if r.id == "pair" else r.value
+            at = next((g for g in range(r.value, r.value + 2) if g <= (m.lastindex or 0) and m.group(g) is not None), r.value) if r.id in ("pair", "option") else r.value
             value, (start, end) = m.group(at), m.span(at)
             if r.id == "bare" and value:
                 value = re.sub(r"\s+(?:#|//|-->).*$", "", value.rstrip()).rstrip(" \t\r")
                 end = start + len(value)
             if not value or not r.accept(value, m.group(r.name) if r.name else ""):
                 continue
-            if r.id == "private_key":
-                start, end = m.span()
+            if r.id == "private_key" and not key_body(text, end)[0]:
+                continue
+            if end - m.start() > CONTEXT_LINES and text.count("\n", m.start(), start) > CONTEXT_LINES:
+                continue  # no chunk's border may decide, so a name reaches as far in the middle of a chunk as over its end
             out.append((start, end, r.id))
     return out
 
@@ -236,16 +285,14 @@ def redact_text(text: str, found: list[tuple[int, int, str]], in_key: bool = Fal
     spans = []
     for start, end, rule in [(0, 0, "private_key")] * in_key + found:
         if rule == "private_key":
-            stop = _KEY_END.search(text, end)
-            body_end = stop.start() if stop else len(text)
-            spans += [(end + m.start(), end + m.end(), "REDACTED") for m in re.finditer(r"(?<=\\n)[A-Za-z0-9+/=]{4,}|(?<![A-Za-z0-9+/=\\])[A-Za-z0-9+/=]{16,}", text[end:body_end])]
+            spans += [(*x, "REDACTED") for x in key_body(text, end, inside=not end)[1]]
         else:
             value = text[start:end]
             encoded = re.fullmatch(r"[A-Za-z0-9+/]{8,}={1,2}", value) or rule == "basic"
             head = re.match(r"(?:basic|bearer|token)\s+", value, I)
             spans.append((start + (head.end() if head else 0), end, ("UkVEQUNURUQ6UkVEQUNURUQ=" if rule == "basic" else "UkVEQUNURUQ=") if encoded else "REDACTED"))
     out, last = [], 0
-    for start, end, new in sorted(spans, key=lambda s: (s[0], -s[1])):
+    for start, end, new in sorted(spans, key=lambda s: (s[0], -s[1], s[2] == "REDACTED")):
         if start < last:
             continue
         out += [text[last:start], new]
@@ -256,17 +303,21 @@ def redact_text(text: str, found: list[tuple[int, int, str]], in_key: bool = Fal
 # ---------------------------------------------------------------- distributed
 
 
-_BOUNDARY = r"(?s).*-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+# The same for one line in the JVM: a boundary with nothing but a body behind it, and a line that may stand in a body.
+_OPENS_KEY = r"""(?s).*-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s"'`,;|)]|\\[nr]|\\$)*+$"""
+_IN_KEY = r"""(?s)(?:[\s"'`|>#*,;()]*+(?:(?://|\+)\s+["'`]?)?(?:[A-Za-z0-9+/]|\\[nr])*+={0,2}(?:[\s"'`+,;|)]|\\[nr]|\\$)*+|[\s"'`|>#*]*+[A-Z][A-Za-z\-]*+: .*)"""
 
 
 def _open_keys(spread: DataFrame) -> DataFrame:
-    """(root, file, c) of the chunks whose text begins inside a key block: the last boundary before it, however far, is a BEGIN.
+    """(root, file, c) of the chunks whose text begins inside a key block: of the lines before it, however far, the last that opens or ends one opens it.
 
     A line counts for the first chunk that begins, with its context, behind it; so one row for each chunk goes over the window.
     """
-    kind = F.when(F.col("text").contains("PRIVATE KEY"), F.nullif(F.regexp_extract("text", _BOUNDARY, 1), F.lit("")))
+    text = F.coalesce("text", F.lit(""))
+    opens = text.contains("PRIVATE KEY") & text.rlike(_OPENS_KEY)
+    kind = F.when(opens, F.lit("BEGIN")).when(~text.rlike(rf"^(?:{_IN_KEY})$"), F.lit("END"))
     place = F.floor((F.col("line") + CONTEXT_LINES) / CHUNK_LINES)
-    last = spread.select("root", "file", "c", F.when(F.col("c") == place, kind).alias("kind"), F.struct("line", F.coalesce("text", F.lit("")).alias("text")).alias("at"))
+    last = spread.select("root", "file", "c", F.when(F.col("c") == place, kind).alias("kind"), F.struct("line", text.alias("text")).alias("at"))
     last = last.groupBy("root", "file", "c").agg(F.max(F.when(F.col("kind").isNotNull(), F.struct("at", "kind"))).getField("kind").alias("kind"))
     before = Window.partitionBy("root", "file").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     return last.withColumn("kind", F.last("kind", ignorenulls=True).over(before)).where("kind = 'BEGIN'").select("root", "file", "c")
@@ -364,7 +415,7 @@ def find_credentials(lines: DataFrame) -> DataFrame:
 
     ``lines`` has (root, file, line, text), in any order, with repeated rows. Null and empty texts hold nothing but keep their place; a row
     without line number has no place and is left out; lines of any length are searched whole; a text with line breaks inside counts as one line. Other columns are ignored and an empty table gives
-    an empty result. A key block is found where it begins.
+    an empty result. A key block is found where it begins. A value belongs to the text that names it if at most ``CONTEXT_LINES`` lines lie between, wherever chunks end.
     """
     return _chunks(lines).mapInArrow(_find, "root string, file string, line int, rule string").distinct()
 
@@ -372,6 +423,6 @@ def find_credentials(lines: DataFrame) -> DataFrame:
 def redact_credentials(lines: DataFrame) -> DataFrame:
     """(root, file, line, text): all lines, once each, with every credential value redacted and everything else as it was.
 
-    Key blocks of any length are redacted from boundary to boundary, over chunks too; one without end goes on to the end of its file.
+    Key blocks of any length are redacted from boundary to boundary, over chunks too; one without end goes on to the first line that is none of a key.
     """
     return _chunks(lines, keys=True).mapInArrow(_redact, "root string, file string, line int, text string")
