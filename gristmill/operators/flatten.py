@@ -31,7 +31,7 @@ def parse_architectures(docs: DataFrame, text: str = "calm", key: str = "arch_id
 
     Levels that may be a list, a single value, null or absent are read as text first and become lists.
     """
-    whole = docs.select(F.col(key).cast("string").alias("arch_id"), F.col(text).alias("doc")).where(F.col("doc").isNotNull() & F.col("arch_id").isNotNull()).distinct()
+    whole = docs.select(F.col(key).cast("string").alias("arch_id"), F.col(text).alias("doc")).where(F.col("doc").isNotNull() & F.col("arch_id").isNotNull())
     valid = whole.where(F.is_variant_null(F.try_parse_json("doc")).isNotNull())
     top = valid.select("arch_id", F.from_json("doc", "struct<nodes:string>").alias("t"))
     raw_node = "array<struct<`unique-id`:string,`node-type`:string,name:string,description:string,interfaces:string,controls:map<string,string>>>"
@@ -111,6 +111,12 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.concat_tables(out).combine_chunks().to_batches()
 
 
+def flatten_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``flatten_architectures`` before equal ones are put together. There is no shuffle, and documents never move; what is wanted of the rows should be selected first and made distinct then."""
+    schema = "arch_id string, child_kind string, parent_path string, child_id string, position long, type string, name string, detail string"
+    return parse_architectures(docs).mapInArrow(_flatten, schema)
+
+
 def flatten_architectures(docs: DataFrame) -> DataFrame:
     """All children of all documents: (arch_id, child_kind, parent_path, child_id, position, type, name, detail), distinct.
 
@@ -119,9 +125,7 @@ def flatten_architectures(docs: DataFrame) -> DataFrame:
     rows once, differing documents of one arch_id both give theirs. A document without arch_id is left out; other columns are
     ignored; an empty table gives an empty result.
     """
-    # records are wide here, so a batch is kept small; the documents themselves bound a batch's memory
-    schema = "arch_id string, child_kind string, parent_path string, child_id string, position long, type string, name string, detail string"
-    return parse_architectures(docs).mapInArrow(_flatten, schema).distinct()
+    return flatten_rows(docs).distinct()
 
 
 def level_tables(flat: DataFrame) -> dict[str, DataFrame]:

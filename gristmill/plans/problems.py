@@ -53,7 +53,7 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Parent-child links of all levels."""
-    return flatten.flatten_architectures(table(spark, d, "calm_documents")).select("arch_id", "parent_path", "child_kind", "child_id").distinct()
+    return flatten.flatten_rows(table(spark, d, "calm_documents")).select("arch_id", "parent_path", "child_kind", "child_id").distinct()
 
 
 def p5_levels(spark: SparkSession, d: str) -> DataFrame:
