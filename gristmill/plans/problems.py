@@ -9,21 +9,21 @@ from gristmill.operators import drift, flatten, orphans, patches, snapdiff
 from gristmill.session import table
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
+def _orphans(spark: SparkSession, d: str) -> tuple[list[orphans.Reference], DataFrame]:
     t = lambda n: table(spark, d, n)
     overrides = t("overrides").select("override_id", "override_type", "decision_record_ref", "target_ref", "loaded_at")
     decisions = t("decisions").select("decision_id", "supersedes", "loaded_at", "deleted_at")
-    return orphans.orphan_cascade(orphans.review_references(overrides, decisions), orphans.review_lifetimes(decisions, t("calm_elements")))
+    return orphans.review_references(overrides, decisions), orphans.review_lifetimes(decisions, t("calm_elements"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Direct orphans."""
-    return _orphans(spark, d).where("orphan_kind = 'direct'").select("ref_table", "ref_field", "period", "ref_key")
+    """Direct orphans: those of depth 0, from which the cascade starts."""
+    return orphans.direct_orphans(*_orphans(spark, d)).select("ref_table", "ref_field", "period", "ref_key")
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphans by table, field, period and whether direct or inherited."""
-    return _orphans(spark, d).groupBy("ref_table", "ref_field", "period", "orphan_kind").agg(F.count("*").alias("n_rows"), F.max("depth").cast("bigint").alias("max_depth"))
+    return orphans.orphan_cascade(*_orphans(spark, d)).groupBy("ref_table", "ref_field", "period", "orphan_kind").agg(F.count("*").alias("n_rows"), F.max("depth").cast("bigint").alias("max_depth"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
