@@ -10,14 +10,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.operators.scan import segmented_lag
-from gristmill.session import checkpointed, norm_text
+from gristmill.operators.scan import segmented_sum
+from gristmill.session import checkpointed, is_small, norm_text, small
 
-#: Rows of a snapshot that share a bucket, about; a bucket's table is sized for some of them to differ and grows if more do.
-BUCKET_ROWS = 256
-LEAST_CELLS = 8
+#: Rows of a snapshot that share a bucket, about, and cells of a bucket's table in each of its parts; the table grows if more rows differ.
+BUCKET_ROWS, WIDTH = 256, 32
 GROWTH = 2
 SUBTABLES = 3
+#: Runs of a group that meet in one place, which bounds what a bucket holds however many runs there are.
+BLOCK_RUNS = 64
+PLACE = ["g", "bucket", "block"]
 
 
 def content_digest(texts: list[str], lists: list[str], numbers: list[str]) -> Column:
@@ -27,15 +29,6 @@ def content_digest(texts: list[str], lists: list[str], numbers: list[str]) -> Co
     return F.xxhash64(F.to_json(F.array(*parts)))
 
 
-def snapshot_hashes(snapshots: DataFrame, run: str, key: str, digest: Column, at: str = "loaded_at") -> DataFrame:
-    """One (run, key, k, v) for each key of a run, ``run`` and ``k`` as hashes. Deliveries of one run add up; of several contents of a key in a run the last loaded counts.
-
-    Ranges of (run, k) keep the rows of a small run in one task and spread those of a large one, so cells of a table combine before they are shuffled.
-    """
-    rows = snapshots.where(F.col(run).isNotNull() & F.col(key).isNotNull()).select(F.xxhash64(F.col(run)).alias("run"), F.xxhash64(F.col(key).cast("string")).alias("k"), F.col(key).cast("string").alias("key"), digest.alias("v"), F.col(at).alias("at"))
-    return rows.repartitionByRange("run", "k").groupBy("run", "k", "key").agg(F.max(F.struct("at", "v")).alias("m")).select("run", "key", "k", F.col("m.v").alias("v"))
-
-
 def _h(value: int, seed: int) -> int:
     """Spark's xxhash64 of one long with a seed, unsigned."""
     return xxhash.xxh64_intdigest(struct.pack("<q", value), seed)
@@ -58,7 +51,7 @@ def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Peel each bucket's difference; a bucket that leaves something over is reported with ok = false and no pairs."""
     for b in batches:
         out: list[tuple] = []
-        for pair, bucket, width, cells in zip(*(b.column(c).to_pylist() for c in ("pair", "bucket", "width", "cells")), strict=True):
+        for g, bucket, block, pair, width, cells in zip(*(b.column(c).to_pylist() for c in (*PLACE, "pair", "width", "cells")), strict=True):
             tab = {c["cell"]: [c["n"], c["xk"], c["xv"], c["xc"]] for c in cells}
             todo, found, ok = list(tab), [], True
             while todo:
@@ -81,45 +74,70 @@ def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(found) > SUBTABLES * width + 8:
                     ok, todo = False, []
             if ok and all(not any(c) for c in tab.values()):
-                out += [(pair, bucket, True, *f) for f in found]
+                out += [(g, bucket, block, pair, True, *f) for f in found]
             else:
-                out.append((pair, bucket, False, 0, 0, 0))
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=t) for i, t in enumerate(kinds)], names=["pair", "bucket", "ok", "k", "v", "sign"])
+                out.append((g, bucket, block, pair, False, 0, 0, 0))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=t) for i, t in enumerate(kinds)], names=[*PLACE, "pair", "ok", "k", "v", "sign"])
 
 
-def subtract_tables(sides: DataFrame, rows: DataFrame) -> DataFrame:
-    """Recovered difference (pair, k, v, sign) of each pair of row sets.
+def run_order(snapshots: DataFrame, runs: DataFrame, run: str, group: str, order: str) -> DataFrame:
+    """(name, run, g, seq, n_runs, buckets): each run with its place among the runs of its group, and into how many buckets the group's snapshots are cut: enough for its largest run.
 
-    ``sides`` has (pair, run, sign), sign 1 for the later run and -1 for the earlier; ``rows`` the hashed rows (run, k, v).
-    A pair's rows are cut into buckets by key hash. Each bucket's table has three parts of ``width`` cells; a cell adds up signs
-    and xors hashes, so equal rows of the two runs cancel while they are aggregated, map side first. Peeling recovers the rest. A bucket
+    ``run`` and ``g`` are hashes. Runs of a group at the same instant follow each other by run id.
+    """
+    once = runs.where(F.col(group).isNotNull() & F.col(order).isNotNull() & F.col(run).isNotNull()).groupBy(F.col(run).alias("name")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(group).alias("g"))).alias("m"))
+    once = once.select("name", F.xxhash64("name").alias("run"), F.xxhash64("m.g").alias("g"), F.col("m.o").alias("o"), F.lit(1).alias("one"))
+    sizes = snapshots.where(F.col(run).isNotNull()).groupBy(F.xxhash64(F.col(run)).alias("run")).agg(F.count("*").alias("n"))
+    placed = segmented_sum(once, ["g"], ["o", "name"], "one", "seq").join(sizes, "run", "left")
+    shape = placed.groupBy("g").agg(F.max("seq").alias("n_runs"), F.greatest(F.lit(1), F.ceil(F.max(F.coalesce("n", F.lit(0))) / BUCKET_ROWS)).cast("bigint").alias("buckets"))
+    return checkpointed(placed.join(shape, "g").select("name", "run", "g", "seq", "n_runs", "buckets"))
+
+
+def placed_rows(snapshots: DataFrame, order: DataFrame, run: str, key: str, digest: Column, at: str = "loaded_at") -> DataFrame:
+    """(g, bucket, block, seq, later, earlier, k, key, v): one row for each key of a run, where all runs of its group that are near in time meet.
+
+    ``later`` and ``earlier`` say whether the row takes part, in this block, in the difference from the run before and to the run behind. Deliveries of one run add up; of several contents of a key in a run the last loaded counts. The only shuffle
+    of the rows is by (group, bucket of the key, block of runs): a bucket has about 256 rows of a run and a block 64 runs, so no place grows with the data, however large a group or often a key.
+    """
+    hashed = snapshots.where(F.col(run).isNotNull() & F.col(key).isNotNull()).select(F.xxhash64(F.col(run)).alias("run"), F.xxhash64(F.col(key).cast("string")).alias("k"), F.col(key).cast("string").alias("key"), digest.alias("v"), F.col(at).alias("at"))
+    places_of = order.select("run", "g", "seq", "n_runs", "buckets")
+    j = hashed.join(F.broadcast(places_of), "run") if is_small(places_of) else checkpointed(hashed.join(places_of, "run"))
+    block = F.floor(F.col("seq") / BLOCK_RUNS)
+    behind = F.floor((F.col("seq") + 1) / BLOCK_RUNS)
+    # the last run of a block is also the earlier side of the first of the next
+    places = F.when((behind != block) & (F.col("seq") < F.col("n_runs")), F.array(block, behind)).otherwise(F.array(block))
+    j = j.withColumn("bucket", F.pmod("k", "buckets")).withColumn("block", F.explode(places))
+    later = (F.col("seq") > 1) & (F.floor(F.col("seq") / BLOCK_RUNS) == F.col("block"))
+    earlier = (F.col("seq") < F.col("n_runs")) & (F.floor((F.col("seq") + 1) / BLOCK_RUNS) == F.col("block"))
+    met = j.select(*PLACE, "seq", later.alias("later"), earlier.alias("earlier"), "k", "key", "v", "at").repartition(*PLACE)
+    last = met.groupBy(*PLACE, "seq", "later", "earlier", "k", "key").agg(F.max(F.struct("at", "v")).alias("m"))
+    return checkpointed(last.select(*PLACE, "seq", "later", "earlier", "k", "key", F.col("m.v").alias("v")), keep_partitioning=True)
+
+
+def subtract_tables(rows: DataFrame) -> DataFrame:
+    """Recovered differences (g, bucket, block, pair, k, v, sign) of each run from the one before; pair is the later run's place, sign 1 for its rows and -1 for those of the earlier.
+
+    Each bucket's table has three parts of ``width`` cells; a cell adds up signs and xors hashes of both runs, so equal rows cancel while they are aggregated, where they are: ``rows`` meet by bucket,
+    so cells are not shuffled, and those that cancel are gone before tables are put together. Peeling recovers the rest. A bucket
     whose table does not empty is built again twice as wide, until all are empty, so the result is exact whatever part changed.
     """
-    counts = rows.groupBy("run").agg(F.count("*").alias("n"))
-    shape = sides.join(counts, "run").groupBy("pair").agg(F.max("n").alias("n"))
-    shape = shape.withColumn("buckets", F.ceil(F.col("n") / BUCKET_ROWS)).withColumn("width", F.greatest(F.lit(LEAST_CELLS), F.ceil(F.col("n") / F.col("buckets") / 8))).drop("n")
-    shaped = checkpointed(sides.join(shape, "pair"))
+    sides = F.array_compact(F.array(F.when(F.col("later"), F.struct(F.col("seq").alias("pair"), F.lit(1).alias("sign"))), F.when(F.col("earlier"), F.struct((F.col("seq") + 1).alias("pair"), F.lit(-1).alias("sign")))))
+    sided = rows.select(*PLACE, "k", "v", F.explode(sides).alias("s")).select(*PLACE, "k", "v", "s.pair", "s.sign")
     done, failed = None, None
     for attempt in range(48):
-        # a run is in two pairs at most; later attempts only touch the runs of pairs with a failed bucket
-        todo = shaped if failed is None else shaped.join(failed.select("pair").distinct(), "pair", "left_semi")
-        roles = todo.groupBy("run").agg(F.collect_list(F.struct("pair", "sign", "buckets", (F.col("width") * F.lit(GROWTH**attempt)).alias("width"))).alias("roles"))
-        placed = rows.join(roles, "run").select("k", "v", F.explode("roles").alias("r"))
-        now = placed.select("k", "v", "r.pair", "r.sign", F.pmod("k", F.col("r.buckets")).alias("bucket"), F.col("r.width").alias("width"))
-        if failed is not None:
-            now = now.join(failed, ["pair", "bucket"], "left_semi")
-        e = F.xxhash64("k", "v")
-        now = now.withColumn("e", e).withColumn("check", F.xxhash64("e", F.lit(99).cast("long")))
-        spots = F.array(*(F.lit(j) * F.col("width") + F.pmod(F.xxhash64("e", F.lit(j).cast("long")), F.col("width")) for j in range(SUBTABLES)))
-        cells = now.withColumn("cell", F.explode(spots)).groupBy("pair", "bucket", "width", "cell").agg(
+        width = F.lit(WIDTH * GROWTH**attempt).cast("bigint")
+        now = sided if failed is None else sided.join(failed, [*PLACE, "pair"], "left_semi")
+        now = now.withColumn("e", F.xxhash64("k", "v")).withColumn("check", F.xxhash64("e", F.lit(99).cast("long")))
+        spots = F.array(*(F.lit(j).cast("bigint") * width + F.pmod(F.xxhash64("e", F.lit(j).cast("long")), width) for j in range(SUBTABLES)))
+        cells = now.withColumn("cell", F.explode(spots)).groupBy(*PLACE, "pair", "cell").agg(
             F.sum("sign").alias("n"), F.bit_xor("k").alias("xk"), F.bit_xor("v").alias("xv"), F.bit_xor("check").alias("xc")
         ).where("n <> 0 or xk <> 0 or xv <> 0 or xc <> 0")
-        tables = cells.groupBy("pair", "bucket", "width").agg(F.collect_list(F.struct("cell", "n", "xk", "xv", "xc")).alias("cells"))
-        peeled = checkpointed(tables.mapInArrow(_peel, "pair long, bucket long, ok boolean, k long, v long, sign int"))
-        good = peeled.where("ok").select("pair", "k", "v", "sign")
+        tables = cells.groupBy(*PLACE, "pair").agg(F.collect_list(F.struct("cell", "n", "xk", "xv", "xc")).alias("cells")).withColumn("width", width)
+        peeled = checkpointed(tables.mapInArrow(_peel, "g long, bucket long, block long, pair long, ok boolean, k long, v long, sign int"))
+        good = peeled.where("ok").drop("ok")
         done = good if done is None else done.unionByName(good)
-        failed = peeled.where("not ok").select("pair", "bucket")
+        failed = peeled.where("not ok").select(*PLACE, "pair")
         if failed.isEmpty():
             return done
     raise RuntimeError("lookup tables did not empty; the digests of some rows collide")
@@ -133,16 +151,13 @@ def snapshot_changes(snapshots: DataFrame, runs: DataFrame, digest: Column, key:
     runs of a group at the same instant follow each other by run id. Recovered keys are looked up in the hashed rows, and a key counts
     only with the digest that was recovered. Empty tables give an empty result.
     """
-    ordered = runs.where(F.col(group).isNotNull() & F.col(order).isNotNull() & F.col(run).isNotNull()).groupBy(F.col(run).alias("run")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(group).alias("g"))).alias("m")).select("run", F.col("m.g").alias("g"), F.col("m.o").alias("o"))
-    pairs = checkpointed(segmented_lag(ordered, ["g"], ["o", "run"], F.col("run"), "prev").where(F.col("prev").isNotNull()).select("run", "prev"))
-    coded = pairs.select("run", F.xxhash64("run").alias("pair"), F.xxhash64("prev").alias("prev"))
-    sides = coded.select("pair", F.explode(F.array(F.struct(F.col("pair").alias("run"), F.lit(1).alias("sign")), F.struct(F.col("prev").alias("run"), F.lit(-1).alias("sign")))).alias("s")).select("pair", "s.run", "s.sign")
-    hashed = checkpointed(snapshot_hashes(snapshots, run, key, digest))
-    diff = subtract_tables(sides, hashed)
-    sided = diff.join(coded.withColumnRenamed("run", "name"), "pair").withColumn("run", F.when(F.col("sign") == 1, F.col("pair")).otherwise(F.col("prev")))
-    named = sided.join(hashed, ["run", "k", "v"]).groupBy("name", "key").agg(F.max(F.col("sign") == 1).alias("now"), F.max(F.col("sign") == -1).alias("then"))
+    ordered = run_order(snapshots, runs, run, group, order)
+    rows = placed_rows(snapshots, ordered, run, key, digest)
+    diff = subtract_tables(rows).withColumn("seq", F.when(F.col("sign") == 1, F.col("pair")).otherwise(F.col("pair") - 1))
+    named = rows.join(small(diff), [*PLACE, "seq", "k", "v"]).groupBy(*PLACE, "pair", "key").agg(F.max(F.col("sign") == 1).alias("now"), F.max(F.col("sign") == -1).alias("then"))
     change = F.when(F.col("now") & F.col("then"), "changed").when(F.col("now"), "added").otherwise("removed")
-    return named.select(F.col("name").alias(run), F.col("key").alias(key), change.alias("change"))
+    names = small(ordered.select("g", F.col("seq").alias("pair"), "name"))
+    return named.join(names, ["g", "pair"]).select(F.col("name").alias(run), F.col("key").alias(key), change.alias("change"))
 
 
 def node_digest() -> Column:

@@ -35,6 +35,24 @@ def test_everything_changed_in_a_large_run(spark):
     same_rows(diff(spark, snaps, runs).collect(), want)
 
 
+def test_many_runs_over_several_blocks_and_a_hot_key(spark):
+    n = 3 * snapdiff.BLOCK_RUNS + 5
+    runs = [(f"r{i:03d}", "a", T0 + timedelta(i), "x") for i in range(n)]
+    snaps = [(f"r{i:03d}", "hot", "t", str(i // 2), None, None, 1, T0, "x") for i in range(n)] + [(f"r{i:03d}", f"u{i // 50}", "t", "s", None, None, 1, T0, "x") for i in range(n)]
+    want = [(f"r{i:03d}", "hot", "changed") for i in range(2, n, 2)] + [(f"r{i:03d}", f"u{i // 50 - d}", c) for i in range(50, n, 50) for d, c in ((0, "added"), (1, "removed"))]
+    same_rows(diff(spark, snaps, runs).collect(), want)
+
+
+def test_cells_are_not_shuffled(spark):
+    """The rows go over one exchange; tables are built, subtracted and put together where they meet."""
+    runs = spark.createDataFrame([(f"r{i}", "a", T0 + timedelta(i), "x") for i in range(2)], R)
+    snaps = spark.range(2000).selectExpr("concat('r', id % 2) as run_id", "concat('u', id div 2) as unique_id", "'t' as node_type", "string(if(id < 20, id, 0)) as node_name", "null as description", "array('p') as interfaces", "1 as confidence", "current_timestamp() as loaded_at")
+    rows = snapdiff.placed_rows(snaps, snapdiff.run_order(snaps, runs, "run_id", "root", "generated_at"), "run_id", "unique_id", snapdiff.node_digest())
+    plan = rows.groupBy(*snapdiff.PLACE, "seq").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert snapdiff.snapshot_changes(snaps, runs, snapdiff.node_digest()).count() == 10
+
+
 def test_empty(spark):
     assert diff(spark, [], []).count() == 0
     assert diff(spark, [], [("r1", "a", T0, "x"), ("r2", "a", T0 + timedelta(1), "x")]).count() == 0
