@@ -2,190 +2,322 @@
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import count
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.operators.scan import segmented_lag
-from gristmill.session import checkpointed
+from gristmill.operators.scan import segmented_lag, segmented_last, segmented_sum
+from gristmill.session import checkpointed, small
 
-#: Cost of an edit. A rename without evidence in the data costs more than removing and adding.
-DELETE, INSERT, RETYPE, RENAME = 10, 10, 4, 6
+#: Cost of an edit, for each field it concerns. A field that is found again elsewhere costs less than removing and adding it.
+DELETE, INSERT, RETYPE, RENAME, MOVE = 10, 10, 4, 6, 8
 FILE_KEY = ["root", "file_name"]
+#: Step of a path into the elements of an array; all other steps are names.
+ELEMENT = 0
+Path = tuple[str | int, ...]
 
 
 # ---------------------------------------------------------------- schema trees
 
 
-@dataclass
-class Tree:
-    """A field of a schema: name, types seen, evidence of its values, and fields inside."""
+@dataclass(frozen=True)
+class Node:
+    """A field of a schema: the types seen, and evidence of its values over the records that both files hold: (their number, sums of hashes), none if not looked at."""
 
-    name: str
     types: frozenset[str] = frozenset()
-    evidence: tuple | None = None
-    children: dict[str, Tree] = field(default_factory=dict)
-
-    def size(self) -> int:
-        return 1 + sum(c.size() for c in self.children.values())
-
-
-def _type_parts(text: str) -> list[tuple[str, str]]:
-    """Fields (name, type text) of an OBJECT<...> type text."""
-    body, depth, quoted, start, out = text[text.index("<") + 1 : -1], 0, False, 0, []
-    for i, ch in enumerate(body + ","):
-        if ch == "`":
-            quoted = not quoted
-        elif not quoted and ch == "<":
-            depth += 1
-        elif not quoted and ch == ">":
-            depth -= 1
-        elif not quoted and ch == "," and (depth == 0 and (i == len(body) or body[i + 1 : i + 2] == " ")) and (part := body[start:i].strip()):
-            name, _, kind = part.rpartition("`: ") if part.startswith("`") else part.partition(": ")
-            out.append((name.lstrip("`"), kind))
-            start = i + 1
+    evidence: tuple[int, str] | None = None
+
+
+def shown(path: Path) -> str:
+    """A path as people read it: names with dots between them, [] for the elements of an array."""
+    out = ""
+    for step in path:
+        out += "[]" if step == ELEMENT else ("." if out else "") + str(step)
     return out
 
 
-def simple_type(text: str) -> str | None:
-    """One of string, number, boolean, array, object; null for nulls."""
-    head = text.split("<")[0].split("(")[0].upper()
-    return {"STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object", "VOID": None}.get(head, "number")
-
-
-def schema_tree(name: str, kinds: list[str], evidence: tuple | None = None) -> Tree:
-    """The tree of a field from the type texts of its values."""
-    node = Tree(name, frozenset(t for k in kinds if (t := simple_type(k))), evidence)
-    inner: dict[str, list[str]] = {}
-    for k in kinds:
-        if k.upper().startswith("OBJECT<"):
-            for child, kind in _type_parts(k):
-                inner.setdefault(child, []).append(kind)
-    for child, parts in inner.items():
-        node.children[child] = schema_tree(child, parts)
-    return node
-
-
-def _assign(cost: list[list[int]]) -> list[tuple[int, int]]:
-    """Pairs (row, column) of a least-cost assignment; rows and columns may stay free at the cost of no pair (0). Costs are gains < 0 if worth it."""
-    n, m = len(cost), len(cost[0]) if cost else 0
-    size = n + m
-    big = [[cost[i][j] if i < n and j < m else 0 for j in range(size)] for i in range(size)]
-    inf = 1 << 60
-    u, v, p, way = [0] * (size + 1), [0] * (size + 1), [0] * (size + 1), [0] * (size + 1)
-    for i in range(1, size + 1):
-        p[0], j0 = i, 0
-        least, used = [inf] * (size + 1), [False] * (size + 1)
-        while True:
-            used[j0] = True
-            i0, delta, j1 = p[j0], inf, 0
-            for j in range(1, size + 1):
-                if not used[j]:
-                    cur = big[i0 - 1][j - 1] - u[i0] - v[j]
-                    if cur < least[j]:
-                        least[j], way[j] = cur, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(size + 1):
-                if used[j]:
-                    u[p[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
-            j0 = j1
-            if p[j0] == 0:
-                break
-        while j0:
-            p[j0] = p[way[j0]]
-            j0 = way[j0]
-    return [(p[j] - 1, j - 1) for j in range(1, m + 1) if p[j] and p[j] - 1 < n and cost[p[j] - 1][j - 1] < 0]
-
-
-def tree_edit(old: Tree, new: Tree, path: str = "", depth: int = 0) -> tuple[int, list[tuple]]:
-    """Cost and script of the cheapest edit of ``old`` into ``new``.
-
-    Siblings have different names and no order, so equal names match, and the rest is a least-cost assignment of removed to added
-    fields; a pair may match if the values say that it is one field (equal evidence), or inside objects if type and inner fields are equal.
-    A script row is (op, path, to_path, old_type, new_type, depth), op one of add, delete, rename, retype.
+def edit_script(old: dict[Path, Node], new: dict[Path, Node]) -> tuple[int, list[tuple]]:
+    """Cost and script of the cheapest edit of the schema ``old`` into ``new``, each given by the paths of its fields.
+
+    Siblings have different names and no order, so equal paths match. Of the rest, fields may match whose values agree (equal evidence; below the top, and for moves,
+    that of one value at least): as a rename if they have one parent, else as a move. What matches in one class of equal evidence costs the same whatever the pairs, but renames
+    are cheaper, so the cheapest assignment has as many renames as possible, then moves, and is found by taking classes apart, in time that grows with the fields and not with their cube.
+    Fields inside a renamed or moved one are carried along. A script row is (op, path, to_path, old_types, new_types), op one of retype, rename, move, carry, delete, add;
+    a deleted or added field stands for all inside it.
     """
     cost, script = 0, []
     show = lambda t: "|".join(sorted(t)) or None
-    for name in sorted(set(old.children) & set(new.children)):
-        a, b, at = old.children[name], new.children[name], path + name
-        if a.types and b.types and a.types != b.types:
+    order = lambda p: (len(p), [str(x) for x in p])
+    gone = sorted((p for p in old if p not in new), key=order)
+    come = dict.fromkeys(sorted((p for p in new if p not in old), key=order))
+    match: dict[Path, Path] = {}
+
+    def retype(a: Path, b: Path) -> None:
+        nonlocal cost
+        if old[a].types and new[b].types and old[a].types != new[b].types:
             cost += RETYPE
-            script.append(("retype", at, at, show(a.types), show(b.types), depth))
-        c, s = tree_edit(a, b, at + ".", depth + 1)
-        cost, script = cost + c, script + s
-    gone = [old.children[x] for x in sorted(set(old.children) - set(new.children))]
-    come = [new.children[x] for x in sorted(set(new.children) - set(old.children))]
-
-    def gain(a: Tree, b: Tree) -> int:
-        same = a.evidence == b.evidence if a.evidence is not None and b.evidence is not None else depth > 0 and a.types == b.types and bool(a.children) and set(a.children) == set(b.children)
-        return RENAME + tree_edit(a, b)[0] - DELETE * a.size() - INSERT * b.size() if same else 1
-
-    table = [[gain(a, b) for b in come] for a in gone]
-    pairs = _assign(table) if gone and come else []
-    for i, j in pairs:
-        a, b = gone[i], come[j]
-        cost += RENAME
-        script.append(("rename", path + a.name, path + b.name, show(a.types), show(b.types), depth))
-        c, s = tree_edit(a, b, path + b.name + ".", depth + 1)
-        cost, script = cost + c, script + s
-    for i, a in enumerate(gone):
-        if i not in {x for x, _ in pairs}:
-            cost += DELETE * a.size()
-            script.append(("delete", path + a.name, None, show(a.types), None, depth))
-    for j, b in enumerate(come):
-        if j not in {y for _, y in pairs}:
-            cost += INSERT * b.size()
-            script.append(("add", path + b.name, path + b.name, None, show(b.types), depth))
+            script.append(("retype", a, b, show(old[a].types), show(new[b].types)))
+
+    def take(a: Path, b: Path, op: str, price: int) -> None:
+        nonlocal cost
+        match[a] = b
+        del come[b]
+        cost += price
+        script.append((op, a, b, show(old[a].types), show(new[b].types)))
+        if op == "carry":
+            retype(a, b)
+
+    def carry(paths: list[Path]) -> None:
+        for a in paths:
+            if a not in match and (up := match.get(a[:-1])) is not None and (*up, a[-1]) in come:
+                take(a, (*up, a[-1]), "carry", 0)
+
+    for p in sorted((p for p in old if p in new), key=order):
+        retype(p, p)
+    levels: dict[int, list[Path]] = defaultdict(list)
+    for p in gone:
+        levels[len(p)].append(p)
+    for depth in sorted(levels):
+        carry(levels[depth])
+        waiting: dict[tuple, list[Path]] = defaultdict(list)
+        for b in come:
+            e = new[b].evidence
+            if e is not None and len(b) == depth and b[-1] != ELEMENT and (depth == 1 or e[0]):
+                waiting[(b[:-1], e)].append(b)
+        for a in levels[depth]:
+            e = old[a].evidence
+            places = waiting.get((match.get(a[:-1], a[:-1]), e)) if e is not None and a not in match and a[-1] != ELEMENT else None
+            if places:
+                take(a, places.pop(0), "rename", RENAME)
+    found: dict[tuple, list[Path]] = defaultdict(list)
+    for b in come:
+        e = new[b].evidence
+        if e is not None and e[0]:
+            found[e].append(b)
+    for depth in sorted(levels):
+        carry(levels[depth])
+        for a in levels[depth]:
+            e = old[a].evidence
+            if a in match or e is None or not e[0]:
+                continue
+            places = found.get(e, [])
+            while places and places[0] not in come:
+                places.pop(0)
+            if places:
+                take(a, places.pop(0), "move", MOVE)
+    left = {p for p in gone if p not in match}
+    for p in gone:
+        if p in left:
+            cost += DELETE
+            if p[:-1] not in left:
+                script.append(("delete", p, None, show(old[p].types), None))
+    for p in come:
+        cost += INSERT
+        if p[:-1] not in come:
+            script.append(("add", p, p, None, show(new[p].types)))
     return cost, script
 
 
+def _path(text: str) -> Path:
+    return tuple(json.loads(text))
+
+
+_SCRIPT = "root string, file_name string, op string, path string, to_path string, old_type string, new_type string, depth int, to_depth int, raw string, to_raw string"
+
+
 def _scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["root", "file_name", "op", "path", "to_path", "old_type", "new_type", "depth"]
+    names = [x.split()[0] for x in _SCRIPT.split(", ")]
     for b in batches:
         out = []
         for root, file_name, fields in zip(*(b.column(c).to_pylist() for c in ("root", "file_name", "fields")), strict=True):
-            sides = {False: Tree(""), True: Tree("")}
+            old, new = {}, {}
             for f in fields:
-                sides[f["later"]].children[f["field"]] = schema_tree(f["field"], f["kinds"] or [], None if f["n"] is None else (f["n"], f["sig"]))
-            out += [(root, file_name, *row) for row in tree_edit(sides[False], sides[True])[1]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=pa.int32() if n == "depth" else pa.string()) for i, n in enumerate(names)], names=names)
+                evidence = None if f["n"] is None else (f["n"], f["sig"])
+                for side, types in ((old, f["old_types"]), (new, f["new_types"])):
+                    if types is not None:
+                        side[_path(f["path"])] = Node(frozenset(types), evidence)
+            for op, a, z, was, now in edit_script(old, new)[1]:
+                out.append((root, file_name, op, shown(a), None if z is None else shown(z), was, now, len(a) - 1, None if z is None else len(z) - 1, _text(a), None if z is None else _text(z)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=pa.int32() if n.endswith("depth") else pa.string()) for i, n in enumerate(names)], names=names)
 
 
 # ---------------------------------------------------------------- records and files
 
 
-def file_id() -> Column:
-    """Hash of (root, file_name), which stands for the file wherever many rows are moved."""
-    return F.xxhash64(*FILE_KEY)
+def _text(path: Path) -> str:
+    return json.dumps(path, ensure_ascii=False, separators=(",", ":"))
+
+
+def _type(v: object) -> str | None:
+    """One of string, number, boolean, array, object; none for null."""
+    return "string" if isinstance(v, str) else "boolean" if isinstance(v, bool) else None if v is None else "number" if isinstance(v, int | float) else "array" if isinstance(v, list) else "object"
+
+
+def _canonical(v: object) -> str:
+    """Text that is equal for equal values: numbers by value, objects with their keys in order and without nulls."""
+    if isinstance(v, str):
+        return "s" + v
+    if isinstance(v, bool) or v is None:
+        return repr(v)
+    if isinstance(v, int | float):
+        return "n" + (repr(float(v)) if abs(v) <= 1 << 53 or isinstance(v, float) else str(v))
+    if isinstance(v, list):
+        return json.dumps([_canonical(x) for x in v])
+    return json.dumps({k: _canonical(x) for k, x in sorted(v.items()) if x is not None})
+
+
+def _distinct(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise ValueError("a key comes twice")
+    return out
 
 
-def evidence_records(files: DataFrame) -> DataFrame:
-    """(fid, rid, v): the records of each file as variants, ``rid`` a hash of their id. Text that is no JSON object is no record."""
-    v = files.where(F.col("payload").isNotNull() & F.col("root").isNotNull() & F.col("file_name").isNotNull()).select(file_id().alias("fid"), F.try_parse_json("payload").alias("v"))
-    rid = F.try_variant_get("v", "$.evidenceId", "string")
-    return v.where(F.schema_of_variant("v").startswith("OBJECT")).select("fid", F.when(rid.isNotNull(), F.xxhash64(rid)).alias("rid"), "v")
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
+_DECODE = json.JSONDecoder(object_pairs_hook=_distinct, parse_constant=_no_constant).decode
+
+
+def record_of(payload: str | None) -> dict | None:
+    """The record that a payload holds; none if it is no JSON object, or one in which a key comes twice."""
+    try:
+        r = _DECODE(payload) if payload else None
+    except (ValueError, RecursionError):
+        return None
+    return r if isinstance(r, dict) else None
+
+
+def _hash(text: str) -> int:
+    """Spark's xxhash64 of a text, unsigned."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+
+
+def path_code(path: Column) -> Column:
+    """What stands for a path in records."""
+    return F.xxhash64(path)
+
+
+class _Walk:
+    """Paths, types and value hashes of records. What depends on a path or a short text alone is remembered."""
+
+    def __init__(self, id_field: str) -> None:
+        self.id_field = id_field
+        self.paths: dict[Path, tuple[str, int]] = {}
+        self.texts: dict[str, int] = {}
+
+    def path(self, p: Path) -> tuple[str, int]:
+        known = self.paths.get(p)
+        if known is None:
+            if len(self.paths) > 100_000:
+                self.paths.clear()
+            text = _text(p)
+            known = self.paths[p] = (text, _hash(text))
+        return known
+
+    def value(self, v: object, single: bool) -> int:
+        text = _canonical(v) if single else "l" + json.dumps([_canonical(x) for x in v])
+        if len(text) > 64:
+            return _hash(text)
+        known = self.texts.get(text)
+        if known is None:
+            if len(self.texts) > 200_000:
+                self.texts.clear()
+            known = self.texts[text] = _hash(text)
+        return known
+
+    def fields(self, record: dict) -> Iterator[tuple[Path, set[str], int | None]]:
+        """(path, types, hash of the value or none for null) of every field, however deep; the values of a field in all elements of an array count as one list."""
+        stack: list[tuple[Path, list, bool]] = [((k,), [v], True) for k, v in record.items() if k != self.id_field]
+        while stack:
+            path, values, single = stack.pop()
+            types = {t for v in values if (t := _type(v)) is not None}
+            there = values[0] is not None if single else any(v is not None for v in values)
+            yield path, types, self.value(values[0] if single else values, single) if there else None
+            if "object" in types:
+                inside: dict[str, list] = {}
+                for v in values:
+                    if isinstance(v, dict):
+                        for k, x in v.items():
+                            inside.setdefault(k, []).append(x)
+                stack += [((*path, k), xs, single) for k, xs in inside.items()]
+            if "array" in types and (items := [x for v in values if isinstance(v, list) for x in v]):
+                stack.append(((*path, ELEMENT), items, False))
+
+
+_PARSED = "fid bigint, rid bigint, at array<bigint>, val array<bigint>, path string, types array<string>"
+
+
+def _parse(id_field: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each record with an id (fid, rid, at, val), and for each batch one for each field of a file (fid, path, types)."""
+        walk = _Walk(id_field)
+        for b in batches:
+            fids, rids, sizes, at, val = [], [], [], [], []
+            seen: dict[tuple[int, str], set[str]] = {}
+            for fid, payload in zip(b.column("fid").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                r = record_of(payload)
+                if r is None:
+                    continue
+                try:
+                    found = list(walk.fields(r))
+                except RecursionError:
+                    continue
+                rid = r.get(id_field)
+                n = 0
+                for path, types, h in found:
+                    text, code = walk.path(path)
+                    known = seen.get((fid, text))
+                    if known is None:
+                        seen[(fid, text)] = types
+                    else:
+                        known |= types
+                    if h is not None and rid is not None:
+                        at.append(code)
+                        val.append(h)
+                        n += 1
+                if rid is not None:
+                    fids.append(fid)
+                    rids.append(_hash(_canonical(rid)))
+                    sizes.append(n)
+            signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
+            offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
+            none, m, k = pa.nulls, len(fids), len(seen)
+            listed = pa.list_(pa.int64())
+            types = [sorted(x) for x in seen.values()]
+            rows = [
+                pa.concat_arrays([pa.array(fids, pa.int64()), pa.array([f for f, _ in seen], pa.int64())]), pa.concat_arrays([signed(rids), none(k, pa.int64())]),
+                pa.concat_arrays([pa.ListArray.from_arrays(offsets, signed(at)), none(k, listed)]), pa.concat_arrays([pa.ListArray.from_arrays(offsets, signed(val)), none(k, listed)]),
+                pa.concat_arrays([none(m, pa.string()), pa.array([p for _, p in seen], pa.string())]), pa.concat_arrays([none(m, pa.list_(pa.string())), pa.array(types, pa.list_(pa.string()))]),
+            ]
+            yield pa.RecordBatch.from_arrays(rows, names=[x.split()[0] for x in _PARSED.split(", ")])
+
+    return run
 
 
-def canonical(v: Column, kind: Column) -> Column:
-    """Text of a value that is equal for equal values: numbers by value, objects with their keys in order (variants keep them so)."""
-    number = ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & ~kind.isin("STRING", "BOOLEAN", "VOID")
-    return F.when(kind == "VOID", None).when(number, F.concat(F.lit("n:"), F.try_variant_get(v, "$", "double").cast("string"))).otherwise(F.concat(F.substring(kind, 1, 1), F.lit(":"), F.to_json(v)))
+def file_id() -> Column:
+    """Hash of (root, file_name), which stands for the file wherever many rows are moved."""
+    return F.xxhash64(*FILE_KEY)
+
 
+def parsed_records(files: DataFrame, id_field: str = "evidenceId") -> tuple[DataFrame, DataFrame]:
+    """(records, fields) of all payloads, each parsed once: records (fid, rid, at, val) with hashes of the paths and values of their fields that are not null, fields (fid, path, types) of each file.
 
-def record_fields(records: DataFrame, id_field: str = "evidenceId") -> DataFrame:
-    """(fid, rid, field, kind, val): the top-level fields of each record, but for the one that identifies it; ``val`` is a hash, null for null."""
-    spark = records.sparkSession
-    exploded = records.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).where(F.col("key").isNotNull() & (F.col("key") != id_field))
-    kind = F.schema_of_variant("value")
-    text = canonical(F.col("value"), kind)
-    return exploded.select("fid", "rid", F.col("key").alias("field"), kind.alias("kind"), F.when(text.isNotNull(), F.xxhash64(text)).alias("val"))
+    Nesting has no bound, hence Python over Arrow batches. Text that is no JSON object is no record, nor is one in which a key comes twice or that is nested deeper than the parser goes.
+    """
+    some = files.where(F.col("payload").isNotNull() & F.col("root").isNotNull() & F.col("file_name").isNotNull()).select(file_id().alias("fid"), "payload")
+    parsed = checkpointed(some.mapInArrow(_parse(id_field), _PARSED))
+    fields = parsed.where("path is not null").select("fid", "path", F.explode_outer("types").alias("t")).groupBy("fid", "path").agg(F.array_sort(F.collect_set("t")).alias("types"))
+    return parsed.where("rid is not null").select("fid", "rid", "at", "val"), fields
 
 
 def file_order(files: DataFrame) -> DataFrame:
@@ -194,95 +326,140 @@ def file_order(files: DataFrame) -> DataFrame:
     return segmented_lag(one, ["root"], ["at", "file_name"], F.col("file_name"), "prev_file")
 
 
-def schema_scripts(files: DataFrame) -> DataFrame:
-    """Edit scripts between each file and the one before in its root: (root, file_name, op, path, to_path, old_type, new_type, depth).
+def schema_scripts(files: DataFrame, carried: bool = False) -> DataFrame:
+    """Edit scripts between each file and the one before in its root: (root, file_name, op, path, to_path, old_type, new_type, depth, to_depth, raw, to_raw).
 
-    op is add, delete, rename or retype; paths have dots between nested names, depth is 0 at the top. A removed field counts as renamed to an added one if their
+    op is add, delete, rename, move or retype; paths have dots between nested names and [] for the elements of arrays, raw ones are JSON lists of their steps; depth is 0 at the top. With ``carried``
+    there is also a row carry for each field inside a renamed or moved one. A removed field counts as renamed to an added one of the same parent, and as moved to one elsewhere, if their
     values agree in every record that both files hold, null and absent being equal. This is tested by sums of hashes
     of (record, value) over the common records, added up before they are shuffled, so a file of any size is compared without
     being gathered. Only schema trees, whose size does not grow with the rows, meet in one task. Repeated rows count once; unparsable payloads are
     no records, though their file still has its place in time; null roots and file names are left out. An empty table gives an empty result.
     """
     order = checkpointed(file_order(files).withColumn("fid", file_id()).withColumn("prev", F.when(F.col("prev_file").isNotNull(), F.xxhash64("root", "prev_file"))))
-    records = evidence_records(files)
-    # The kinds of a field are few, so this collects little whatever the number of rows.
-    stats = checkpointed(record_fields(records).groupBy("fid", "field").agg(F.collect_set("kind").alias("kinds")))
+    scripts = _scripts_of(order, *parsed_records(files))
+    return scripts if carried else scripts.where("op <> 'carry'")
+
+
+def _scripts_of(order: DataFrame, records: DataFrame, fields: DataFrame) -> DataFrame:
     pairs = order.where(F.col("prev").isNotNull()).select(F.col("fid").alias("pair"), F.explode(F.array(F.struct("fid", F.lit(True).alias("later")), F.struct(F.col("prev").alias("fid"), F.lit(False).alias("later")))).alias("s")).select("pair", "s.fid", "s.later")
-    sides = pairs.join(stats, "fid").groupBy("pair", "field").agg(F.collect_list(F.struct("later", "kinds", "fid")).alias("s"))
-    lone = sides.where(F.size("s") == 1).select("pair", "field", F.explode("s").alias("s")).select("pair", "field", "s.later", "s.fid")
-    matched = lone.groupBy("pair").agg(F.count_if("later").alias("n_new"), F.count_if(~F.col("later")).alias("n_gone")).where("n_new > 0 and n_gone > 0").select("pair")
-    candidates = checkpointed(lone.join(matched, "pair", "left_semi").select("pair", "field", "fid"))
-    # records that both files of such a pair hold, and their values: only files of such pairs are looked at again
-    wanted = pairs.join(candidates.select("pair").distinct(), "pair", "left_semi")
-    again = records.where(F.col("rid").isNotNull()).join(candidates.select("fid").distinct(), "fid", "left_semi")
-    rids = wanted.join(again.select("fid", "rid").distinct(), "fid")
-    common = rids.groupBy("pair", "rid").agg(F.count_distinct("later").alias("n")).where("n = 2").select("pair", "rid")
-    values = record_fields(again).where(F.col("val").isNotNull()).select("fid", "field", "rid", "val").join(candidates, ["fid", "field"]).select("pair", "field", "rid", "val").distinct()
+    new, old = F.max(F.when(F.col("later"), F.col("types"))), F.max(F.when(~F.col("later"), F.col("types")))
+    sides = checkpointed(pairs.join(fields, "fid").groupBy("pair", "path").agg(old.alias("old_types"), new.alias("new_types"), F.max("fid").alias("fid")))
+    is_new, is_gone = F.col("old_types").isNull(), F.col("new_types").isNull()
+    both = sides.where(is_new | is_gone).groupBy("pair").agg(F.bool_or(is_new).alias("a"), F.bool_or(is_gone).alias("b")).where("a and b").select("pair")
+    # what a file is asked for: the fields that only it has of a pair in which the other has such fields too
+    lone = sides.where(is_new | is_gone).join(both, "pair", "left_semi").select("pair", "fid", is_new.alias("later"), "path")
+    asked = lone.groupBy("fid", "pair", "later").agg(F.collect_set(F.col("path")).alias("paths"))
+    # a file of such a pair may have no field of its own to be asked for, but which records it holds counts all the same
+    wanted = pairs.join(both, "pair", "left_semi").join(asked, ["fid", "pair", "later"], "left")
+    hit = records.join(small(checkpointed(wanted.withColumn("codes", F.transform(F.coalesce("paths", F.array().cast("array<string>")), lambda p: path_code(p))).drop("paths"))), "fid")
+    entries = F.filter(F.arrays_zip("at", "val"), lambda e: F.array_contains("codes", e["at"]))
+    met = hit.select("pair", "rid", "later", entries.alias("e")).repartition("pair", "rid")
+    whole = Window.partitionBy("pair", "rid")
+    common = met.withColumn("both", F.max("later").over(whole) != F.min("later").over(whole)).where("both")
+    values = common.select("pair", "rid", F.explode("e").alias("e")).select("pair", "rid", F.col("e.at").alias("code"), F.col("e.val").alias("val")).groupBy("pair", "rid", "code", "val").agg(F.lit(1).alias("one"))
     # no overflow: hashes are folded to 40 bits before they are summed, twice with different seeds
     h = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "rid", "val"), F.lit(1 << 40)))
-    sums = values.join(common, ["pair", "rid"], "left_semi").groupBy("pair", "field").agg(F.count("*").alias("n"), h(1).alias("s1"), h(2).alias("s2"))
-    evidence = candidates.select("pair", "field").join(sums, ["pair", "field"], "left").select("pair", "field", F.coalesce("n", F.lit(0)).alias("n"), F.concat_ws(":", F.coalesce("s1", F.lit(0)), F.coalesce("s2", F.lit(0))).alias("sig"))
-    full = sides.join(evidence, ["pair", "field"], "left").select("pair", "field", "n", "sig", F.explode("s").alias("s"))
-    trees = full.groupBy("pair").agg(F.collect_list(F.struct("field", F.col("s.later").alias("later"), F.col("s.kinds").alias("kinds"), "n", "sig")).alias("fields"))
+    sums = values.groupBy("pair", "code").agg(F.count("*").alias("n"), h(1).alias("s1"), h(2).alias("s2"))
+    told = lone.select("pair", "path").withColumn("code", path_code(F.col("path"))).join(sums, ["pair", "code"], "left")
+    evidence = told.select("pair", "path", F.coalesce("n", F.lit(0)).alias("n"), F.concat_ws(":", F.coalesce("s1", F.lit(0)), F.coalesce("s2", F.lit(0))).alias("sig"))
+    trees = sides.join(evidence, ["pair", "path"], "left").groupBy("pair").agg(F.collect_list(F.struct("path", "old_types", "new_types", "n", "sig")).alias("fields"))
     named = trees.join(order.select(F.col("fid").alias("pair"), *FILE_KEY), "pair").select(*FILE_KEY, "fields")
-    return named.mapInArrow(_scripts, "root string, file_name string, op string, path string, to_path string, old_type string, new_type string, depth int")
+    return named.mapInArrow(_scripts, _SCRIPT)
 
 
 def field_changes(scripts: DataFrame) -> DataFrame:
-    """Changes of top-level fields: (file_name, field, change), change one of renamed, removed, added, retyped; distinct."""
-    top = scripts.where("depth = 0")
-    names = F.when(F.col("op") == "rename", "renamed").when(F.col("op") == "delete", "removed").when(F.col("op") == "add", "added").otherwise("retyped")
-    return top.select("file_name", F.coalesce("to_path", "path").alias("field"), names.alias("change")).distinct()
+    """Changes of top-level fields: (file_name, field, change), change one of renamed, removed, added, retyped; distinct. A field that moved from or to a place inside another is removed from or added to the top."""
+    op, top, to_top = F.col("op"), F.col("depth") == 0, F.col("to_depth") == 0
+    gone = F.when(top & op.isin("delete", "move"), F.struct(F.col("path").alias("field"), F.lit("removed").alias("change")))
+    name = F.when(op == "rename", "renamed").when(op == "retype", "retyped").when(op.isin("add", "move"), "added")
+    come = F.when(to_top & name.isNotNull() & ((op != "rename") | top), F.struct(F.col("to_path").alias("field"), name.alias("change")))
+    return scripts.select("file_name", F.explode(F.array_compact(F.array(gone, come))).alias("c")).select("file_name", "c.field", "c.change").distinct()
+
 
+# ---------------------------------------------------------------- one table
 
-def canonical_names(order: DataFrame, stats: DataFrame, scripts: DataFrame, rounds: int = 40) -> DataFrame:
-    """(root, file_name, field, name): the name each file's field has at the end of its chain of renames.
 
-    A rename leads to the next event of its new name (a later rename away, or a removal, which ends the chain).
-    Chains are followed by pointer doubling, so a chain of n renames takes log n joins.
+def canonical_names(order: DataFrame, fields: DataFrame, scripts: DataFrame) -> DataFrame:
+    """(fid, path, name): the path at the end of the chain of renames and moves that each file's field begins; ``order`` (root, file_name, fid, seq), ``scripts`` with carried fields.
+
+    A change leads to the next one of its new path (a later rename or move, or a removal, which ends the chain). What comes next is one scan over fields and changes of a path against time, and
+    chains are followed by pointer doubling, so a chain of n changes takes log n joins.
     """
-    when = order.select("root", "file_name", "at")
-    events = scripts.where(F.col("op").isin("rename", "delete") & (F.col("depth") == 0)).join(when, FILE_KEY).select("root", "at", F.col("path").alias("field"), F.col("to_path").alias("to"))
-    # next event of a field after each time at which something is asked: files' fields, and renames' new names
-    asked = stats.select(*FILE_KEY, "field").join(when, FILE_KEY).select("root", "at", "field", "file_name")
-    pointer = _next_event(events.where(F.col("to").isNotNull()).select("root", F.col("to").alias("field"), "at", F.struct("field", "at").alias("me")), events)
-    edges = checkpointed(pointer.select("root", "me", F.col("field").alias("name"), F.when(F.col("next.to").isNotNull(), F.struct("field", F.col("next.at").alias("at"))).alias("next")))
-    for _ in range(rounds):
-        if edges.where(F.col("next").isNotNull()).isEmpty():
+    placed = order.select("root", "file_name", "fid", "seq")
+    events = scripts.where(F.col("op").isin("rename", "move", "carry", "delete")).join(placed, FILE_KEY).select("root", "seq", F.col("raw").alias("path"), F.when(F.col("op") != "delete", F.col("to_raw")).alias("to"))
+    none = F.lit(None)
+    parts = [
+        fields.join(placed, "fid").select("root", "path", "seq", F.lit(0).alias("kind"), "fid", none.cast("string").alias("to")),
+        events.where("to is not null").select("root", F.col("to").alias("path"), "seq", F.lit(1).alias("kind"), none.cast("bigint").alias("fid"), none.cast("string").alias("to")),
+        events.select("root", "path", "seq", F.lit(2).alias("kind"), none.cast("bigint").alias("fid"), "to"),
+    ]
+    told = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("back", -F.col("seq"))
+    scanned = checkpointed(segmented_last(told, ["root", "path"], ["back", "kind"], F.when(F.col("kind") == 2, F.struct("seq", "to")), "next").where("kind < 2"))
+    step = scanned.select("kind", "root", "path", "seq", "fid", F.col("next.to").alias("nto"), F.when(F.col("next.to").isNotNull(), F.col("next.seq")).alias("nseq"))
+    nodes = step.where("kind = 1").select("root", "path", "seq", F.col("path").alias("name"), "nto", "nseq").distinct()
+    for _ in count():
+        if nodes.where("nto is not null").isEmpty():
             break
-        ahead = edges.select("root", F.col("me").alias("next"), F.col("name").alias("name2"), F.col("next").alias("next2"))
-        edges = checkpointed(edges.join(ahead, ["root", "next"], "left").select("root", "me", F.coalesce("name2", "name").alias("name"), F.col("next2").alias("next")))
-    first = _next_event(asked.withColumn("me", F.col("file_name")), events)
-    step = first.select("root", F.col("me").alias("file_name"), "field", F.when(F.col("next.to").isNotNull(), F.struct("field", F.col("next.at").alias("at"))).alias("e"))
-    ends = edges.select("root", F.col("me").alias("e"), "name")
-    return step.join(ends, ["root", "e"], "left").select(*FILE_KEY, "field", F.coalesce("name", "field").alias("name"))
+        ahead = nodes.select("root", F.col("path").alias("nto"), F.col("seq").alias("nseq"), F.col("name").alias("name2"), F.col("nto").alias("nto2"), F.col("nseq").alias("nseq2"))
+        nodes = checkpointed(nodes.join(ahead, ["root", "nto", "nseq"], "left").select("root", "path", "seq", F.coalesce("name2", "name").alias("name"), F.col("nto2").alias("nto"), F.col("nseq2").alias("nseq")))
+    ends = nodes.select("root", F.col("path").alias("nto"), F.col("seq").alias("nseq"), F.col("name").alias("end"))
+    return step.where("kind = 0").join(ends, ["root", "nto", "nseq"], "left").select("fid", "path", F.coalesce("end", "path").alias("name"))
+
+
+def projections(order: DataFrame, fields: DataFrame, scripts: DataFrame) -> DataFrame:
+    """(fid, path, column): what each file's fields are called in the one table: the scripts compiled into a projection of every file.
+
+    Fields at the top have a column, and so have fields that were there before they moved into another or came from one. If two of a file end in one column, the one that was
+    renamed has it and the other is kept as column@file@field.
+    """
+    names = canonical_names(order, fields, scripts).where((F.json_array_length("path") == 1) | (F.json_array_length("name") == 1))
+    dotted = lambda c: F.concat_ws(".", F.from_json(c, "array<string>"))
+    among = Window.partitionBy("fid", "column").orderBy(F.col("path") == F.col("name"), "path")
+    ranked = names.withColumn("column", dotted("name")).withColumn("n", F.row_number().over(among)).join(order.select("fid", "file_name"), "fid")
+    return ranked.select("fid", "path", F.when(F.col("n") == 1, F.col("column")).otherwise(F.concat_ws("@", "column", "file_name", dotted("path"))).alias("column"))
 
 
-def _next_event(asked: DataFrame, events: DataFrame) -> DataFrame:
-    """``asked`` (root, field, at, me) with ``next``, the event of that field at the least time after; null if none."""
-    pairs = asked.join(events.select("root", "field", F.struct("at", "to").alias("ev")), ["root", "field"], "left")
-    return pairs.groupBy("root", "field", "at", "me").agg(F.min(F.when(F.col("ev.at") > F.col("at"), F.col("ev"))).alias("next"))
+COLUMN_TYPES = {frozenset({"number"}): "double", frozenset({"boolean"}): "boolean"}
 
 
-def unified_table(files: DataFrame, scripts: DataFrame | None = None) -> DataFrame:
-    """All records in one table: (root, file_name, line_no, evidence_id, fields), ``fields`` a map from canonical name to value text.
+def unified_table(files: DataFrame, id_field: str = "evidenceId", max_columns: int = 500) -> DataFrame:
+    """All records in one table: (root, file_name, line_no, evidence_id, one column for each field, others).
 
-    Each file's projection follows from the scripts: a field goes under the last name of its chain of renames; a value keeps its JSON text,
-    so a field that changed its type has one column too. If fields of a file get the same name, the renamed one has it and each other is kept as name@file@field.
-    Records without fields have an empty map. Distinct rows; other cases as for ``schema_scripts``.
+    Each file's projection follows from the scripts, see ``projections``. A column is double or boolean if its field never had another type, else it is text, where objects and arrays
+    are JSON. The ``max_columns`` fields of most files have a column, all others are in the map ``others``, so nothing is lost where keys are data. Columns that differ in case alone, or have the name of
+    another column, get ~2, ~3 and so on. A null or absent value is null. Records without fields have a row. Distinct rows; other cases as for ``schema_scripts``.
     """
-    scripts = checkpointed(scripts if scripts is not None else schema_scripts(files))
-    order = checkpointed(file_order(files))
-    rows = files.where(F.col("payload").isNotNull()).select(*FILE_KEY, "line_no", F.try_parse_json("payload").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    spark = files.sparkSession
-    long = rows.lateralJoin(spark.tvf.variant_explode_outer(F.col("v").outer()))
-    long = long.select(*FILE_KEY, "line_no", F.try_variant_get("v", "$.evidenceId", "string").alias("evidence_id"), F.col("key").alias("field"), F.when(F.schema_of_variant("value") == "STRING", F.try_variant_get("value", "$", "string")).when(F.schema_of_variant("value") != "VOID", F.to_json("value")).alias("val")).distinct()
-    stats = long.where("field is not null").select(*FILE_KEY, "field").distinct()
-    names = canonical_names(order, stats, scripts)
-    among = Window.partitionBy(*FILE_KEY, "name").orderBy(F.col("field") == F.col("name"), "field")
-    names = names.withColumn("name", F.when(F.row_number().over(among) == 1, F.col("name")).otherwise(F.concat("name", F.lit("@"), "file_name", F.lit("@"), "field")))
-    named = long.join(names, [*FILE_KEY, "field"], "left")
-    kv = F.when((F.col("field") != "evidenceId") & F.col("name").isNotNull(), F.struct("name", "val"))
-    per_row = named.groupBy(*FILE_KEY, "line_no", "evidence_id").agg(F.array_sort(F.collect_list(kv)).alias("kv"))
-    unique = F.aggregate("kv", F.expr("cast(map() as map<string,string>)"), lambda m, e: F.when(F.map_contains_key(m, e["name"]), m).otherwise(F.map_concat(m, F.create_map(e["name"], e["val"]))))
-    return per_row.select(*FILE_KEY, "line_no", "evidence_id", unique.alias("fields"))
+    order = file_order(files).withColumn("fid", file_id()).withColumn("prev", F.when(F.col("prev_file").isNotNull(), F.xxhash64("root", "prev_file"))).withColumn("one", F.lit(1))
+    order = checkpointed(segmented_sum(order, ["root"], ["at", "file_name"], "one", "seq"))
+    records, fields = parsed_records(files, id_field)
+    fields = checkpointed(fields)
+    scripts = checkpointed(_scripts_of(order, records, fields))
+    plan = checkpointed(projections(order, fields, scripts))
+    kinds = plan.join(fields, ["fid", "path"]).groupBy("column").agg(F.count_distinct("fid").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"))
+    most = kinds.orderBy(F.desc("n"), "column").limit(max_columns).collect()  # as many as the table has columns
+    taken = {"root", "file_name", "line_no", "evidence_id", "others"}
+    columns = []
+    for r in sorted(most, key=lambda r: r["column"]):
+        label, k = r["column"], 1
+        while label.lower() in taken:
+            k += 1
+            label = f"{r['column']}~{k}"
+        taken.add(label.lower())
+        columns.append((r["column"], label, COLUMN_TYPES.get(frozenset(r["types"]), "string")))
+    steps = F.from_json("path", "array<string>")
+    quoted = F.concat(F.lit("$"), F.concat_ws("", F.transform(steps, lambda x: F.concat(F.lit("['"), x, F.lit("']")))))
+    at_top = F.json_array_length("path") == 1
+    of_file = plan.groupBy("fid").agg(
+        F.map_from_entries(F.collect_list(F.when(at_top, F.struct(steps[0].alias("k"), F.col("column").alias("v"))))).alias("tops"), F.collect_list(F.when(~at_top, F.struct("column", quoted.alias("at")))).alias("inner")
+    )
+    rows = files.where(F.col("payload").isNotNull() & F.col("root").isNotNull() & F.col("file_name").isNotNull()).select(*FILE_KEY, "line_no", "payload").distinct()
+    rows = rows.withColumn("v", F.try_parse_json("payload")).where(F.schema_of_variant("v").startswith("OBJECT")).withColumn("fid", file_id()).join(small(of_file), "fid", "left")
+    text = lambda v: F.try_variant_get(v, "$", "string")
+    whole = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
+    tops = F.filter(F.transform(whole, lambda e: F.struct(F.col("tops")[e["key"]].alias("k"), text(e["value"]).alias("v"))), lambda e: e["k"].isNotNull() & e["v"].isNotNull())
+    inner = F.filter(F.transform(F.coalesce("inner", F.array().cast("array<struct<column:string,at:string>>")), lambda x: F.struct(x["column"].alias("k"), F.call_function("get_json_object", F.col("payload"), x["at"]).alias("v"))), lambda e: e["v"].isNotNull())
+    held = rows.select(*FILE_KEY, "line_no", F.try_variant_get("v", f"$.{id_field}", "string").alias("evidence_id"), F.map_from_entries(F.concat(tops, inner)).alias("held"))
+    typed = [F.col("held")[F.lit(c)].try_cast(t).alias(label) for c, label, t in columns]
+    known = F.array(*(F.lit(c) for c, _, _ in columns)) if columns else F.array().cast("array<string>")
+    return held.select(*FILE_KEY, "line_no", "evidence_id", *typed, F.map_filter("held", lambda k, _: ~F.array_contains(known, k)).alias("others"))
