@@ -60,9 +60,10 @@ def parse_architectures(docs: DataFrame, text: str = "calm", key: str = "arch_id
 
 def _flat(parent_keys: pa.Array, lists: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
     """Children of a list array: their parents' keys by a vectorised take, their positions from the offsets, their values."""
+    if not len(lists):
+        return parent_keys.slice(0, 0), pa.array([], pa.int64()), pa.array([], lists.type.value_type)
     parents = pc.list_parent_indices(lists)
     values = pc.list_flatten(lists)
-    starts = pc.subtract(lists.offsets.slice(0, len(lists)), lists.offsets[0]) if len(lists) else pa.array([], pa.int32())
     # list_flatten drops what lies behind null lists, so positions count from the first child of each parent
     lengths = pc.fill_null(pc.list_value_length(lists), 0)
     ends = pc.cumulative_sum(pc.cast(lengths, pa.int64()))
@@ -82,6 +83,8 @@ def _join(*parts: pa.Array) -> pa.Array:
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(arch_id, level, parent_path, child_id, path, position, type, name, detail) of all levels."""
     for b in batches:
+        if not b.num_rows:
+            continue
         out = []
 
         def emit(level: str, arch: pa.Array, parent: pa.Array, child: pa.Array, position: pa.Array, kind: pa.Array | None, name: pa.Array | None, detail: pa.Array | None, present: pa.Array, out: list = out) -> None:
