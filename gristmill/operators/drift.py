@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -156,9 +157,11 @@ def _text(path: Path) -> str:
     return json.dumps(path, ensure_ascii=False, separators=(",", ":"))
 
 
-def _type(v: object) -> str | None:
-    """One of string, number, boolean, array, object; none for null."""
-    return "string" if isinstance(v, str) else "boolean" if isinstance(v, bool) else None if v is None else "number" if isinstance(v, int | float) else "array" if isinstance(v, list) else "object"
+#: Types as bits, so that sets of them are numbers.
+TYPES = ("array", "boolean", "number", "object", "string")
+ARRAY, BOOLEAN, NUMBER, OBJECT, STRING = (1 << i for i in range(5))
+_NAMES = [[t for i, t in enumerate(TYPES) if bits >> i & 1] for bits in range(32)]
+_BITS = {str: STRING, bool: BOOLEAN, int: NUMBER, float: NUMBER, list: ARRAY, dict: OBJECT, type(None): 0}
 
 
 def _canonical(v: object) -> str:
@@ -185,16 +188,34 @@ def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
-_DECODE = json.JSONDecoder(object_pairs_hook=_distinct, parse_constant=_no_constant).decode
+_STRICT = json.JSONDecoder(object_pairs_hook=_distinct, parse_constant=_no_constant).decode
+_PLAIN = json.JSONDecoder(parse_constant=_no_constant).decode
+_KEYS = re.compile(r'"\s*:')
+
+
+def _n_keys(v: object) -> int:
+    """Number of keys in all objects of a value."""
+    n, stack = 0, [v]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, dict):
+            n += len(x)
+            stack += [y for y in x.values() if isinstance(y, dict | list)]
+        elif isinstance(x, list):
+            stack += [y for y in x if isinstance(y, dict | list)]
+    return n
 
 
 def record_of(payload: str | None) -> dict | None:
     """The record that a payload holds; none if it is no JSON object, or one in which a key comes twice."""
     try:
-        r = _DECODE(payload) if payload else None
+        r = _PLAIN(payload) if payload else None
+        if isinstance(r, dict):
+            # no more quotes with a colon behind them than keys: then no key came twice, else a slower look tells
+            return r if len(_KEYS.findall(payload)) == _n_keys(r) else _STRICT(payload)
     except (ValueError, RecursionError):
-        return None
-    return r if isinstance(r, dict) else None
+        pass
+    return None
 
 
 def _hash(text: str) -> int:
@@ -208,11 +229,11 @@ def path_code(path: Column) -> Column:
 
 
 class _Walk:
-    """Paths, types and value hashes of records. What depends on a path or a short text alone is remembered."""
+    """Paths, types and value hashes of records. What depends on a path or a text alone is remembered."""
 
-    def __init__(self, id_field: str) -> None:
-        self.id_field = id_field
+    def __init__(self) -> None:
         self.paths: dict[Path, tuple[str, int]] = {}
+        self.tops: dict[str, tuple[str, int]] = {}
         self.texts: dict[str, int] = {}
 
     def path(self, p: Path) -> tuple[str, int]:
@@ -220,39 +241,57 @@ class _Walk:
         if known is None:
             if len(self.paths) > 100_000:
                 self.paths.clear()
+                self.tops.clear()
             text = _text(p)
             known = self.paths[p] = (text, _hash(text))
+            if len(p) == 1:
+                self.tops[p[0]] = known
         return known
 
-    def value(self, v: object, single: bool) -> int:
-        text = _canonical(v) if single else "l" + json.dumps([_canonical(x) for x in v])
-        if len(text) > 64:
-            return _hash(text)
-        known = self.texts.get(text)
+    def text(self, v: str) -> int:
+        """Hash of a string's canonical form."""
+        known = self.texts.get(v)
         if known is None:
             if len(self.texts) > 200_000:
                 self.texts.clear()
-            known = self.texts[text] = _hash(text)
+            known = _hash("s" + v)
+            if len(v) <= 64:
+                self.texts[v] = known
         return known
 
-    def fields(self, record: dict) -> Iterator[tuple[Path, set[str], int | None]]:
-        """(path, types, hash of the value or none for null) of every field, however deep; the values of a field in all elements of an array count as one list."""
-        stack: list[tuple[Path, list, bool]] = [((k,), [v], True) for k, v in record.items() if k != self.id_field]
+    def inner(self, path: Path, values: list, single: bool, out: list[tuple[str, int, int, int | None]]) -> None:
+        """Adds (path, its code, types, hash of the value or none for null) of a field and all inside it; the values of a field in all elements of an array count as one list."""
+        stack = [(path, values, single)]
         while stack:
             path, values, single = stack.pop()
-            types = {t for v in values if (t := _type(v)) is not None}
-            there = values[0] is not None if single else any(v is not None for v in values)
-            yield path, types, self.value(values[0] if single else values, single) if there else None
-            if "object" in types:
+            bits = 0
+            for v in values:
+                bits |= _BITS[type(v)]
+            h = None if not bits else _hash(_canonical(values[0])) if single else _hash("l" + json.dumps([_canonical(x) for x in values]))
+            out.append((*self.path(path), bits, h))
+            if bits & OBJECT:
                 inside: dict[str, list] = {}
                 for v in values:
-                    if isinstance(v, dict):
+                    if type(v) is dict:
                         for k, x in v.items():
                             inside.setdefault(k, []).append(x)
                 stack += [((*path, k), xs, single) for k, xs in inside.items()]
-            if "array" in types and (items := [x for v in values if isinstance(v, list) for x in v]):
+            if bits & ARRAY and (items := [x for v in values if type(v) is list for x in v]):
                 stack.append(((*path, ELEMENT), items, False))
 
+    def fields(self, record: dict, id_field: str) -> list[tuple[str, int, int, int | None]]:
+        out: list[tuple[str, int, int, int | None]] = []
+        for k, v in record.items():
+            if k == id_field:
+                continue
+            kind = type(v)
+            if kind is dict or kind is list:
+                self.inner((k,), [v], True, out)
+            else:
+                at = self.tops.get(k) or self.path((k,))
+                out.append((at[0], at[1], _BITS[kind], self.text(v) if kind is str else None if v is None else _hash(_canonical(v))))
+        return out
+
 
 _PARSED = "fid bigint, rid bigint, at array<bigint>, val array<bigint>, path string, types array<string>"
 
@@ -260,44 +299,38 @@ _PARSED = "fid bigint, rid bigint, at array<bigint>, val array<bigint>, path str
 def _parse(id_field: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each record with an id (fid, rid, at, val), and for each batch one for each field of a file (fid, path, types)."""
-        walk = _Walk(id_field)
+        walk = _Walk()
         for b in batches:
             fids, rids, sizes, at, val = [], [], [], [], []
-            seen: dict[tuple[int, str], set[str]] = {}
+            seen: dict[int, dict[str, int]] = {}
             for fid, payload in zip(b.column("fid").to_pylist(), b.column("payload").to_pylist(), strict=True):
                 r = record_of(payload)
                 if r is None:
                     continue
                 try:
-                    found = list(walk.fields(r))
+                    found = walk.fields(r, id_field)
                 except RecursionError:
                     continue
+                known = seen.setdefault(fid, {})
+                for text, _, bits, _ in found:
+                    known[text] = known.get(text, 0) | bits
                 rid = r.get(id_field)
-                n = 0
-                for path, types, h in found:
-                    text, code = walk.path(path)
-                    known = seen.get((fid, text))
-                    if known is None:
-                        seen[(fid, text)] = types
-                    else:
-                        known |= types
-                    if h is not None and rid is not None:
-                        at.append(code)
-                        val.append(h)
-                        n += 1
                 if rid is not None:
+                    there = [(code, h) for _, code, _, h in found if h is not None]
+                    at += [code for code, _ in there]
+                    val += [h for _, h in there]
+                    sizes.append(len(there))
                     fids.append(fid)
-                    rids.append(_hash(_canonical(rid)))
-                    sizes.append(n)
+                    rids.append(walk.text(rid) if type(rid) is str else _hash(_canonical(rid)))
             signed = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
             offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
-            none, m, k = pa.nulls, len(fids), len(seen)
+            of_file = [(fid, path, bits) for fid, paths in seen.items() for path, bits in paths.items()]
+            none, m, k = pa.nulls, len(fids), len(of_file)
             listed = pa.list_(pa.int64())
-            types = [sorted(x) for x in seen.values()]
             rows = [
-                pa.concat_arrays([pa.array(fids, pa.int64()), pa.array([f for f, _ in seen], pa.int64())]), pa.concat_arrays([signed(rids), none(k, pa.int64())]),
+                pa.concat_arrays([pa.array(fids, pa.int64()), pa.array([x[0] for x in of_file], pa.int64())]), pa.concat_arrays([signed(rids), none(k, pa.int64())]),
                 pa.concat_arrays([pa.ListArray.from_arrays(offsets, signed(at)), none(k, listed)]), pa.concat_arrays([pa.ListArray.from_arrays(offsets, signed(val)), none(k, listed)]),
-                pa.concat_arrays([none(m, pa.string()), pa.array([p for _, p in seen], pa.string())]), pa.concat_arrays([none(m, pa.list_(pa.string())), pa.array(types, pa.list_(pa.string()))]),
+                pa.concat_arrays([none(m, pa.string()), pa.array([x[1] for x in of_file], pa.string())]), pa.concat_arrays([none(m, pa.list_(pa.string())), pa.array([_NAMES[x[2]] for x in of_file], pa.list_(pa.string()))]),
             ]
             yield pa.RecordBatch.from_arrays(rows, names=[x.split()[0] for x in _PARSED.split(", ")])
 
