@@ -48,6 +48,19 @@ STORE_LIBRARIES = {
     "typescript": ["typeorm", "prisma", "@prisma/client", "mongoose", "sequelize", "pg", "mysql2", "ioredis", "@aws-sdk/client-dynamodb", "aws-sdk"],
     "java": ["com.mongodb", "com.amazonaws.services.dynamodbv2", "software.amazon.awssdk.services.dynamodb", "org.postgresql", "org.jooq", "org.springframework.jdbc.core"],
 }
+# Owner of a driver: base class or type of a field that a class must have to count as using it, by library.
+OWNER_BASES = {"@prisma/client": "PrismaClient"}
+OWNER_FIELDS = {"@aws-sdk/client-dynamodb": "DynamoDBClient", "com.amazonaws.services.dynamodbv2": "AmazonDynamoDB", "software.amazon.awssdk.services.dynamodb": "DynamoDbClient"}
+# Annotations of classes that only wire others, libraries of HTTP clients and of queues.
+WIRING = ["Configuration"]
+HTTP_CLIENTS = {"python": ["requests", "httpx"], "java": ["org.springframework.web.client.RestTemplate", "org.springframework.web.reactive.function.client.WebClient", "okhttp3.OkHttpClient", "java.net.HttpURLConnection"], "typescript": ["axios", "node-fetch"]}
+QUEUE_LIBRARIES = {"typescript": ["@aws-sdk/client-sqs", "@aws-sdk/client-sns", "aws-sdk"]}
+# Controls in catalogue order (id, language, signal).
+CONTROLS = [
+    ("security-rbac-001", "java", "PreAuthorize"), ("security-rbac-002", "java", "validateHasReadPermission|validateHasPermission|validateHasCheckerPermission"), ("security-rbac-003", "java", "hasRole"),
+    ("security-auth-002", "java", "isAuthenticated"), ("security-auth-001", "python", "jwt.decode"), ("security-contract-http-bearer-001", "any", "http-bearer"), ("security-contract-http-basic-001", "any", "http-basic"),
+    ("security-contract-apikey-001", "any", "apiKey"), ("security-contract-oauth2-001", "any", "oauth2"),
+]
 # Node type of a unit kind.
 NODE_TYPES = {"service": "service", "database": "database", "topic": "network", "unresolved": "unresolved-endpoint"}
 FLOOR, HIGH, MEDIUM = 40, 70, 40
@@ -72,3 +85,8 @@ def with_trust(edges: DataFrame, spark: SparkSession) -> DataFrame:
     joined = edges.withColumn("scope", scope).join(F.broadcast(trust_table(spark)), ["mechanism", "scope"], "left")
     checked = F.when(F.col("confidence").isNull(), F.raise_error(F.concat(F.lit("no trust tier for "), F.col("mechanism"), F.lit("/"), F.col("scope"))).cast("int")).otherwise(F.col("confidence"))
     return joined.withColumn("confidence", checked)
+
+
+def controls(spark: SparkSession) -> DataFrame:
+    """(control_ord, control_id, control_language, control_signal)."""
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(CONTROLS)], "control_ord int, control_id string, control_language string, control_signal string")

@@ -44,19 +44,18 @@ def tier_counts(left: DataFrame, right: DataFrame, levels: list[tuple[str, list[
 def contained_name(rows: DataFrame, row_name: str, names: DataFrame, name: str, order: str, least: int = 3) -> DataFrame:
     """J-15: ``rows`` with the first of ``names`` that correlates: an equal name before one that holds the other or is held by it, in normal form, from ``least`` letters on.
 
-    ``names`` is a short list, which is checked: beyond 10,000 it is an error. The distinct normal forms of the rows meet it, not the rows.
+    A form that is held by another begins with ``least`` letters that stand in it somewhere, so forms meet by the letters that one begins with, in equi-joins of distinct forms, and what meets is then compared; any number of names will do.
     """
     n = names.select(F.col(name).alias("match"), normal_name(F.col(name)).alias("_n"), F.col(order).alias("_o")).where(F.length("_n") >= least)
-    few = n.limit(10_001).collect()
-    if len(few) > 10_000:
-        raise ValueError("contained_name needs a short list of names")
-    listed = F.array(*(F.struct(F.lit(r["match"]).alias("match"), F.lit(r["_n"]).alias("n"), F.lit(r["_o"]).alias("o")) for r in few))
-    forms = rows.select(normal_name(F.col(row_name)).alias("_f")).distinct()
-    if not few:
-        return rows.withColumn("match", F.lit(None).cast("string"))
-    fit = F.filter(listed, lambda x: (F.length("_f") >= least) & (F.contains(F.col("_f"), x["n"]) | F.contains(x["n"], F.col("_f"))))
-    best = F.array_min(F.transform(fit, lambda x: F.struct((x["n"] != F.col("_f")).alias("far"), x["o"].alias("o"), x["match"].alias("match"))))
-    return rows.withColumn("_f", normal_name(F.col(row_name))).join(forms.withColumn("match", best["match"]), "_f", "left").drop("_f")
+    n = n.groupBy("_n").agg(F.min(F.struct(F.col("_o"), F.col("match"))).alias("_b")).select("_n", "_b._o", "_b.match")
+    forms = rows.select(normal_name(F.col(row_name)).alias("_f")).where(F.length("_f") >= least).distinct()
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - least + 1), lambda i: F.substring(F.col(c), i, F.lit(least))))).alias("_g")
+    begins = lambda c: F.substring(F.col(c), F.lit(1), F.lit(least)).alias("_g")
+    holds = forms.select("_f", grams("_f")).join(n.select("*", begins("_n")), "_g").where(F.contains("_f", "_n"))
+    held = forms.select("_f", begins("_f")).join(n.select("*", grams("_n")), "_g").where(F.contains("_n", "_f"))
+    both = holds.unionByName(held).select("_f", F.struct((F.col("_n") != F.col("_f")).alias("far"), "_o", "match").alias("_b"))
+    best = both.groupBy("_f").agg(F.min("_b").alias("_b")).select("_f", "_b.match")
+    return rows.withColumn("_f", normal_name(F.col(row_name))).join(best, "_f", "left").drop("_f")
 
 
 def shared_secret_edges(mounts: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from gristmill.operators.evidence import exactly_one, first_wins
 
 
 def deployment_units(deployments: DataFrame, units: DataFrame) -> DataFrame:
-    """J-15: (name, unit_id): the service unit of each deployment, by equal or contained base name. ``units`` (unit_id, file, kind, unit_ord)."""
-    names = deployments.select("name").distinct().withColumn("o", F.xxhash64("name"))
+    """J-15: (name, unit_id): the service unit of each deployment, by equal or contained base name; of several deployments the first by name. ``units`` (unit_id, file, kind, unit_ord)."""
+    names = deployments.select("name", F.col("name").alias("o")).distinct()
     service = units.where("kind = 'service'").withColumn("base", stem(F.col("file")))
     hit = contained_name(service, "base", names.select(F.col("name").alias("m"), F.col("o")), "m", "o").where("match is not null")
     far = normal_name(F.col("base")) != normal_name(F.col("match"))
@@ -33,12 +33,12 @@ def placement_edges(deployments: DataFrame, matched: DataFrame) -> DataFrame:
 def env_edges(deployments: DataFrame, config_keys: DataFrame, matched: DataFrame) -> DataFrame:
     """J-18: (from_name, key, to_name, outcome) of configuration keys that name another deployment.
 
-    outcome is edge if both deployments have units, database if the target is a known engine, candidate if only the value's host is one, else unresolved. Nothing is guessed.
+    Of names that fit the first counts, an equal one before others. outcome is edge if both deployments have units, database if the target is a known engine, candidate if only the value's host is one, else unresolved. Nothing is guessed.
     """
     refs = deployments.select("name", F.explode("config_map_names").alias("config_map")).join(config_keys, "config_map").withColumn("service", env_service(F.col("key"))).where("service is not null")
-    d = deployments.select(F.col("name").alias("m"), F.xxhash64("name").alias("o"))
+    d = deployments.select(F.col("name").alias("m"), F.col("name").alias("o")).distinct()
     near = contained_name(refs, "service", d, "m", "o").withColumn("match", F.when(F.col("match") != F.col("name"), F.col("match")))
-    host = deployments.select(F.col("name").alias("host_match"), normal_name(F.col("name")).alias("_h")).dropDuplicates(["_h"])
+    host = deployments.groupBy(normal_name(F.col("name")).alias("_h")).agg(F.min("name").alias("host_match"))
     j = near.withColumn("_h", normal_name(F.col("host"))).join(host, "_h", "left")
     eng = deployments.groupBy(F.col("name").alias("match")).agg(F.min(F.coalesce(image_engine(F.col("image")), known_engine(F.col("container_name")))).alias("engine"))
     u = matched.select("name", F.lit(True).alias("has_from"))

@@ -113,3 +113,74 @@ def smoke_counts(lines: DataFrame) -> DataFrame:
     # What routes look like in the text of Python and TypeScript files.
     pattern = r"@app\.route\(|@router\.(?:get|post|put|patch|delete)\(|@Controller\(|@(?:Get|Post|Put|Patch|Delete)\("
     return lines.where(F.col("file").rlike(r"\.(?:py|ts)$")).groupBy("root").agg(F.sum(F.regexp_count("text", F.lit(pattern))).cast("bigint").alias("n_hits"))
+
+
+def suppress_route_lines(unmatched: DataFrame, routes: DataFrame) -> DataFrame:
+    """J-02: ``unmatched`` facts less the decorators of methods on a line where a native route begins, as the route explains them. ``routes`` (root, file, start_line)."""
+    lines = routes.select("root", "file", F.col("start_line").alias("line"), F.lit("method").alias("from_node_kind"), F.lit("decorator").alias("match_source")).distinct()
+    return unmatched.join(lines, ["root", "file", "line", "from_node_kind", "match_source"], "left_anti")
+
+
+def match_controls(facts: DataFrame, controls: DataFrame, signal: str = "reference_name", language: str = "language") -> DataFrame:
+    """F-04: ``facts`` with the control they are evidence of, null where none is: of the controls whose signal is found, the first of the fact's language, else the first of all.
+
+    A control's signal is a pattern of its own, put between word boundaries as a whole, so of a|b|c only a and c are bounded, on one side. ``controls`` (control_ord, control_id, control_language, control_signal) is a fixed catalogue;
+    the distinct (signal, language) meet it, not the facts.
+    """
+    keys = facts.select(F.col(signal).alias("_s"), F.col(language).alias("_l")).distinct()
+    hit = keys.join(F.broadcast(controls), F.expr("_s rlike concat('(?i)\\\\b', control_signal, '\\\\b')"))
+    other = ~F.coalesce(F.lower("_l") == F.lower("control_language"), F.lit(False))
+    best = hit.groupBy("_s", "_l").agg(F.min_by("control_id", F.struct(other, "control_ord")).alias("control_id"))
+    return facts.join(best, (facts[signal] == best["_s"]) & facts[language].eqNullSafe(best["_l"]), "left").drop("_s", "_l")
+
+
+# Fixed value: calls that may be a retry written by hand.
+RESILIENCE_CALLS = ["Thread.sleep"]
+
+
+def resilience_candidates(calls: DataFrame, vocabulary: list[str] | None = None) -> DataFrame:
+    """F-11: (root, ref, reason, detail): calls of the exact vocabulary are ignored items, never units; what they are for cannot be told from the call."""
+    ref = F.concat_ws(":", "file", "line")
+    detail = F.concat(F.lit('hand-rolled-resilience-candidate: calls "'), "reference_name", F.lit('" at '), ref)
+    return calls.where((F.col("match_source") == "call") & F.col("reference_name").isin(*(vocabulary or RESILIENCE_CALLS))).select("root", ref.alias("ref"), F.lit("INSUFFICIENT_EVIDENCE").alias("reason"), detail.alias("detail")).distinct()
+
+
+def with_exempt(kept: DataFrame, exempt: DataFrame) -> DataFrame:
+    """F-06: units above the floor together with those that need not reach it: units found by imports, and those that manifests or bindings introduce."""
+    return kept.unionByName(exempt, allowMissingColumns=True)
+
+
+def append_evidence(units: DataFrame, evidence: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """J-12: (evidence, rest): ``more`` evidence of units that exist goes to them, by id; their kind and confidence stay as they are. What has no unit is the rest."""
+    known = units.select("root", "unit_id").distinct()
+    return evidence.unionByName(more.join(known, ["root", "unit_id"], "left_semi"), allowMissingColumns=True), more.join(known, ["root", "unit_id"], "left_anti")
+
+
+def resilience_of(evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """F-13: (keys, has_retry, has_timeout) of the units with evidence of resilience: retries are decorators, timeouts come from configuration. ``evidence`` has category and source."""
+    r = evidence.where("category = 'resilience'")
+    return r.groupBy(*keys).agg(F.coalesce(F.bool_or(F.col("source") == "decorator"), F.lit(False)).alias("has_retry"), F.coalesce(F.bool_or(F.col("source").isin("spring-config", "structured-config")), F.lit(False)).alias("has_timeout"))
+
+
+# Decorators that give a class a path, and verbs of methods, alone or as GetMapping and the like.
+CLASS_PATHS = ["Controller", "Path", "RequestMapping"]
+VERB = r"^(?i:(get|post|put|patch|delete))(?:Mapping)?$"
+
+
+def compose_routes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """J-03: (routes, rest): every verb of a method composed with the method's own path and the nearest class path before it in the file; (root, file, line, ord, verb, route).
+
+    The method's path is the argument of its verb, else that of a Path on the same method. A verb without class path before it makes no route. ``facts`` are decorators (root, file, line, ord, from_node_kind, from_node_id, from_node_name, reference_name, argument); the rest are those
+    that no route consumed.
+    """
+    verb = F.upper(F.regexp_extract("reference_name", VERB, 1))
+    is_class, on_method = F.col("from_node_kind") == "class", F.col("from_node_kind") == "method"
+    seen = nearest_preceding(facts, ["root", "file"], ["line", "ord"], is_class & F.col("reference_name").isin(*CLASS_PATHS) & F.col("argument").isNotNull(), F.col("argument"), "base")
+    member = ["root", "file", "from_node_id", "from_node_name"]
+    own = facts.where(on_method & (F.col("reference_name") == "Path") & F.col("argument").isNotNull()).groupBy(*member).agg(F.min_by("argument", F.struct("line", "ord")).alias("_own"))
+    verbs = seen.where(on_method & (verb != "") & F.col("base").isNotNull()).withColumn("verb", verb).join(own, member, "left")
+    bare = lambda c: F.trim(c, F.lit("/"))
+    path = bare(F.coalesce("argument", "_own"))
+    route = F.concat(F.col("verb"), F.lit(" /"), F.concat_ws("/", F.nullif(bare(F.col("base")), F.lit("")), F.nullif(path, F.lit(""))))
+    routes = verbs.select("root", "file", "line", "ord", "verb", route.alias("route"))
+    return routes, facts.join(routes.select("root", "file", "line", "ord").distinct(), ["root", "file", "line", "ord"], "left_anti")

@@ -115,18 +115,91 @@ def reparent_members(edges: DataFrame, members: DataFrame) -> DataFrame:
     return j.select(F.when(keep, F.col("source")).otherwise(F.coalesce("_a", "source")).alias("source"), F.when(keep, F.col("target")).otherwise(F.coalesce("_b", "target")).alias("target"), *cols)
 
 
-def ancestors(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(edges: DataFrame) -> DataFrame:
     """S-16, S-25: (node, root, depth): the topmost parent of every node of ``edges`` (child, parent), by pointer doubling, for chains of any length.
 
-    A walk of as many steps as there are nodes with a parent, and of ``max_depth`` at least, that can still go on is in a cycle; such nodes come out with that depth or more and some node of the cycle.
+    A walk of as many steps as there are nodes with a parent that can still go on is in a cycle; such nodes come out with that depth or more and some node of the cycle.
     A node's hot parent makes no pairs: each node has one parent, the least if several are given.
     """
     one = edges.where("child is not null and parent is not null and child <> parent").groupBy("child").agg(F.min("parent").alias("parent"))
     now = checkpointed(one.select(F.col("child").alias("node"), F.col("parent").alias("top"), F.lit(1).alias("depth")))
-    limit = max(max_depth, now.count())
+    limit = now.count()
     while True:
         up = now.select(F.col("node").alias("top"), F.col("top").alias("_t"), F.col("depth").alias("_d"))
         step = checkpointed(now.join(up, "top", "left").select("node", F.coalesce("_t", "top").alias("top"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.col("_t").isNotNull().alias("moved")))
         if step.where(f"moved and depth < {limit}").isEmpty():
             return step.select("node", F.col("top").alias("root"), "depth")
         now = step.drop("moved")
+
+
+# ---------------------------------------------------------------- one graph over all roots
+
+
+def code_graph(facts: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S-07: (nodes, edges) over all roots at once: nodes (id, label, kind, root, file, line), edges (source, target, relation, root, file, line).
+
+    Nodes are files, the classes and methods in which facts stand, and imports; files contain classes and imports, classes contain methods, and what a fact names is referred to by name, by the relation of its kind. Edges that
+    contain have no line of their own. ``facts`` (root, file, line, match_source, reference_name, from_node_id, from_node_kind, from_node_name), ``imports`` (root, file, line, qualified).
+    """
+    file_id = F.concat(F.lit("file:"), "root", F.lit(":"), "file")
+    member = F.concat("from_node_id", F.lit("."), "from_node_name")
+    import_id = F.concat(F.lit("import:"), "root", F.lit(":"), "file", F.lit(":"), "qualified")
+    known = facts.where("from_node_id is not null and from_node_name is not null")
+    node = lambda df, i, label, kind: df.groupBy(i.alias("id"), "root", "file").agg(F.min(label).alias("label"), F.min("line").alias("line")).select("id", "label", F.lit(kind).alias("kind"), "root", "file", "line")
+    methods = known.where("from_node_kind = 'method'")
+    class_name = F.regexp_extract("from_node_id", "#([^#]*)$", 1)
+    files = facts.select("root", "file").unionByName(imports.select("root", "file")).distinct().withColumn("line", F.lit(1))
+    nodes = node(files, file_id, F.col("file"), "file").unionByName(node(known, F.col("from_node_id"), class_name, "class")).unionByName(node(methods, member, F.col("from_node_name"), "method")).unionByName(node(imports, import_id, F.col("qualified"), "import"))
+    edge = lambda df, a, b, relation, line=None: df.select(a.alias("source"), b.alias("target"), relation.alias("relation"), "root", "file", (F.lit(None).cast("int") if line is None else F.col(line).cast("int")).alias("line")).distinct()
+    holds = F.lit("contains")
+    relation = F.when(F.col("match_source") == "call", "calls").when(F.col("match_source") == "extends", "extends").otherwise("references")
+    edges = edge(known, file_id, F.col("from_node_id"), holds).unionByName(edge(methods, F.col("from_node_id"), member, holds)).unionByName(edge(imports, file_id, import_id, holds))
+    return nodes, edges.unionByName(edge(known, F.when(F.col("from_node_kind") == "method", member).otherwise(F.col("from_node_id")), F.col("reference_name"), relation, "line"))
+
+
+def normalize_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """S-08: containing an import is importing its bare name, containing a method is having it, all else stays; an edge without line has that of the import it names, else that of its source."""
+    n = nodes.groupBy("id").agg(F.min(F.struct("kind", "label", "line")).alias("n"))
+    j = edges.join(n.select(F.col("id").alias("target"), F.col("n").alias("_t")), "target", "left").join(n.select(F.col("id").alias("source"), F.col("n").alias("_s")), "source", "left")
+    inside = F.col("relation") == "contains"
+    imported = inside & F.col("_t.kind").eqNullSafe("import")
+    relation = F.when(imported, "imports").when(inside & F.col("_t.kind").eqNullSafe("method"), "method").otherwise(F.col("relation"))
+    line = F.coalesce("line", F.when(imported, F.col("_t.line")), F.col("_s.line"))
+    return j.select("source", F.when(imported, F.col("_t.label")).otherwise(F.col("target")).alias("target"), relation.alias("relation"), "root", "file", line.cast("int").alias("line"))
+
+
+def di_resolution(fields: DataFrame, stereotypes: DataFrame, beans: DataFrame) -> DataFrame:
+    """J-25: (root, owner, field, interface, impl, mechanism): what is injected into the final fields of an interface's type.
+
+    ``stereotypes`` (root, interface, impl) are implementers with a stereotype, ``beans`` what factory methods return; each counts only where it is the only one for its interface (J-07), and both may hold. ``fields`` (root, owner, field, interface, is_final).
+    """
+    out = None
+    for name, found in (("stereotype", stereotypes), ("bean-factory", beans)):
+        one = found.groupBy("root", "interface").agg(F.count_distinct("impl").alias("_n"), F.min("impl").alias("impl")).where("_n = 1").drop("_n")
+        part = fields.where("is_final").join(one, ["root", "interface"]).select("root", "owner", "field", "interface", "impl", F.lit(name).alias("mechanism"))
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def named_bindings(fields: DataFrame, named: DataFrame) -> DataFrame:
+    """J-26: (root, owner, field, interface, impl, mechanism, qualifier) of injected fields and named implementers: the only implementer of a plain field, all of a collection, and those with a qualifier of a map.
+
+    ``fields`` (root, owner, field, interface, shape), shape one of plain, map, collection; ``named`` (root, interface, impl, qualifier), an empty qualifier where there is none.
+    """
+    n = named.distinct()
+    single = n.groupBy("root", "interface").agg(F.count_distinct("impl").alias("_n"), F.min(F.struct("impl", "qualifier")).alias("_m")).where("_n = 1").select("root", "interface", "_m.impl", "_m.qualifier")
+    cols = ["root", "owner", "field", "interface", "impl", "mechanism", "qualifier"]
+    parts = [
+        fields.where("shape = 'plain'").join(single, ["root", "interface"]).withColumn("mechanism", F.lit("single-implementer")),
+        fields.where("shape = 'map'").join(n.where("qualifier <> ''"), ["root", "interface"]).withColumn("mechanism", F.lit("map-role-hint")),
+        fields.where("shape = 'collection'").join(n, ["root", "interface"]).withColumn("mechanism", F.lit("collection-multibind")),
+    ]
+    return parts[0].select(cols).unionByName(parts[1].select(cols)).unionByName(parts[2].select(cols)).distinct()
+
+
+def entity_tables(decorators: DataFrame) -> DataFrame:
+    """J-26: (root, file, class, table) of entities with a table's name written out; ``decorators`` (root, file, from_node_id, from_node_kind, from_node_name, reference_name, argument)."""
+    own = decorators.where("from_node_kind = 'class'")
+    name = F.regexp_replace("argument", "^[^\"']*[\"']|[\"'].*$", "")
+    tables = own.where("reference_name = 'Table' and argument is not null and argument <> ''").select("root", "file", "from_node_id", F.col("from_node_name").alias("class"), name.alias("table"))
+    return tables.join(own.where("reference_name = 'Entity'").select("from_node_id").distinct(), "from_node_id", "left_semi").select("root", "file", "class", "table").distinct()

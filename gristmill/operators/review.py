@@ -27,13 +27,20 @@ def infer_protocol(rel: DataFrame, evidence: DataFrame, rule_protocol: Column) -
     return j.withColumn("protocol", F.coalesce(rule_protocol, "_t", "_f")).drop("_t", "_f")
 
 
-def import_units(imports: DataFrame, classes: DataFrame, taken: DataFrame, kind: str) -> DataFrame:
-    """J-10: units (root, file, name, start_line, end_line, kind, confidence) for the classes of files that import a library of ``kind``, unless the file is ``taken`` by a unit already.
+def import_units(imports: DataFrame, classes: DataFrame, taken: DataFrame, kind: str, wired: DataFrame | None = None, owners: DataFrame | None = None, owned: list[str] | None = None) -> DataFrame:
+    """J-10: units (root, file, name, library, start_line, end_line, kind, confidence) for the classes of files that import a library of ``kind``, unless the file is ``taken`` by a unit already.
 
-    ``imports`` (root, file) with the library rule applied, ``classes`` (root, file, name, line, last_line). The confidence of an import is fixed at 20, and such units pass the floor (F-06).
+    ``imports`` (root, file, library), ``classes`` (root, file, name, line, last_line). ``wired`` (root, file, name) are classes that only wire others and make no unit. A library of ``owned`` counts only for classes of ``owners``
+    (root, file, name, library), which extend the base or have the field that using it takes. Of several libraries of a file the first by name is told. The confidence of an import is fixed at 20, and such units pass the floor (F-06).
     """
-    hit = imports.select("root", "file").distinct().join(taken.select("root", "file").distinct(), ["root", "file"], "left_anti")
-    return classes.join(hit, ["root", "file"], "left_semi").groupBy("root", "file", "name").agg(F.min("line").alias("start_line"), F.max(F.coalesce("last_line", "line")).alias("end_line")).withColumn("kind", F.lit(kind)).withColumn("confidence", F.lit(20))
+    hit = imports.groupBy("root", "file").agg(F.min("library").alias("library")).join(taken.select("root", "file").distinct(), ["root", "file"], "left_anti")
+    j = classes.join(hit, ["root", "file"])
+    if wired is not None:
+        j = j.join(wired.select("root", "file", "name").distinct(), ["root", "file", "name"], "left_anti")
+    if owned:
+        needs = F.col("library").isin(*owned)
+        j = j.where(~needs).unionByName(j.where(needs).join(owners.select("root", "file", "name", "library").distinct(), ["root", "file", "name", "library"], "left_semi").select(j.columns))
+    return j.groupBy("root", "file", "name", "library").agg(F.min("line").alias("start_line"), F.max(F.coalesce("last_line", "line")).alias("end_line")).withColumn("kind", F.lit(kind)).withColumn("confidence", F.lit(20))
 
 
 def outbound_http(imports: DataFrame, is_client: Column, is_test: Column) -> DataFrame:
@@ -101,11 +108,62 @@ def preview(merged: DataFrame, canonical: DataFrame, key: str) -> DataFrame:
 
 
 def leftovers(parts: list[DataFrame], claimed: DataFrame, ref: str) -> DataFrame:
-    """U-09, W-11: the union of ``parts`` less what is claimed, each reference once."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out.dropDuplicates([ref]).join(claimed.select(ref).distinct(), ref, "left_anti")
+    """U-09, W-11: the union of ``parts`` less what is claimed, each reference once, from the first part that has it."""
+    out = None
+    for i, p in enumerate(parts):
+        one = p.withColumn("_part", F.lit(i))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    rest = [c for c in out.columns if c not in (ref, "_part")]
+    once = out.groupBy(ref).agg(F.min(F.struct("_part", *rest)).alias("_r"))
+    return once.select(ref, *(F.col("_r")[c].alias(c) for c in rest)).join(claimed.select(ref).distinct(), ref, "left_anti")
+
+
+def residuals_by_trigger(residuals: DataFrame, decisions: DataFrame) -> DataFrame:
+    """A-17: (trigger, tier, total, decided): residuals by what raised them, and how many have an active decision. ``residuals`` (id, trigger, tier), ``decisions`` (residual_id, status)."""
+    done = decisions.where("status = 'active' and residual_id <> ''").select(F.col("residual_id").alias("id"), F.lit(True).alias("_d")).distinct()
+    j = residuals.join(done, "id", "left").groupBy(F.coalesce("trigger", F.lit("<no trigger>")).alias("trigger"))
+    return j.agg(F.min("tier").alias("tier"), F.count("*").alias("total"), F.count_if(F.coalesce("_d", F.lit(False))).alias("decided"))
+
+
+def notebook_counts(nodes: DataFrame, relationships: DataFrame, residuals: DataFrame) -> DataFrame:
+    """A-20: (section, key, n): nodes by type, relationships by grade, and residuals carried forward or open. What has no type or grade is unknown."""
+    count = lambda df, section, key: df.groupBy(F.lit(section).alias("section"), key.alias("key")).agg(F.count("*").alias("n"))
+    unknown = F.lit("unknown")
+    state = F.when(F.col("status") == "carried_forward", "carried").otherwise("open")
+    return count(nodes, "nodes", F.coalesce("node_type", unknown)).unionByName(count(relationships, "relationships", F.coalesce("grade", unknown))).unionByName(count(residuals, "residuals", state))
+
+
+def scoreboard(scores: DataFrame) -> DataFrame:
+    """A-21: one line for each package, by name in binary order; what was not scored is a dash. ``scores`` (package, tier, pass, node_precision, node_recall, interface_recall, relation_recall, violations)."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    line = F.concat_ws(" | ", "package", told("tier"), told("pass"), F.concat_ws("/", told("node_precision"), told("node_recall")), told("interface_recall"), told("relation_recall"), F.coalesce(F.col("violations"), F.lit(0)).cast("string"))
+    return scores.select("package", line.alias("line")).orderBy("package")
+
+
+def session_cards(residuals: DataFrame, options: DataFrame) -> DataFrame:
+    """K-07: (id, card): for each residual the text of its card: what it is about and its first ten options (W-10); one that is carried forward has a note and no options.
+
+    ``residuals`` (id, tier, class, rationale, status), ``options`` (id, option_ord, label).
+    """
+    top = top_options(options, ["id"], ["option_ord"])
+    texts = top.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(". ", F.col("rank").cast("string"), "label").alias("t")))), lambda x: x["t"]), "\n").alias("_o"), F.max("overflow").alias("_more"))
+    more = F.when(F.col("_more") > 0, F.concat(F.lit("\n(+"), F.col("_more").cast("string"), F.lit(" more)"))).otherwise("")
+    asked = F.concat(F.lit("### "), "id", F.lit(" ("), "tier", F.lit(", "), "class", F.lit(")\n\n"), "rationale", F.lit("\n\n"), F.coalesce(F.concat(F.col("_o"), more), F.lit("none of these")))
+    carried = F.concat(F.lit("### "), "id", F.lit(" (carried forward)\n\n"), "rationale")
+    return residuals.join(texts, "id", "left").select("id", F.when(F.col("status") == "carried_forward", carried).otherwise(asked).alias("card"))
+
+
+def apply_report(log: DataFrame, by_trigger: DataFrame) -> DataFrame:
+    """K-07: (line_ord, line): the report of an application: overrides by outcome, then decided residuals by trigger. ``log`` (override_id, outcome), ``by_trigger`` as ``residuals_by_trigger`` gives it."""
+    outcomes = log.groupBy("outcome").agg(F.count("*").alias("n")).select(F.concat(F.lit("1"), "outcome").alias("line_ord"), F.format_string("- %s: %d", "outcome", "n").alias("line"))
+    done = by_trigger.select(F.concat(F.lit("2"), "trigger").alias("line_ord"), F.format_string("  - [%s] %s: %d/%d", "tier", "trigger", "decided", "total").alias("line"))
+    return outcomes.unionByName(done)
+
+
+def control_map(controls: DataFrame, files: DataFrame) -> DataFrame:
+    """K-08: (url, path): where each control's requirement lies; a control without a file is an error, since a document that names it could not be checked. ``controls`` (control_id, url), ``files`` (control_id, path)."""
+    j = controls.join(files.groupBy("control_id").agg(F.min("path").alias("path")), "control_id", "left")
+    return j.select("url", F.coalesce("path", F.raise_error(F.concat(F.lit("no requirement file for control "), "control_id")).cast("string")).alias("path")).distinct()
 
 
 def missing_topology(gold: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

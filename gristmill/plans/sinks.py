@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +25,22 @@ def architecture_json(nodes: DataFrame, relationships: DataFrame, by: str = "roo
     return n.join(r, by, "left").select(by, F.to_json(F.struct("nodes", "relationships")).alias("doc"))
 
 
-def write_report(df: DataFrame, path: str, most: int = 1000) -> int:
-    """K-02, K-04: a report of bounded size as one JSON file, with the number of rows it leaves out."""
-    rows = [json.loads(x) for x in df.limit(most + 1).toJSON().collect()]
-    left_out = df.count() - most if len(rows) > most else 0
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as f:
-        json.dump({"rows": rows[:most], "left_out": left_out}, f, ensure_ascii=False, indent=1)
-    return left_out
+def write_report(df: DataFrame, path: str) -> None:
+    """K-02: a report with all its rows, as JSON lines in a folder, written by the executors."""
+    df.write.mode("overwrite").json(path)
+
+
+def module_report(findings: DataFrame, module: str, fitness: dict[str, str]) -> DataFrame:
+    """K-04: (module, fitness, finding): a module's findings, each as JSON, with what the module declares about how well it was tried."""
+    declared = F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in sorted(fitness.items()))))
+    return findings.select(F.lit(module).alias("module"), declared.alias("fitness"), F.to_json(F.struct(*findings.columns)).alias("finding"))
+
+
+def write_run(path: str, units: DataFrame, relationships: DataFrame, ignored: DataFrame, provenance: dict[str, str]) -> None:
+    """K-01: facts, ignored items and the provenance document of a run: contract version, roots, time and whatever else ``provenance`` says."""
+    write_facts({"units": units, "relationships": relationships, "ignored_items": ignored}, path)
+    spark = units.sparkSession
+    spark.createDataFrame([(json.dumps({"contractVersion": CONTRACT_VERSION} | provenance, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/provenance")
 
 
 def notebook(title: str, sections: dict[str, DataFrame], most: int = 50) -> str:

@@ -13,7 +13,7 @@ from gristmill.functions.text import value_host
 
 try:
     import yaml
-except ImportError:  # the reader of YAML is optional; JSON works without
+except ImportError:  # the reader of YAML is optional; without it each such file comes out with an error
     yaml = None
 
 # File names of interface documents, and the verbs of their operations.
@@ -49,6 +49,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for root, file, text in zip(*(b.column(c).to_pylist() for c in ("root", "file", "text")), strict=True):
             try:
+                if yaml is None and not (file or "").endswith(".json"):
+                    raise RuntimeError("PyYAML is not installed, so this file was not read")
                 docs = [json.loads(text)] if (file or "").endswith(".json") else list(yaml.load_all(text, Loader=loader))
                 out += [(root, file, i, json.dumps(d, ensure_ascii=False), None) for i, d in enumerate(docs) if d is not None]
             except Exception as e:  # one bad file must not end the run; it comes out with its error
@@ -60,8 +62,6 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def documents(files: DataFrame) -> DataFrame:
     """(root, file, doc_ord, doc, error): every document of YAML and JSON ``files`` (root, file, text) as JSON text; a file that does not parse gives one row with its error."""
     some = files.where(F.col("text").isNotNull() & F.col("file").rlike(r"\.(?:ya?ml|json)$")).select("root", "file", "text")
-    if yaml is None:
-        some = some.where(F.col("file").endswith(".json"))
     return some.mapInArrow(_parse, "root string, file string, doc_ord int, doc string, error string")
 
 

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import import_target
+
 # Languages by ending, folders that are never read, files that say that a root can be deployed.
 LANGUAGES = {"py": "python", "ts": "typescript", "java": "java", "yaml": "yaml", "yml": "yaml", "json": "json", "properties": "properties", "sh": "shell", "env": "dotenv", "xml": "xml"}
 SKIPPED = ["node_modules", "dist", "build", "target"]
@@ -110,27 +112,88 @@ def package_of(lines: DataFrame) -> DataFrame:
     return lines.select("root", "file", "line", p.alias("p")).where("p <> ''").groupBy("root", "file").agg(F.min_by("p", "line").alias("package"))
 
 
-def bare_name_collisions(edges: DataFrame, imports: DataFrame, packages: DataFrame) -> DataFrame:
-    """J-09: ``edges`` (root, file, bare, target_file) whose explicit import names another package than that of the target; what is not known rejects nothing."""
+def bare_name_collisions(edges: DataFrame, imports: DataFrame, packages: DataFrame, mentions: DataFrame) -> DataFrame:
+    """J-09: ``edges`` (root, file, bare, target_file) of Java files that are no relationship, as they only share a bare name.
+
+    Either the file imports the name from another package than that of the target, or it imports it from nowhere, says the name literally (``mentions``: root, file, bare) and its own package is another. What is not known rejects nothing.
+    """
     imp = imports.groupBy("root", "file", "bare").agg(F.min("qualified").alias("_q"))
-    own = packages.select("root", F.col("file").alias("target_file"), F.col("package").alias("_p"))
-    j = edges.join(imp, ["root", "file", "bare"], "left").join(own, ["root", "target_file"], "left")
-    clash = (F.col("_q") != F.concat_ws(".", "_p", "bare")) & F.col("_q").isNotNull() & F.col("_p").isNotNull()
-    return j.where(clash).select(edges.columns)
+    own = packages.select("root", "file", F.col("package").alias("_own"))
+    there = packages.select("root", F.col("file").alias("target_file"), F.col("package").alias("_p"))
+    said = mentions.select("root", "file", "bare", F.lit(True).alias("_said")).distinct()
+    j = edges.join(imp, ["root", "file", "bare"], "left").join(own, ["root", "file"], "left").join(there, ["root", "target_file"], "left").join(said, ["root", "file", "bare"], "left")
+    q, p = F.col("_q"), F.col("_p")
+    clash = F.when(q.isNotNull(), q != F.concat_ws(".", "_p", "bare")).otherwise(F.col("_said") & (F.col("_own") != p))
+    return j.where(F.col("file").endswith(".java") & p.isNotNull() & F.coalesce(clash, F.lit(False))).select(edges.columns)
+
+
+def annotated_classes(lines: DataFrame, annotation: str, reach: int = 10) -> DataFrame:
+    """S-23: (root, file, line, name) of the classes above which an annotation stands, over blank lines, comments and other annotations and at most ``reach`` lines away."""
+    one = lines.select("root", "file", "line", F.trim(F.coalesce("text", F.lit(""))).alias("text")).distinct()
+    starts = one.where(F.col("text").rlike(r"\b(?:class|interface)\s+\w+")).select("root", "file", F.col("line").alias("start"), F.regexp_extract("text", r"\b(?:class|interface)\s+(\w+)", 1).alias("name")).distinct()
+    want = starts.select("*", F.explode(F.sequence(F.col("start") - reach, F.col("start") - 1)).alias("line"))
+    hit = F.col("text").rlike(rf"^@{annotation}\b")
+    skip = (F.col("text") == "") | F.col("text").rlike(r"^(?:@|//|\*|/\*|\#)")
+    j = want.join(one, ["root", "file", "line"]).groupBy("root", "file", "start", "name").agg(F.max(F.when(hit, F.col("line"))).alias("at"), F.max(F.when(~skip, F.col("line"))).alias("stop"))
+    return j.where(F.col("at") > F.coalesce("stop", F.lit(-1))).select("root", "file", F.col("start").alias("line"), "name")
+
+
+def indexed_files(files: DataFrame, endings: list[str] | None = None) -> DataFrame:
+    """S-01: (root, file, ext) of the files whose ending is one of source code."""
+    return files.where(F.col("ext").isin(*(endings or ["py", "ts", "java"]))).select("root", "file", "ext").distinct()
+
+
+def common_folders(files: DataFrame) -> DataFrame:
+    """S-09: (root, folder): the longest folder that all files of a root share. It is what the first and the last path have in common, so two paths of a root are all that is looked at."""
+    steps = lambda c: F.slice(F.split(c, "/"), F.lit(1), F.size(F.split(c, "/")) - 1)
+    ends = files.groupBy("root").agg(F.min(steps(F.col("file"))).alias("a"), F.max(steps(F.col("file"))).alias("b"))
+    least = F.least(F.size("a"), F.size("b"))
+    same = F.filter(F.sequence(F.lit(0), least), lambda n: F.slice("a", F.lit(1), n) == F.slice("b", F.lit(1), n))
+    return ends.select("root", F.array_join(F.slice("a", F.lit(1), F.array_max(same)), "/").alias("folder"))
+
+
+def _above(path: str) -> Column:
+    """A path and all folders above it."""
+    steps = F.split(F.col(path), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
+
+
+def excluded_folders(folders: DataFrame, roots: DataFrame) -> DataFrame:
+    """S-10: ``folders`` (folder) that are neither above nor below any of ``roots`` (path), and so need not be read; by equi-joins on the folders above each."""
+    above = roots.select(F.explode(_above("path")).alias("folder")).distinct()
+    below = folders.select("folder", F.explode(_above("folder")).alias("path")).join(roots.select("path").distinct(), "path", "left_semi").select("folder").distinct()
+    return folders.select("folder").distinct().join(above, "folder", "left_anti").join(below, "folder", "left_anti")
+
+
+def place_files(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """S-11: (path, root, file): each path under the first root, by ``root_ord``, that holds it; a path in none is left out. ``roots`` (path, root_ord) may be any number."""
+    up = paths.select("path", F.explode(_above("path")).alias("folder")).where("folder <> path")
+    hit = up.join(roots.select(F.col("path").alias("folder"), "root_ord"), "folder").groupBy("path").agg(F.min_by("folder", "root_ord").alias("root"))
+    return hit.select("path", "root", F.expr("substring(path, length(root) + 2)").alias("file"))
 
 
 def library_imports(imports: DataFrame, libraries: dict[str, list[str]], language: Column) -> DataFrame:
-    """F-19: ``imports`` (file, target) of a known library of their language, or of a package under it; package.json is no source of imports."""
-    hit = F.lit(False)
+    """F-19: ``imports`` (file, target) of a known library of their language, or of a package under it, with ``library``; in its plain or its ref_ form. package.json is no source of imports. The catalogue is fixed."""
+    library = F.lit(None).cast("string")
     for lang, names in libraries.items():
         for n in names:
-            hit = hit | ((language == lang) & ((F.col("target") == n) | F.startswith(F.col("target"), F.lit(n + ("." if lang == "java" else "/")))))
-    return imports.where(F.coalesce(hit, F.lit(False)) & ~F.col("file").rlike(r"(?:^|/)package\.json$"))
+            hit = (F.col("target") == n) | F.startswith(F.col("target"), F.lit(n + ("." if lang == "java" else "/"))) | (F.col("target") == import_target(F.lit(n)))
+            library = F.when((language == lang) & hit & library.isNull(), n).otherwise(library)
+    return imports.withColumn("library", library).where(F.col("library").isNotNull() & ~F.col("file").rlike(r"(?:^|/)package\.json$"))
+
+
+def bindings_of(lines: DataFrame, columns: list[str], text: str = "value") -> tuple[DataFrame, DataFrame]:
+    """S-20: (rows, rejected lines) of lines of CSV without header: a line with another number of cells, or whose first cell is empty, is rejected and comes out as it is."""
+    schema = ", ".join(f"`{c}` string" for c in columns) + ", _bad string"
+    parsed = lines.where(F.trim(F.col(text)) != "").withColumn("_c", F.from_csv(F.col(text), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "escape": '"'}))
+    bad = F.col("_c._bad").isNotNull() | F.col(f"_c.`{columns[0]}`").isNull()
+    return parsed.where(~bad).select("_c.*").drop("_bad"), parsed.where(bad).select(F.col(text).alias("line"))
 
 
-def read_bindings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """S-20: rows of a CSV with a header; rows with another number of cells are dropped."""
-    return spark.read.csv(path, schema=", ".join(f"`{c}` string" for c in columns), header=True, escape='"', mode="DROPMALFORMED", enforceSchema=True)
+def read_bindings(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """S-20: (rows, rejected lines) of CSV files with a header, which is known by its first cell."""
+    lines = spark.read.text(path)
+    return bindings_of(lines.where(~F.col("value").rlike(rf'^"?{columns[0]}"?(?:,|$)')), columns)
 
 
 def native_routes(lines: DataFrame) -> DataFrame:

@@ -81,6 +81,9 @@ def test_correlation(spark):
     names = df(spark, "name string, o int", ("ledger", 1), ("ledger-writer", 2), ("user_service", 3))
     got = {r.id: r.match for r in correlate.contained_name(rows, "n", names, "name", "o").collect()}
     assert got == {1: "ledger-writer", 2: "user_service", 3: None, 4: None}
+    many = spark.range(20_000).selectExpr("concat('name', id) as name", "id as o")
+    hit = correlate.contained_name(df(spark, "id int, n string", (1, "x-name19999-y"), (2, "nam")), "n", many, "name", "o").collect()
+    assert {r.id: r.match for r in hit} == {1: "name1", 2: "name0"}
     m = df(spark, "secret string, member string, is_issuer boolean", ("s", "a", True), ("s", "b", False), ("s", "c", False), ("t", "a", True), ("t", "b", True), ("u", "a", True))
     same_rows(correlate.shared_secret_edges(m).collect(), [("s", "a", "b"), ("s", "a", "c")])
     claims, obs = df(spark, "key int, claim string", (1, "a"), (2, "a"), (3, "a"), (4, "a")), df(spark, "key int, value string", (1, "a"), (1, "b"), (2, "b"), (3, "b"), (3, "c"))
@@ -96,7 +99,8 @@ def test_merge_with_itself_and_history(spark, tmp_path):
     m = runs.incremental_merge(x, y)
     same_rows(m.collect(), [("a", "flagged", "reviewed", "requires-review"), ("b", "unaffected", None, "inferred"), ("c", "disappeared", "observed", "disappeared"), ("n", "new", "new", "observed")])
     path = str(tmp_path / "h")
-    assert runs.append_history(runs.history(m, F.lit("t")), path) and not runs.append_history(runs.history(runs.incremental_merge(x, x), F.lit("t")), path)
+    for _ in range(2):
+        assert runs.append_history(runs.history(m, F.lit("t")), path, "1") and not runs.append_history(runs.history(runs.incremental_merge(x, x), F.lit("t")), path, "2")
     assert spark.read.parquet(path).count() == 3
 
 
@@ -141,19 +145,46 @@ def test_bindings_and_weak_units(spark):
 def test_overrides_on_a_document(spark):
     conn = lambda i, a, b: {"unique-id": i, "relationship-type": {"connects": {"source": {"node": a}, "destination": {"node": b}}}}
     node = lambda i: {"unique-id": i, "node-type": "service", "name": i, "description": "d"}
-    doc = {"nodes": [node("a"), node("b"), node("box")], "relationships": [conn("ab", "a", "b")]}
     rows = [
         ("node_add", "c", node("c")), ("node_add", "a", node("a")), ("relationship_add", "bc", conn("bc", "b", "c")), ("relationship_add", "bz", conn("bz", "b", "z")), ("node_rename", "b", "B"), ("type_change", "b", {"to": "x"}),
-        ("boundary_change", "b", {"container": "box"}), ("node_remove", "a", None), ("node_remove", "a", None), ("odd", "b", None), ("boundary_change", "c", {"container": "none"}),
+        ("boundary_change", "b", {"container": "box"}), ("node_remove", "a", None), ("node_remove", "a", None), ("odd", "b", None), ("boundary_change", "c", {"container": "none"}), ("relationship_add", "bc", conn("bc", "b", "c")),
+        ("relationship_remove", "ab", None), ("node_add", "a", {**node("a"), "name": "again"}), ("relationship_add", "ab", conn("ab", "b", "a")), ("boundary_change", "b", {"to": "box"}), ("node_add", "d", {"unique-id": "d", "name": "d"}), ("relationship_remove", "bz", None),
+        ("node_add", "e", node("e")), ("type_change", "e", "network"), ("node_remove", "e", None), ("node_add", "e", node("e")), ("boundary_change", "e", {"container": None}), ("node_add", "box2", node("box2")), ("boundary_change", "e", {"container": "box2"}), ("node_remove", "box2", None),
     ]
-    o = [("A", i, f"O{i}", t, ref, None if v is None else json.dumps(v), "active", "D") for i, (t, ref, v) in enumerate(rows)] + [("A", 90, "O90", "node_remove", "b", None, "retired", "D"), ("A", 91, "O91", "node_remove", "b", None, "active", "gone")]
-    got = documents.apply_overrides(df(spark, "arch_id string, doc string", ("A", json.dumps(doc)), ("B", json.dumps(doc))), df(spark, "arch_id string, ord int, override_id string, override_type string, target_ref string, new_value string, status string, decision_record_ref string", *o), df(spark, "decision_id string, status string", ("D", "active"))).collect()
-    by = {r.arch_id: r for r in got}
-    out = json.loads(by["A"].doc)
-    assert {n["unique-id"]: n["name"] for n in out["nodes"]} == {"b": "B", "box": "box", "c": "c"}
-    assert [r["unique-id"] for r in out["relationships"]] == ["bc", "box--composed-of--override"]
-    assert [x[1] for x in json.loads(by["A"].log)] == ["applied", "rejected", "applied", "orphan", "applied", "rejected", "applied", "applied", "orphan", "rejected", "orphan", "skipped", "rejected"]
-    assert json.loads(by["B"].doc) == doc and by["B"].log == "[]"
+    o = [("A", i, f"O{i:02d}", t, ref, None if v is None else json.dumps(v), "active", "D") for i, (t, ref, v) in enumerate(rows)] + [("A", 90, "O90", "node_remove", "b", None, "retired", "D"), ("A", 91, "O91", "node_remove", "b", None, "active", "gone")]
+    nodes = df(spark, "arch_id string, node_id string, node_type string, name string, container string", *[(d, n, "service", n, None) for d in "AB" for n in ("a", "b", "box")])
+    rels = df(spark, "arch_id string, rel_id string, from_id string, to_id string", ("A", "ab", "a", "b"), ("B", "ab", "a", "b"))
+    over = df(spark, "arch_id string, ord int, override_id string, override_type string, target_ref string, new_value string, status string, decision_record_ref string", *o)
+    n, r, log = documents.apply_overrides(nodes, rels, over, df(spark, "decision_id string, status string", ("D", "active"), ("D", "retired")))
+    got = {x.node_id: (x.node_type, x.name, x.container, x.n_overrides, x.provenance) for x in n.where("arch_id = 'A'").collect()}
+    assert got == {"a": ("service", "again", None, 1, "D"), "b": ("service", "B", "box", 2, "D"), "box": ("service", "box", None, 0, None), "c": ("service", "c", None, 1, "D"), "e": ("service", "e", None, 3, "D")}
+    same_rows(r.select("arch_id", "rel_id", "from_id", "to_id", "n_overrides").collect(), [("A", "bc", "b", "c", 1), ("A", "ab", "b", "a", 1), ("B", "ab", "a", "b", 0)])
+    fate = [x.outcome for x in sorted(log.collect(), key=lambda x: x.override_id)]
+    assert fate == [
+        "applied", "rejected", "applied", "orphan", "applied", "rejected", "applied", "applied", "orphan", "rejected", "orphan", "rejected", "orphan", "applied", "applied", "rejected", "rejected", "orphan",
+        "applied", "applied", "applied", "applied", "applied", "applied", "applied", "applied", "skipped", "rejected",
+    ]
+    assert n.where("arch_id = 'B'").count() == 3
+    empty = documents.apply_overrides(nodes, rels, over.where("false"), df(spark, "decision_id string, status string"))
+    assert (empty[0].count(), empty[1].count(), empty[2].count()) == (6, 2, 0)
+
+
+def test_greedy_matches_like_a_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [("p", f"g{rng.randrange(8)}", f"f{rng.randrange(8)}", rng.randrange(5) / 4) for _ in range(60)] + [("q", "g", f"f{i}", 0.5) for i in range(5)]
+    best = {}
+    for p, g, f, s in rows:
+        best[(p, g, f)] = max(s, best.get((p, g, f), s))
+    want, used = [], set()
+    for (p, g, f), _ in sorted(best.items(), key=lambda x: (x[0][0], -x[1], x[0][1], x[0][2])):
+        if not {(p, "g", g), (p, "f", f)} & used:
+            used |= {(p, "g", g), (p, "f", f)}
+            want.append((p, g, f))
+    pairs = df(spark, "package string, gold string, found string, score double", *rows)
+    same_rows(documents.greedy_match(pairs).collect(), want)
+    assert documents.greedy_match(pairs.where("false")).count() == 0
 
 
 def test_projection_and_sinks(spark, tmp_path):
@@ -169,7 +200,11 @@ def test_projection_and_sinks(spark, tmp_path):
     assert [n["unique-id"] for n in doc["nodes"]] == ["a", "b"] and doc["relationships"][0]["unique-id"] == "ab"
     sinks.write_facts({"units": u}, str(tmp_path / "facts"))
     assert spark.read.parquet(str(tmp_path / "facts/units")).count() == 3
-    assert sinks.write_report(u, str(tmp_path / "r.json"), most=2) == 1
+    sinks.write_report(u, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 3
+    sinks.write_run(str(tmp_path / "run"), u, rel, u.where("false"), {"roots": "r"})
+    assert json.loads(spark.read.text(str(tmp_path / "run/provenance")).first().value) == {"contractVersion": "17.0.0", "roots": "r"}
+    assert {r.fitness for r in sinks.module_report(u, "m", {"exact": "7/7"}).collect()} == {'{"exact":"7/7"}'}
     assert "(1 more)" in sinks.notebook("t", {"units": u}, most=2)
     pairs = df(spark, "package string, gold string, found string, score double", ("p", "g1", "f1", 0.9), ("p", "g1", "f2", 0.8), ("p", "g2", "f1", 0.7), ("p", "g2", "f2", 0.1))
     same_rows(documents.greedy_match(pairs).collect(), [("p", "g1", "f1"), ("p", "g2", "f2")])
@@ -178,10 +213,36 @@ def test_projection_and_sinks(spark, tmp_path):
 
 def test_stream_of_runs(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
-    s = "id string, status string, evidence string"
-    df(spark, s, ("a", "reviewed", "1"), ("b", "observed", "1")).coalesce(1).write.mode("append").parquet(src)
-    merge_stream(spark, src, out).awaitTermination()
-    df(spark, s, ("a", "observed", "2"), ("c", "observed", "1")).coalesce(1).write.mode("append").parquet(src)
-    merge_stream(spark, src, out).awaitTermination()
-    same_rows(spark.read.parquet(f"{out}/state/1").select("id", "status").collect(), [("a", "requires-review"), ("c", "observed")])
-    assert spark.read.option("recursiveFileLookup", True).parquet(f"{out}/history").count() == 5
+    s = "run_id string, run_no bigint, n_facts bigint, id string, status string, evidence string"
+    put = lambda *rows: df(spark, s, *rows).coalesce(1).write.mode("append").parquet(src)
+    go = lambda: merge_stream(spark, src, out).awaitTermination()
+    put(("x", 0, 3, "a", "reviewed", "1"))
+    put(("x", 0, 3, "b", "observed", "1"), ("y", 1, 2, "a", "observed", "2"))
+    go()
+    assert not (tmp_path / "out/state").exists()  # a run that is not whole changes nothing
+    put(("x", 0, 3, "d", "observed", "1"), ("x", 0, 3, "b", "observed", "1"))
+    go()
+    same_rows(spark.read.parquet(f"{out}/state/run=0").select("id", "status").collect(), [("a", "reviewed"), ("b", "observed"), ("d", "observed")])
+    put(("z", 2, 1, "c", "observed", "1"))
+    go()
+    put(("y", 1, 2, "c", "observed", "1"))
+    go()
+    same_rows(spark.read.parquet(f"{out}/state/run=1").select("id", "status").collect(), [("a", "requires-review"), ("c", "observed")])
+    same_rows(spark.read.parquet(f"{out}/state/run=2").select("id", "status").collect(), [("c", "observed")])
+    n = lambda: spark.read.parquet(f"{out}/history").groupBy("run").count().collect()
+    before = n()
+    same_rows(before, [(0, 3), (1, 4), (2, 1)])
+
+
+def test_a_batch_that_comes_twice_changes_nothing(spark, tmp_path):
+    from gristmill.streaming.merge import FACTS, merge_batch
+
+    out = str(tmp_path / "out")
+    facts = df(spark, FACTS, ("x", 0, 2, "a", "observed", "1"), ("x", 0, 2, "b", "observed", "1"), ("y", 1, 1, "a", "observed", "2"))
+    for _ in range(2):
+        merge_batch(facts, 0, out)
+        same_rows(spark.read.parquet(f"{out}/history").groupBy("run").count().collect(), [(0, 2), (1, 1)])
+        same_rows(spark.read.parquet(f"{out}/state/run=1").select("id").collect(), [("a",)])
+    (tmp_path / "out/state/run=1/_SUCCESS").unlink()  # as if the batch had failed while it wrote the last state
+    merge_batch(facts, 0, out)
+    same_rows(spark.read.parquet(f"{out}/history").groupBy("run").count().collect(), [(0, 2), (1, 1)])

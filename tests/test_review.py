@@ -27,7 +27,12 @@ def test_imports_and_clients(spark):
     hit = trees.library_imports(imp, libs, F.col("language"))
     same_rows([(r.file,) for r in hit.collect()], [("a",), ("b",)])
     cls = df(spark, "root string, file string, name string, line int, last_line int", ("r", "a", "A", 3, 9), ("r", "b", "B", 1, None), ("r", "c", "C", 1, 2))
-    same_rows(review.import_units(hit, cls, df(spark, "root string, file string", ("r", "b")), "database").collect(), [("r", "a", "A", 3, 9, "database", 20)])
+    same_rows(review.import_units(hit, cls, df(spark, "root string, file string", ("r", "b")), "database").collect(), [("r", "a", "A", "pymongo", 3, 9, "database", 20)])
+    wired = df(spark, "root string, file string, name string", ("r", "a", "A"))
+    assert review.import_units(hit, cls, df(spark, "root string, file string", ("r", "b")), "database", wired=wired).count() == 0
+    owners = df(spark, "root string, file string, name string, library string", ("r", "b", "B", "org.postgresql"))
+    got = review.import_units(hit, cls, df(spark, "root string, file string"), "database", owners=owners, owned=["pymongo", "org.postgresql"])
+    assert [r.name for r in got.collect()] == ["B"]
     same_rows(review.outbound_http(imp, F.col("target") == "requests", F.lit(False)).select("file", "reason").collect(), [("d", "CROSS_DOMAIN_UNRESOLVED")])
 
 
