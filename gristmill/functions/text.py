@@ -17,6 +17,15 @@ ENV_SUFFIXES = ["_API_ADDR", "_ADDR", "_URI", "_URL", "_HOST"]
 # Fixed value: a line that assigns something secret, as the evidence snippets redact it.
 SECRET_ASSIGNMENT = r"""(?i)((?:password|passwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|token|auth)\s*[:=]\s*)(['"]?)([^'",\s]+)(['"]?)"""
 
+# The five patterns of the review's redaction, with what stands in their place.
+FIVE_RULES = [
+    (r"(AKIA)[0-9A-Z]{16}", "$1***REDACTED***"),
+    (r"Bearer\s+[A-Za-z0-9\-_.]{20,}", "Bearer ***REDACTED***"),
+    (r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----***REDACTED***-----END PRIVATE KEY-----"),
+    (r"(://[^:/\s@]+:)([^@/\s]+)(@)", "$1***REDACTED***$3"),
+    (r"""(?i)\b(password|pwd|secret)\s*=\s*['"]?([^\s'";]+)""", "$1=***REDACTED***"),
+]
+
 
 def basename(path: Column) -> Column:
     """Last segment of a path."""
@@ -101,3 +110,10 @@ def redact_assignment(c: Column) -> Column:
 def relationship_id(kind: Column, source: Column, target: Column, mechanism: Column, engine: Column) -> Column:
     """An id made of what a relationship says: kind|from|to|mechanism, or the engine where there is no mechanism."""
     return F.concat_ws("|", kind, source, target, F.coalesce(mechanism, engine))
+
+
+def redact_five(c: Column) -> Column:
+    """The five rules of the review, one after the other: access keys, bearer tokens, private key blocks, passwords in addresses and assigned ones."""
+    for pattern, new in FIVE_RULES:
+        c = F.regexp_replace(c, pattern, new)
+    return c

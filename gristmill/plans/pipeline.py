@@ -65,11 +65,19 @@ def evidence_rollup(spark: SparkSession, d: str) -> DataFrame:
     return units(spark, d)
 
 
-@query(_MATCHED + """, x AS (SELECT reference_name, ord FROM m WHERE rule_id IS NULL), n AS (SELECT reference_name, count(*) AS n FROM x GROUP BY reference_name ORDER BY n DESC, reference_name LIMIT 100)
+_NATIVE = """SELECT DISTINCT root, file, CAST(line AS INTEGER) AS start_line, CASE WHEN lower(v) = 'route' THEN 'GET' ELSE upper(v) END || ' /' || regexp_replace(p, '^/', '') AS name FROM (
+SELECT *, CASE WHEN file LIKE '%.py' THEN regexp_extract(text, '^\\s*@(?:app|router|\\w+)\\.(get|post|put|patch|delete|route)\\(\\s*["'']([^"'']*)["'']', 1) ELSE regexp_extract(text, '^\\s*@(Get|Post|Put|Patch|Delete)(?:Mapping)?\\(\\s*["'']([^"'']*)["'']', 1) END AS v,
+CASE WHEN file LIKE '%.py' THEN regexp_extract(text, '^\\s*@(?:app|router|\\w+)\\.(get|post|put|patch|delete|route)\\(\\s*["'']([^"'']*)["'']', 2) ELSE regexp_extract(text, '^\\s*@(Get|Post|Put|Patch|Delete)(?:Mapping)?\\(\\s*["'']([^"'']*)["'']', 2) END AS p
+FROM source_lines WHERE regexp_matches(file, '\\.(py|ts|java)$')) WHERE v <> ''"""
+
+
+@query(_MATCHED + f""", nr AS ({_NATIVE}), x AS (SELECT reference_name, ord FROM m WHERE rule_id IS NULL AND NOT (match_source = 'decorator' AND from_node_kind = 'method' AND EXISTS (SELECT 1 FROM nr WHERE nr.root = m.root AND nr.file = m.file AND nr.start_line = m.line))),
+n AS (SELECT reference_name, count(*) AS n FROM x GROUP BY reference_name ORDER BY n DESC, reference_name LIMIT 100)
 SELECT n.reference_name, n.n, (SELECT string_agg(CAST(ord AS VARCHAR), ',' ORDER BY ord) FROM (SELECT ord FROM x WHERE x.reference_name = n.reference_name ORDER BY ord LIMIT 5)) AS samples FROM n""")
 def unmatched_signals(spark: SparkSession, d: str) -> DataFrame:
-    """A-07: names without a rule, the most frequent hundred with five samples each."""
+    """A-07, J-02: names without a rule, less those that a native route on their line explains: the most frequent hundred with five samples each."""
     rest = evidence.match_signals(_facts(spark, d)).where("rule_id is null")
+    rest = evidence.suppress_route_lines(rest, trees.native_routes(table(spark, d, "source_lines")))
     return evidence.clusters(rest, "reference_name", ["ord"], F.col("ord").cast("string"))
 
 
@@ -197,16 +205,15 @@ def bridge_two_hop(spark: SparkSession, d: str) -> DataFrame:
     return relations.resolve_bridges(hops, imp, stores, reach, own)
 
 
-@query("""WITH f AS (SELECT DISTINCT root, file, line, ord, from_node_kind, reference_name, argument FROM raw_facts WHERE match_source = 'decorator' AND reference_name IN ('Controller', 'Get', 'Post', 'Path', 'GetMapping')),
-w AS (SELECT *, last_value(CASE WHEN from_node_kind = 'class' THEN argument END IGNORE NULLS) OVER (PARTITION BY root, file ORDER BY line, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM f)
-SELECT root, file, CAST(line AS BIGINT) AS line, ord, upper(regexp_replace(reference_name, 'Mapping|Path', '')) || ' /' || trim(base, '/') || coalesce('/' || trim(argument, '/'), '') AS route FROM w WHERE from_node_kind = 'method' AND base IS NOT NULL""")
+@query("""WITH f AS (SELECT DISTINCT root, file, line, ord, from_node_kind, from_node_id, from_node_name, reference_name, argument, upper(regexp_extract(reference_name, '^(?i:(get|post|put|patch|delete))(?:Mapping)?$', 1)) AS verb FROM raw_facts WHERE match_source = 'decorator'),
+w AS (SELECT *, last_value(CASE WHEN from_node_kind = 'class' AND reference_name IN ('Controller', 'Path', 'RequestMapping') THEN argument END IGNORE NULLS) OVER (PARTITION BY root, file ORDER BY line, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM f),
+o AS (SELECT root, file, from_node_id, from_node_name, arg_min(argument, (line, ord)) AS own FROM f WHERE from_node_kind = 'method' AND reference_name = 'Path' AND argument IS NOT NULL GROUP BY ALL),
+r AS (SELECT w.root, w.file, w.line, w.ord, w.verb, nullif(trim(w.base, '/'), '') AS b, nullif(trim(coalesce(w.argument, o.own), '/'), '') AS p FROM w LEFT JOIN o USING (root, file, from_node_id, from_node_name) WHERE w.from_node_kind = 'method' AND w.verb <> '' AND w.base IS NOT NULL)
+SELECT root, file, CAST(line AS BIGINT) AS line, ord, verb, verb || ' /' || concat_ws('/', b, p) AS route FROM r""")
 def route_composition_asof(spark: SparkSession, d: str) -> DataFrame:
-    """J-03, W-01: method routes under the nearest class path before them in the file."""
-    f = _facts(spark, d).where("match_source = 'decorator'").where(F.col("reference_name").isin("Controller", "Get", "Post", "Path", "GetMapping")).select("root", "file", "line", "ord", "from_node_kind", "reference_name", "argument").distinct()
-    w = evidence.nearest_preceding(f, ["root", "file"], ["line", "ord"], F.col("from_node_kind") == "class", F.col("argument"), "base")
-    bare = lambda c: F.trim(F.col(c), F.lit("/"))
-    route = F.concat(F.upper(F.regexp_replace("reference_name", "Mapping|Path", "")), F.lit(" /"), bare("base"), F.coalesce(F.concat(F.lit("/"), bare("argument")), F.lit("")))
-    return w.where("from_node_kind = 'method' and base is not null").select("root", "file", F.col("line").cast("bigint").alias("line"), "ord", route.alias("route"))
+    """J-03, W-01: the verbs of all methods under the nearest class path before them in the file."""
+    f = _facts(spark, d).where("match_source = 'decorator'").select("root", "file", "line", "ord", "from_node_kind", "from_node_id", "from_node_name", "reference_name", "argument").distinct()
+    return evidence.compose_routes(f)[0].withColumn("line", F.col("line").cast("bigint"))
 
 
 @query("""SELECT user_id, event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS signup_id FROM events
@@ -333,16 +340,6 @@ def coverage_metrics(spark: SparkSession, d: str) -> DataFrame:
     return k.withColumn("high_ratio", runs.ratio(F.col("high"), F.col("units"), 1.0))
 
 
-@query(_UNITS + """, cov AS (SELECT root, count(*) FILTER (kind = 'service') AS services, count(*) FILTER (kind = 'database') AS stores FROM u GROUP BY root)
-SELECT root, 'S1' AS flag FROM cov WHERE services > 0 AND stores = 0 UNION ALL SELECT root, 'S2' FROM cov WHERE services = 0 AND stores > 0 UNION ALL SELECT DISTINCT root, 'S3' FROM source_files WHERE root NOT IN (SELECT root FROM cov)""")
-def silence_flags(spark: SparkSession, d: str) -> DataFrame:
-    """A-06: one row for each flag of a root: services without stores, stores without services, files without units."""
-    k = units(spark, d).groupBy("root").agg(F.count_if(F.col("kind") == "service").alias("services"), F.count_if(F.col("kind") == "database").alias("stores"))
-    flag = F.when((F.col("services") > 0) & (F.col("stores") == 0), "S1").when((F.col("services") == 0) & (F.col("stores") > 0), "S2")
-    none = table(spark, d, "source_files").select("root").distinct().join(k, "root", "left_anti")
-    return k.select("root", flag.alias("flag")).where("flag is not null").unionByName(none.select("root", F.lit("S3").alias("flag")))
-
-
 @query("""SELECT DISTINCT root, file, line, regexp_replace(text, '(?i)((?:password|passwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|token|auth)\\s*[:=]\\s*)([''"]?)([^''",\\s]+)([''"]?)', '\\1\\2[REDACTED]\\4', 'g') AS text FROM source_lines""")
 def redact_assignments(spark: SparkSession, d: str) -> DataFrame:
     """The snippet rule: values of assignments that look secret, in every line."""
@@ -477,17 +474,6 @@ def reference_resolution(spark: SparkSession, d: str) -> DataFrame:
     return cut.join(known, "file", "left").select("decision_id", "ref", "file", "line", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-@query(_UNITS + """, q AS (SELECT root, 'low-confidence' AS trigger, count(*) AS n FROM u WHERE band = 'low' GROUP BY root UNION ALL SELECT root, 'unmapped-signal', count(DISTINCT reference_name) FROM m WHERE rule_id IS NULL AND match_source = 'decorator' GROUP BY root
-UNION ALL SELECT root, 'entry-without-control', count(*) FROM (SELECT root, file FROM m GROUP BY root, file HAVING bool_or(category = 'http-entry-point') AND NOT coalesce(bool_or(category = 'security-control'), false)) GROUP BY root) SELECT * FROM q""")
-def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    """U-08: the union of what asks for review, by root and trigger."""
-    m = evidence.match_signals(_facts(spark, d))
-    low = units(spark, d).where("band = 'low'").groupBy("root").agg(F.lit("low-confidence").alias("trigger"), F.count("*").alias("n"))
-    un = m.where("rule_id is null and match_source = 'decorator'").groupBy("root").agg(F.lit("unmapped-signal").alias("trigger"), F.count_distinct("reference_name").alias("n"))
-    bare = threat_anti_join(spark, d).groupBy("root").agg(F.lit("entry-without-control").alias("trigger"), F.count("*").alias("n"))
-    return low.unionByName(un).unionByName(bare)
-
-
 @query("""SELECT root, file, 'iface-' || (row_number() OVER (PARTITION BY root, file ORDER BY o) - 1) AS interface_id, route FROM (SELECT root, file, reference_name || ' ' || argument AS route, min(ord) AS o FROM raw_facts WHERE match_source = 'decorator' AND argument IS NOT NULL GROUP BY ALL)""")
 def interface_numbering(spark: SparkSession, d: str) -> DataFrame:
     """W-03, W-04: the routes of a file, first wins, numbered in order."""
@@ -498,10 +484,7 @@ def interface_numbering(spark: SparkSession, d: str) -> DataFrame:
     return r.select("root", "file", F.concat(F.lit("iface-"), n).alias("interface_id"), "route")
 
 
-@query("""SELECT DISTINCT root, file, CAST(line AS INTEGER) AS start_line, CASE WHEN lower(v) = 'route' THEN 'GET' ELSE upper(v) END || ' /' || regexp_replace(p, '^/', '') AS name FROM (
-SELECT *, CASE WHEN file LIKE '%.py' THEN regexp_extract(text, '^\\s*@(?:app|router|\\w+)\\.(get|post|put|patch|delete|route)\\(\\s*["'']([^"'']*)["'']', 1) ELSE regexp_extract(text, '^\\s*@(Get|Post|Put|Patch|Delete)(?:Mapping)?\\(\\s*["'']([^"'']*)["'']', 1) END AS v,
-CASE WHEN file LIKE '%.py' THEN regexp_extract(text, '^\\s*@(?:app|router|\\w+)\\.(get|post|put|patch|delete|route)\\(\\s*["'']([^"'']*)["'']', 2) ELSE regexp_extract(text, '^\\s*@(Get|Post|Put|Patch|Delete)(?:Mapping)?\\(\\s*["'']([^"'']*)["'']', 2) END AS p
-FROM source_lines WHERE regexp_matches(file, '\\.(py|ts|java)$')) WHERE v <> ''""")
+@query(_NATIVE)
 def native_routes(spark: SparkSession, d: str) -> DataFrame:
     """S-02: routes read from the text of all files."""
     return trees.native_routes(table(spark, d, "source_lines"))

@@ -53,3 +53,14 @@ def notebook(title: str, sections: dict[str, DataFrame], most: int = 50) -> str:
         if len(rows) > most:
             parts.append(f"\n({df.count() - most} more)")
     return "\n".join(parts) + "\n"
+
+
+def notebook_lines(sections: dict[str, DataFrame]) -> DataFrame:
+    """K-05: (section, line_ord, line): the sections of a notebook as Markdown lines, heads first and rows after them, with all rows and without the driver."""
+    out = None
+    for name, df in sections.items():
+        head = [(name, "0", f"## {name}"), (name, "1", "| " + " | ".join(df.columns) + " |"), (name, "2", "|" + "---|" * len(df.columns))]
+        cells = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)), F.lit(" |"))
+        part = df.sparkSession.createDataFrame(head, "section string, line_ord string, line string").unionByName(df.select(F.lit(name).alias("section"), F.concat(F.lit("3"), cells).alias("line_ord"), cells.alias("line")))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -174,11 +174,9 @@ def place_files(paths: DataFrame, roots: DataFrame) -> DataFrame:
 
 def library_imports(imports: DataFrame, libraries: dict[str, list[str]], language: Column) -> DataFrame:
     """F-19: ``imports`` (file, target) of a known library of their language, or of a package under it, with ``library``; in its plain or its ref_ form. package.json is no source of imports. The catalogue is fixed."""
-    library = F.lit(None).cast("string")
-    for lang, names in libraries.items():
-        for n in names:
-            hit = (F.col("target") == n) | F.startswith(F.col("target"), F.lit(n + ("." if lang == "java" else "/"))) | (F.col("target") == import_target(F.lit(n)))
-            library = F.when((language == lang) & hit & library.isNull(), n).otherwise(library)
+    target = F.col("target")
+    under = lambda lang, n: (language == lang) & ((target == n) | F.startswith(target, F.lit(n + ("." if lang == "java" else "/"))) | (target == import_target(F.lit(n))))
+    library = F.coalesce(*(F.when(under(lang, n), n) for lang, names in libraries.items() for n in names))
     return imports.withColumn("library", library).where(F.col("library").isNotNull() & ~F.col("file").rlike(r"(?:^|/)package\.json$"))
 
 
