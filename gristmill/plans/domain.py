@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.functions import text as fn
-from gristmill.operators import catalog, coverage, deploy, documents, evidence, relations, review, runs
+from gristmill.operators import catalog, coverage, deploy, evidence, relations, review
 from gristmill.plans import adapters as ad
-from gristmill.plans import sinks
 from gristmill.plans.pipeline import _NATIVE, _facts, query
-from gristmill.session import table
+from gristmill.session import checkpointed, table
 from gristmill.sources import manifests, trees
 
 # ---------------------------------------------------------------- coverage and review
@@ -37,20 +35,22 @@ fl AS (SELECT run, flag, n FROM (
 )
 
 
-def _complete(spark: SparkSession, d: str) -> DataFrame:
-    return coverage.completeness(ad.run_units(spark, d), ad.run_relationships(spark, d))
+def _run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Units, relationships and completeness of all runs; each is read many times, so it is worked out once."""
+    u, rel = checkpointed(ad.run_units(spark, d)), checkpointed(ad.run_relationships(spark, d))
+    return u, rel, checkpointed(coverage.completeness(u, rel))
 
 
 @query(_COMPLETE + " SELECT run, services, databases, topics, service_touching, http_without_control, messaging_unverified, isolated, services_outbound, round(outbound_coverage, 6) AS outbound_coverage FROM comp")
 def completeness(spark: SparkSession, d: str) -> DataFrame:
     """A-05: what each run has, and what it lacks."""
-    return _complete(spark, d).withColumn("outbound_coverage", F.round("outbound_coverage", 6))
+    return _run(spark, d)[2].withColumn("outbound_coverage", F.round("outbound_coverage", 6))
 
 
 @query(_COMPLETE + " SELECT run, flag, CAST(n AS BIGINT) AS n FROM fl")
 def silence_flags(spark: SparkSession, d: str) -> DataFrame:
     """A-06: all seven flags, one row for each that holds."""
-    return coverage.silence_flags(_complete(spark, d), ad.runs(spark, d))
+    return coverage.silence_flags(_run(spark, d)[2], ad.runs(spark, d))
 
 
 @query(_COMPLETE + ", " + ad.IGNORED_SQL + """, hop AS (SELECT run, regexp_extract(detail, '^unresolved-multi-hop: "([^"]*)"', 1) AS unit_id, arg_min(detail, (ref, detail)) AS detail FROM ig WHERE reason = 'CROSS_DOMAIN_UNRESOLVED' AND detail LIKE 'unresolved-multi-hop: "%' GROUP BY ALL),
@@ -73,9 +73,9 @@ SELECT q.run, q.trigger, q.unit_id, kn.kind AS unit_kind, kn.confidence, q.detai
 UNION ALL SELECT fl.run, fl.flag, NULL, NULL, NULL, array_to_string(l[1:5], ' | ') || CASE WHEN len(l) > 5 THEN ' (+' || (len(l) - 5) || ' more)' ELSE '' END FROM fl LEFT JOIN cf ON cf.run = fl.run WHERE flag LIKE 'S5-cfn%'""")
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
     """U-08: the union of all eleven triggers."""
-    complete = _complete(spark, d)
-    flags = coverage.silence_flags(complete, ad.runs(spark, d))
-    return coverage.review_items(ad.run_units(spark, d), ad.run_relationships(spark, d), ad.run_ignored(spark, d), complete, flags, ad.run_deployments(spark, d))
+    u, rel, complete = _run(spark, d)
+    flags = checkpointed(coverage.silence_flags(complete, ad.runs(spark, d)))
+    return coverage.review_items(u, rel, ad.run_ignored(spark, d), complete, flags, ad.run_deployments(spark, d))
 
 
 @query("WITH " + ad.RUNS_SQL + ", " + ad.IGNORED_SQL + " SELECT run, reason, count(*) AS n FROM ig WHERE reason IN ('AMBIGUOUS_BOUNDARY', 'INSUFFICIENT_EVIDENCE') GROUP BY ALL")

@@ -353,11 +353,11 @@ def line_explode(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("doc_id", (F.col("p") + 1).cast("bigint").alias("line"), "text")
 
 
-@query("""WITH l AS (SELECT DISTINCT root, file, line, text FROM source_lines WHERE line IS NOT NULL), h AS (SELECT DISTINCT root, file, line AS at FROM raw_facts WHERE reference_name = 'KafkaListener')
+@query("""WITH l AS (SELECT DISTINCT root, file, line, text FROM source_lines WHERE line IS NOT NULL), h AS (SELECT DISTINCT root, file, line AS at FROM raw_facts)
 SELECT h.root, h.file, CAST(h.at AS BIGINT) AS at, count(*) AS n_lines, CAST(min(l.line) AS BIGINT) AS first_line, CAST(max(l.line) AS BIGINT) AS last_line, CAST(sum(length(l.text)) AS BIGINT) AS n_chars FROM h JOIN l ON l.root = h.root AND l.file = h.file AND l.line BETWEEN h.at - 3 AND h.at + 3 GROUP BY ALL""")
 def snippet_window(spark: SparkSession, d: str) -> DataFrame:
-    """W-06: three lines around each hit. Each hit names the seven lines it wants, so the range join is an equi-join."""
-    h = table(spark, d, "raw_facts").where("reference_name = 'KafkaListener'").select("root", "file", F.col("line").alias("at")).distinct()
+    """W-06: the size of three lines around every hit. Each hit names the seven lines it wants, so the range join is an equi-join."""
+    h = table(spark, d, "raw_facts").select("root", "file", F.col("line").alias("at")).distinct()
     want = h.select("root", "file", "at", F.explode(F.sequence(F.col("at") - 3, F.col("at") + 3)).alias("line"))
     j = want.join(table(spark, d, "source_lines").select("root", "file", "line", "text").distinct(), ["root", "file", "line"])
     return j.groupBy("root", "file", F.col("at").cast("bigint").alias("at")).agg(F.count("*").alias("n_lines"), F.min("line").cast("bigint").alias("first_line"), F.max("line").cast("bigint").alias("last_line"), F.sum(F.length("text")).cast("bigint").alias("n_chars"))
