@@ -110,11 +110,13 @@ def read_lines(text: str) -> list[Line]:
         if fenced or columns or (line[0] in "[0123456789" and _LOG.match(line)):
             out.append(Line("neutral", len(line)))
             continue
-        links = _LINK.findall(line) if "://" in line or "www." in line.lower() else []
-        rest = _LINK.sub(" ", _BULLET.sub("", line, count=1)) if links else line
+        rest = low = line.lower()
+        links = _LINK.findall(line) if "://" in low or "www." in low else []
+        if links:
+            rest = _LINK.sub(" ", _BULLET.sub("", low, count=1))
         if "<" in rest or "&" in rest:
             rest = _MARKUP.sub(" ", rest)
-        tokens = _TOKEN.findall(rest.lower())
+        tokens = _TOKEN.findall(rest)
         many = len(tokens) - sum(map(_PUNCT.__contains__, tokens))
         function = sum(map(FUNCTION_WORDS.__contains__, tokens))
         tags = len(_TAG.findall(line)) if "#" in line else 0
@@ -291,7 +293,11 @@ def analyse(text: str | None, full: bool = True) -> dict[str, float]:
     few = (shares[0] <= MOST_FUNCTION) & (shares[1] <= 0.04)
     spam = np.zeros(n, bool)
     spaceless = np.array([not w.isascii() and bool(_SPACELESS.search(w)) for w in ids])[terms]
-    content = ~(function | np.array([w.isdigit() for w in ids])[terms])
+    content = ~(function | np.array(list(map(str.isdigit, ids)))[terms])
+    # where words are not set apart by spaces, a run between signs is a clause and no word of a slogan
+    slogans = _slogans(terms, content & ~spaceless, sentence)
+    if not full and out["spam"] + float(chars[few | slogans].sum() / total) <= THRESHOLD:
+        return out  # even if every place that can be keywords were
     if full or few.any():
         recurrent = content & (recurrence_gaps(terms) <= LAGS)
         more = _window(np.stack([spaceless, recurrent, apart]), bounds)
@@ -299,8 +305,7 @@ def analyse(text: str | None, full: bool = True) -> dict[str, float]:
         # keywords that come again soon or at regular distances, or short items one after the other without function word or end of a sentence far and wide
         listed = (shares[0] <= 0.02) & (more[2] >= LEAST_APART) & (more[0] < 0.2) & (n >= LEAST_LIST)
         spam = few & ((more[1] >= LEAST_RECURRENT) | (local >= LEAST_REGULAR) | listed)
-    # where words are not set apart by spaces, a run between signs is a clause and no word of a slogan
-    spam |= _slogans(terms, content & ~spaceless, sentence)
+    spam |= slogans
     out["keyword"] = float(chars[spam].sum() / total)
     out["function"] = float(function.mean())
     out["spam"] += out["keyword"]
