@@ -55,7 +55,8 @@ def parse_architectures(docs: DataFrame, text: str = "calm", key: str = "arch_id
             F.transform(F.map_entries(F.coalesce(n["controls"], F.from_json(F.lit("{}"), "map<string,string>"))), control).alias("controls"),
         )
 
-    return nodes.select("arch_id", F.transform("nodes", node).alias("nodes")).where(F.col("nodes").isNotNull())
+    # no filter on null lists here: it would be evaluated, with all parsing in it, once more than the lists themselves; they flatten to nothing
+    return nodes.select("arch_id", F.transform("nodes", node).alias("nodes"))
 
 
 def _flat(parent_keys: pa.Array, lists: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
