@@ -69,6 +69,7 @@ def canonical_rows(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*(tidy(c).alias(c) for c in rows.columns)).distinct().orderBy(*by)
 
 
+# The keys of metadata that begin with x-aac- in the two functions below.
 def node_metadata(units: DataFrame, evidence: DataFrame, run_version: str) -> DataFrame:
     """F-23: (unit_id, key, ord, value): what is told of each node: its confidence, where its evidence stands, one row each, the run, and its status if it has one. ``units`` (unit_id, confidence, status), ``evidence`` (unit_id, ref)."""
     one = F.array(
