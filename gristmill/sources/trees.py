@@ -92,13 +92,34 @@ def generic_argument_edges(lines: DataFrame, types: DataFrame) -> DataFrame:
     return refs.join(types.select(F.col("label").alias("target")).distinct(), "target", "left_semi").withColumn("relation", F.lit("references")).select("root", "file", "source", "target", "relation").distinct()
 
 
+#: Lines of a block; what a class needs beyond its block's last line is in the block twice.
+BLOCK = 128
+
+
+def _blocks(lines: DataFrame, seen: Column, up: int = 0, down: int = 0) -> DataFrame:
+    """(root, file, block, rows): the distinct ``seen`` (structs with ``line``) of each block of ``BLOCK`` lines in order, with those of ``up`` lines before it and ``down`` lines behind it.
+
+    Lines meet those around them in one exchange, without a join: the size of exploded lines is not known to the planner, which takes them for small and broadcasts them. A long file is many blocks. Rows without root, file or line are left out.
+    """
+    n = F.col("line").cast("bigint")
+    whole = lines.where(F.col("root").isNotNull() & F.col("file").isNotNull() & F.col("line").isNotNull())
+    near = whole.select("root", "file", seen.alias("_s"), F.explode(F.sequence(F.floor((n - down) / BLOCK), F.floor((n + up) / BLOCK))).alias("block"))
+    return near.groupBy("root", "file", "block").agg(F.array_sort(F.collect_set("_s")).alias("rows"))
+
+
+def _own(r: Column) -> Column:
+    """Whether a row of a block is in the block itself, not before or behind it."""
+    return F.floor(r["line"].cast("bigint") / BLOCK) == F.col("block")
+
+
 def class_headers(lines: DataFrame, reach: int = 10) -> DataFrame:
     """S-23: (root, file, line, name, header): each class with its header, up to the opening brace and ten lines at most."""
-    starts = lines.where(F.col("text").rlike(r"\b(?:class|interface)\s+\w+")).select("root", "file", F.col("line").alias("start"), F.regexp_extract("text", r"\b(?:class|interface)\s+(\w+)", 1).alias("name")).distinct()
-    want = starts.select("*", F.explode(F.sequence("start", F.col("start") + reach - 1)).alias("line"))
-    j = want.join(lines.select("root", "file", "line", "text").distinct(), ["root", "file", "line"])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), " ")
-    return j.groupBy("root", "file", F.col("start").alias("line"), "name").agg(F.substring_index(text, "{", 1).alias("header"))
+    blocks = _blocks(lines, F.struct("line", "text"), down=reach - 1)
+    at = lambda r: r["line"].cast("bigint")
+    starts = F.array_distinct(F.transform(F.filter("rows", lambda r: _own(r) & r["text"].rlike(r"\b(?:class|interface)\s+\w+")), lambda r: F.struct(r["line"].alias("line"), F.regexp_extract(r["text"], r"\b(?:class|interface)\s+(\w+)", 1).alias("name"))))
+    text = lambda c: F.array_join(F.transform(F.filter("rows", lambda r: (at(r) >= at(c)) & (at(r) < at(c) + reach)), lambda r: r["text"]), " ")
+    found = F.transform(starts, lambda c: F.struct(c["line"].alias("line"), c["name"].alias("name"), F.substring_index(text(c), "{", 1).alias("header")))
+    return blocks.select("root", "file", F.explode(found).alias("c")).select("root", "file", "c.line", "c.name", "c.header")
 
 
 def has_field_of(lines: DataFrame, type_name: str) -> DataFrame:

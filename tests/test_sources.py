@@ -121,6 +121,33 @@ def test_tree_facts(spark, tmp_path):
     assert trees.common_ancestor(["/a/b/c", "/a/b/d"]) == "/a/b" and trees.excluded(["/a/b"], ["/a", "/a/b/c", "/a/x"]) == ["/a/x"]
 
 
+def exploded(spark, n=3):
+    """Lines of which the planner cannot know how many there are, though they may be very many."""
+    rows = "explode(array(struct(1 as line, '@Configuration' as text), struct(2 as line, concat('public class P', id, ' extends Base<P', id + 1, '> {') as text))) as l"
+    return spark.range(n).selectExpr("'r' as root", "concat('f', id) as file", rows).select("root", "file", "l.*")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_headers_take_no_join(spark):
+    got = trees.class_headers(exploded(spark))
+    assert "Join" not in plan(got) and "Broadcast" not in plan(got)
+    same_rows(got.collect(), [("r", f"f{i}", 2, f"P{i}", f"public class P{i} extends Base<P{i + 1}> ") for i in range(3)])
+
+
+def test_headers_over_the_ends_of_blocks(spark):
+    b = trees.BLOCK
+    at = (1, b - 9, b - 1, b, 2 * b - 1, 5 * b - 1)
+    rows = [("r", "f", i + k, f"class C{i} a" if k == 0 else None if k == 3 else f"t{k}") for i in at for k in range(12) if i + k not in at or k == 0]
+    rows += [("r", "f", 9 * b, "class X"), ("r", "f", 9 * b, "class X"), ("r", "f", 9 * b, "class X {"), ("r", None, 1, "class N"), ("r", "f", None, "class N"), ("r", "f", -1, "class M {")]
+    got = trees.class_headers(spark.createDataFrame(rows, "root string, file string, line int, text string")).collect()
+    lines = sorted({r for r in rows if None not in r[:3]}, key=lambda r: (r[2], r[3] is not None, r[3] or ""))
+    want = {("r", "f", r[2], r[3].split()[1], " ".join(x[3] for x in lines if r[2] <= x[2] < r[2] + 10 and x[3] is not None).split("{")[0]) for r in lines if r[3] and r[3].startswith("class ")}
+    same_rows(got, want)
+
+
 def test_text_functions(spark):
     def one(f, *values):
         return [r[0] for r in spark.createDataFrame([(v,) for v in values], "x string").select(f(F.col("x"))).collect()]
