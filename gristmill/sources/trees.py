@@ -89,7 +89,8 @@ def generic_argument_edges(lines: DataFrame, types: DataFrame) -> DataFrame:
     owner = F.regexp_extract("text", r"\b(?:class|interface)\s+(\w+)", 1)
     inside = F.regexp_extract("text", r"\b(?:extends|implements)\b[^<{]*<([^{]*)>", 1)
     refs = lines.select("root", "file", owner.alias("source"), F.explode(F.split(inside, r"[<>,\s]+")).alias("target")).where("source <> '' and target <> '' and source <> target")
-    return refs.join(types.select(F.col("label").alias("target")).distinct(), "target", "left_semi").withColumn("relation", F.lit("references")).select("root", "file", "source", "target", "relation").distinct()
+    known = types.select(F.col("label").alias("target")).distinct().hint("merge")  # as many as there are classes, whatever the planner takes them for
+    return refs.join(known, "target", "left_semi").withColumn("relation", F.lit("references")).select("root", "file", "source", "target", "relation").distinct()
 
 
 #: Lines of a block; what a class needs beyond its block's last line is in the block twice.

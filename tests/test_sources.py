@@ -148,6 +148,13 @@ def test_headers_over_the_ends_of_blocks(spark):
     same_rows(got, want)
 
 
+def test_generic_arguments_broadcast_no_types(spark):
+    lines = exploded(spark)
+    got = trees.generic_argument_edges(lines, trees.class_headers(lines).select(F.col("name").alias("label")))
+    assert "Broadcast" not in plan(got)
+    same_rows(got.collect(), [("r", f"f{i}", f"P{i}", f"P{i + 1}", "references") for i in range(2)])
+
+
 def test_text_functions(spark):
     def one(f, *values):
         return [r[0] for r in spark.createDataFrame([(v,) for v in values], "x string").select(f(F.col("x"))).collect()]
