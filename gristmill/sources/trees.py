@@ -151,13 +151,16 @@ def bare_name_collisions(edges: DataFrame, imports: DataFrame, packages: DataFra
 
 def annotated_classes(lines: DataFrame, annotation: str, reach: int = 10) -> DataFrame:
     """S-23: (root, file, line, name) of the classes above which an annotation stands, over blank lines, comments and other annotations and at most ``reach`` lines away."""
-    one = lines.select("root", "file", "line", F.trim(F.coalesce("text", F.lit(""))).alias("text")).distinct()
-    starts = one.where(F.col("text").rlike(r"\b(?:class|interface)\s+\w+")).select("root", "file", F.col("line").alias("start"), F.regexp_extract("text", r"\b(?:class|interface)\s+(\w+)", 1).alias("name")).distinct()
-    want = starts.select("*", F.explode(F.sequence(F.col("start") - reach, F.col("start") - 1)).alias("line"))
-    hit = F.col("text").rlike(rf"^@{annotation}\b")
-    skip = (F.col("text") == "") | F.col("text").rlike(r"^(?:@|//|\*|/\*|\#)")
-    j = want.join(one, ["root", "file", "line"]).groupBy("root", "file", "start", "name").agg(F.max(F.when(hit, F.col("line"))).alias("at"), F.max(F.when(~skip, F.col("line"))).alias("stop"))
-    return j.where(F.col("at") > F.coalesce("stop", F.lit(-1))).select("root", "file", F.col("start").alias("line"), "name")
+    text = F.trim(F.coalesce("text", F.lit("")))
+    name = F.when(text.rlike(r"\b(?:class|interface)\s+\w+"), F.regexp_extract(text, r"\b(?:class|interface)\s+(\w+)", 1))
+    skip = (text == "") | text.rlike(r"^(?:@|//|\*|/\*|\#)")
+    told = lines.select("root", "file", "line", F.struct("line", name.alias("name"), text.rlike(rf"^@{annotation}\b").alias("hit"), (~skip).alias("stop")).alias("s")).where("s.hit or s.stop or s.name is not null")
+    blocks = _blocks(told, F.col("s"), up=reach)
+    at = lambda r: r["line"].cast("bigint")
+    starts = F.array_distinct(F.transform(F.filter("rows", lambda r: _own(r) & r["name"].isNotNull()), lambda r: F.struct(r["line"].alias("line"), r["name"].alias("name"))))
+    last = lambda c, what: F.array_max(F.transform(F.filter("rows", lambda r: r[what] & (at(r) < at(c)) & (at(r) >= at(c) - reach)), lambda r: r["line"]))
+    found = F.filter(starts, lambda c: last(c, "hit") > F.coalesce(last(c, "stop"), F.lit(-1)))
+    return blocks.select("root", "file", F.explode(found).alias("c")).select("root", "file", "c.line", "c.name")
 
 
 def indexed_files(files: DataFrame, endings: list[str] | None = None) -> DataFrame:

@@ -155,6 +155,23 @@ def test_generic_arguments_broadcast_no_types(spark):
     same_rows(got.collect(), [("r", f"f{i}", f"P{i}", f"P{i + 1}", "references") for i in range(2)])
 
 
+def test_annotated_classes_take_no_join(spark):
+    got = trees.annotated_classes(exploded(spark), "Configuration")
+    assert "Join" not in plan(got) and "Broadcast" not in plan(got)
+    same_rows(got.collect(), [("r", f"f{i}", 2, f"P{i}") for i in range(3)])
+
+
+def test_annotations_over_the_ends_of_blocks(spark):
+    b = trees.BLOCK
+    rows = []
+    for i, (gap, stop) in enumerate([(1, False), (10, False), (11, False), (10, True), (3, False)]):
+        at = (i + 1) * b + 4
+        rows += [("r", "f", at - gap, "  @Wired(1)"), ("r", "f", at, f"class C{i} {{"), *([("r", "f", at - 5, "int x;")] if stop else [("r", "f", at - 2, "// x"), ("r", "f", at - 1, None)] if gap > 2 else [])]
+    rows += [("r", "f", 9 * b - 1, "@Wired"), ("r", "f", 9 * b, "class D"), ("r", "f", 9 * b, " class D "), ("r", None, 2, "class N"), ("r", None, 1, "@Wired"), ("r", "g", 0, "@Wired"), ("r", "g", 1, "class G"), ("r", "g", -2, "@Wired"), ("r", "g", -1, "class H")]
+    got = trees.annotated_classes(spark.createDataFrame(rows, "root string, file string, line int, text string"), "Wired").collect()
+    same_rows(got, [("r", "f", b + 4, "C0"), ("r", "f", 2 * b + 4, "C1"), ("r", "f", 5 * b + 4, "C4"), ("r", "f", 9 * b, "D"), ("r", "g", 1, "G")])
+
+
 def test_text_functions(spark):
     def one(f, *values):
         return [r[0] for r in spark.createDataFrame([(v,) for v in values], "x string").select(f(F.col("x"))).collect()]
