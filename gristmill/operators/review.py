@@ -31,15 +31,15 @@ def import_units(imports: DataFrame, classes: DataFrame, taken: DataFrame, kind:
     """J-10: units (root, file, name, library, start_line, end_line, kind, confidence) for the classes of files that import a library of ``kind``, unless the file is ``taken`` by a unit already.
 
     ``imports`` (root, file, library), ``classes`` (root, file, name, line, last_line). ``wired`` (root, file, name) are classes that only wire others and make no unit. A library of ``owned`` counts only for classes of ``owners``
-    (root, file, name, library), which extend the base or have the field that using it takes. Of several libraries of a file the first by name is told. The confidence of an import is fixed at 20, and such units pass the floor (F-06).
+    (root, file, name, library), which extend the base or have the field that using it takes. Of several libraries of a file the first by name is told. All of these come from exploded lines, whose size the planner does not know, so they are joined sorted and never broadcast. The confidence of an import is fixed at 20, and such units pass the floor (F-06).
     """
-    hit = imports.groupBy("root", "file").agg(F.min("library").alias("library")).join(taken.select("root", "file").distinct(), ["root", "file"], "left_anti")
-    j = classes.join(hit, ["root", "file"])
+    hit = imports.groupBy("root", "file").agg(F.min("library").alias("library")).join(taken.select("root", "file").distinct().hint("merge"), ["root", "file"], "left_anti")
+    j = classes.join(hit.hint("merge"), ["root", "file"])
     if wired is not None:
-        j = j.join(wired.select("root", "file", "name").distinct(), ["root", "file", "name"], "left_anti")
+        j = j.join(wired.select("root", "file", "name").distinct().hint("merge"), ["root", "file", "name"], "left_anti")
     if owned:
         needs = F.col("library").isin(*owned)
-        j = j.where(~needs).unionByName(j.where(needs).join(owners.select("root", "file", "name", "library").distinct(), ["root", "file", "name", "library"], "left_semi").select(j.columns))
+        j = j.where(~needs).unionByName(j.where(needs).join(owners.select("root", "file", "name", "library").distinct().hint("merge"), ["root", "file", "name", "library"], "left_semi").select(j.columns))
     return j.groupBy("root", "file", "name", "library").agg(F.min("line").alias("start_line"), F.max(F.coalesce("last_line", "line")).alias("end_line")).withColumn("kind", F.lit(kind)).withColumn("confidence", F.lit(20))
 
 

@@ -211,7 +211,7 @@ def import_units(spark: SparkSession, d: str) -> DataFrame:
     taken = headers.where(F.regexp_extract("name", r"(\d+)", 1).cast("bigint") % 10 == 1)
     owners = None
     for library, kind in catalog.OWNER_FIELDS.items():
-        part = headers.join(trees.has_field_of(lines, kind), ["root", "file"], "left_semi").select("root", "file", "name", F.lit(library).alias("library"))
+        part = headers.join(trees.has_field_of(lines, kind).hint("merge"), ["root", "file"], "left_semi").select("root", "file", "name", F.lit(library).alias("library"))
         owners = part if owners is None else owners.unionByName(part)
     return review.import_units(_imports(spark, d), classes, taken, "database", trees.annotated_classes(lines, catalog.WIRING[0]), owners, list(catalog.OWNER_FIELDS))
 

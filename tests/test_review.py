@@ -63,3 +63,12 @@ def test_drafts_and_exams(spark):
     fired = df(spark, "engine string, mechanism string", ("e", "m"), ("e", "m"), ("e", "x"))
     same_rows(review.capability_warnings(fired, df(spark, "engine string, mechanism string, state string", ("e", "m", "proven"))).collect(), [("e", "x", 1)])
     assert review.review_worthy(df(spark, "reason string", ("TEST_CODE",), ("AMBIGUOUS_BOUNDARY",))).count() == 1
+
+
+def test_import_units_broadcast_nothing(spark):
+    lines = lambda *xs: spark.range(3).selectExpr("'r' as root", "concat('f', id) as file", "id", f"explode(array({', '.join(xs)})) as library").select("root", "file", F.concat(F.lit("P"), "id").alias("name"), "library")
+    imports, every = lines("'a'", "'b'"), lines("'a'")
+    classes = every.select("root", "file", "name", F.lit(5).alias("line"), F.lit(8).alias("last_line"))
+    got = review.import_units(imports, classes, every.where("name = 'P0'"), "database", every.where("name = 'P1'"), every, ["a"])
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    same_rows(got.collect(), [("r", "f2", "P2", "a", 5, 8, "database", 20)])
