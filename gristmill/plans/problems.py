@@ -17,8 +17,8 @@ def _orphans(spark: SparkSession, d: str) -> tuple[list[orphans.Reference], Data
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Direct orphans: those of depth 0, from which the cascade starts."""
-    return orphans.direct_orphans(*_orphans(spark, d)).select("ref_table", "ref_field", "period", "ref_key")
+    """Direct orphans, told from the inherited ones by the whole cascade: those that it leaves at depth 0."""
+    return orphans.orphan_cascade(*_orphans(spark, d)).where("orphan_kind = 'direct'").select("ref_table", "ref_field", "period", "ref_key")
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:

@@ -64,3 +64,17 @@ def test_cascade_has_no_cap():
     import inspect
 
     assert list(inspect.signature(orphans.orphan_cascade).parameters) == ["references", "lifetimes"]
+
+
+def test_found_comes_from_the_whole_cascade(spark, tmp_path, monkeypatch):
+    from gristmill.plans import problems
+
+    d = [("D-1", "gone", day(1), None, "x"), ("D-2", "D-1", day(2), None, "x"), ("D-3", "D-2", day(3), None, "x"), ("D-3", "gone", day(3), None, "x")]
+    for name, rows, schema in (("overrides", [("O-1", "node_rename", "D-3", "el-1", day(9), "c")], O), ("decisions", d, D), ("calm_elements", [("el-1", day(1), None)], E)):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    ran, cascade = [], orphans.orphan_cascade
+    monkeypatch.setattr(orphans, "orphan_cascade", lambda *a: ran.append(cascade(*a)) or ran[0])
+    got = problems.p1_found(spark, str(tmp_path))
+    assert len(ran) == 1
+    same_rows(got.collect(), [("decisions", "supersedes", "2026-01", "D-1"), ("decisions", "supersedes", "2026-01", "D-3")])
+    assert {(r.ref_key, r.depth) for r in ran[0].collect()} == {("D-1", 0), ("D-2", 1), ("D-3", 0), ("O-1", 1)}
